@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, mixing, pii, sharding
+from docloom.llm import exact_dedup, mixing, pii, sentencepiece_codec, sharding
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_pii": pii.op9_pii,
+    "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 
 ORACLES = {
