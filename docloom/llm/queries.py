@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, mixing, pii, sentencepiece_codec, sharding
+from docloom.llm import exact_dedup, mixing, pii, sentencepiece_codec, sharding, warc
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_warc_revisits": warc.op7_warc_revisits,
     "op8_mixing": mixing.op8_mixing,
     "op9_pii": pii.op9_pii,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 
 ORACLES = {
+    "op7_warc_revisits": warc.OP7_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }
