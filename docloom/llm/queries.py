@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, mixing, pii, sentencepiece_codec, sharding, warc
+from docloom.llm import exact_dedup, mixing, pii, sentencepiece_codec, sharding, topk, warc
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_exact_topk": topk.op6_exact_topk,
     "op7_warc_revisits": warc.op7_warc_revisits,
     "op8_mixing": mixing.op8_mixing,
     "op9_pii": pii.op9_pii,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_exact_topk": topk.OP6_SQL,
     "op7_warc_revisits": warc.OP7_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }
