@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, mixing, pii, quality, sentencepiece_codec, sharding, topk, warc
+from docloom.llm import exact_dedup, mixing, ngram_join, pii, quality, sentencepiece_codec, sharding, topk, warc
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
