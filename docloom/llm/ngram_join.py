@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from docloom.llm import work
 from docloom.llm.components import connected
 from docloom.llm.shingles import blocks, mix, shingle_sets
+from docloom.shipping import ship
 
 #: Bits of the number of counters (fixed size, whatever the input).
 COUNTERS = 23
@@ -344,6 +345,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_
 
     ``docs`` should be a table or file scan: it is scanned three times.
     """
+    ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scan = work.written(scan_sets(slim, n), "sets-scan")
     rows = scan.where("slice IS NULL").select("doc_id", "n", "k1", "k2")

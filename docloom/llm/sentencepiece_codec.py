@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.shipping import ship
+
 SEED = 1
 DROPOUT = 0.1
 STREAMS = 8
@@ -204,6 +206,7 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def encode_documents(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, n_tokens, n_bytes, lossless (the decoded ids equal the text) for every row."""
+    ship(docs.sparkSession)
     path = model or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +229,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, dropout: float =
 
 def decode_documents(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, text from rows of ids."""
+    ship(encoded.sparkSession)
     path = model or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

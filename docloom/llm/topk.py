@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.shipping import ship
+
 SCALE = 64
 K = 20
 QUERY_ROWS = 2048
@@ -91,6 +93,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
 
     ``is_query`` is a condition on ``vec_id``.
     """
+    ship(vectors.sparkSession)
     clean = vectors.select(F.col(id_col).cast("long").alias("vec_id"), scaled(F.col(vector_col), scale).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"))
     n, n_q = vectors.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     rows, cols = max(1, -(-n_q // query_rows)), max(1, -(-n // candidate_rows))

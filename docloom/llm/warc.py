@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import work
+from docloom.shipping import ship
 
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: Headers of a 304 that say something of the body it doesn't have, or of the connection.
@@ -160,6 +161,7 @@ def format_warc(row: dict) -> bytes:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of all WARC files under ``path`` (one task reads a file whole), as RECORDS."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
     raw = RECORDS.replace("timestamp", "string")
 
