@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, mixing, ngram_join, pii, quality, sentencepiece_codec, sharding, topk, warc
+from docloom.llm import exact_dedup, mixing, ngram_join, pii, quality, sentencepiece_codec, sharding, suffix_dedup, topk, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
