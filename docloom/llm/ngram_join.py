@@ -8,8 +8,10 @@ Two documents link when the Jaccard similarity of their sets of word shingles re
    classes of doubling frequency. Classes are the only thing broadcast: 2**COUNTERS bytes.
 2. A second scan emits prefix signatures. Shingles are ordered by class, then hash. A set of n
    shingles may lose p = n - ceil(t*n) of them and still link, so its signatures must survive p
-   losses. Each rare shingle is a signature by itself. Where those are not more than p, the prefix is
-   extended into the frequent classes, and there *pairs* of shingles are the signatures: frequent
+   losses. Each rare shingle is a signature by itself; where there are enough, the prefix is half as
+   long again, so linked sets have several in common and groups with fewer shared ones are dropped
+   before anything is compared. Where rare shingles are not more than p, the prefix is extended into
+   the frequent classes, and there *pairs* of shingles are the signatures: frequent
    shingles are dealt to g groups (g follows the set size; neighbouring size bands share a dealing)
    and a group with m of them in the prefix yields its pairs and survives m-1 losses. The prefix ends
    as soon as its losses exceed p. Linked sets then share a signature: take the one whose prefix ends
@@ -51,8 +53,10 @@ COUNTERS = 23
 _SLICE = 1 << 16
 #: Signatures a task holds before it sends them on.
 _HELD = 4 << 20
+#: Times that groups with too few shared signatures are taken out.
+PRUNE = 2
 #: Leader rounds before all remaining pairs are compared, and when that is done at once.
-ROUNDS = 8
+ROUNDS = 3
 FEW = 4
 _S = np.uint64
 
@@ -137,25 +141,38 @@ def shingle_classes(slices: DataFrame, shingles: int, counters: int = COUNTERS)
 # -- signatures
 
 
-def signatures(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, classes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures and their sets' numbers: of single rare shingles, then of frequent pairs."""
+def _losses(n, num: int, den: int):
+    """How many of n shingles a set may lose and still link."""
+    return n - -(-num * n // den)
+
+
+def _surplus(n, num: int, den: int):
+    """By how much the prefix of a set of rare shingles is longer than its losses."""
+    return 1 + _losses(n, num, den) // 2
+
+
+def signatures(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, classes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """Signatures and their sets' numbers, of counted singles, of free singles, and of frequent pairs."""
     may = sizes * (den - num) >= num  # else no other set is similar enough
-    need = np.where(may, sizes - -(-num * sizes // den) + 1, 0)
+    lose = _losses(sizes, num, den)
+    full = lose + _surplus(sizes, num, den)
     cls = classes[(hashes & _S(len(classes) - 1)).astype(np.int64)]
     order = np.lexsort((hashes, cls, owner))
     hashes, cls, owner = hashes[order], cls[order], owner[order]
     start = np.cumsum(sizes) - sizes
     place = np.arange(len(hashes)) - start[owner]
-    single = (cls == 0) & (place < need[owner])
     rare = np.bincount(owner[cls == 0], minlength=len(sizes))
+    counted = may & (rare >= full)
+    single = counted[owner] & (place < full[owner])
+    free = (may & ~counted)[owner] & (cls == 0)
     pair_sig, pair_of = [np.zeros(0, _S)], [np.zeros(0, np.int64)]
     base = log(den / num) * 1.000001
-    for d in np.flatnonzero(may & (rare < need)):
-        more = need[d] - rare[d]
+    for d in np.flatnonzero(may & (rare <= lose)):
+        more = lose[d] + 1 - rare[d]
         tail = hashes[start[d] + rare[d] : start[d] + sizes[d]]
         band = floor(log(sizes[d]) / base)
         for b in (band, band + 1):
-            groups = max(1, int(0.05 * np.exp(b * base)))
+            groups = max(1, int((1 - num / den) / 3 * np.exp(b * base)))
             dealt = mix(tail ^ _S((b + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % _S(groups)
             _, at = np.unique(dealt, return_index=True)
             again = np.ones(len(tail), np.int64)
@@ -170,11 +187,14 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, classes
             left = np.arange(len(right)) - np.repeat(np.cumsum(count) - count, count) + first[right]
             pair_sig.append(mix(mix(part[left]) * _S(3) + part[right] + _S(b)))
             pair_of.append(np.full(len(right), d))
-    return hashes[single], owner[single], np.concatenate(pair_sig), np.concatenate(pair_of)
+    return hashes[single], owner[single], hashes[free], owner[free], np.concatenate(pair_sig), np.concatenate(pair_of)
+
+
+COUNTED, FREE, PAIR = 0, 1, 2
 
 
-def shared_signatures(docs: DataFrame, classes: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """(sig, id) of all signatures that more than one group has.
+def shared_signatures(docs: DataFrame, groups: DataFrame, classes: np.ndarray, n: int, num: int, den: int) -> DataFrame:
+    """(sig, id) of the signatures that more than one group has and that can lead to a link.
 
     Single shingles go in packed arrays to the partition of their hash and are sorted there; a list
     is no longer than the level under which shingles are rare. Pairs can have long lists: they are
@@ -183,65 +203,88 @@ def shared_signatures(docs: DataFrame, classes: np.ndarray, n: int, num: int, de
     spark = docs.sparkSession
     parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = spark.sparkContext.broadcast(classes)
-    names = ["part", "blob", "sig", "id"]
+    names = ["part", "free", "blob", "sig", "id"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                sig, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-                part = (mix(sig) % _S(parts)).astype(np.int32)
+                sig, ids, free = (np.concatenate(x) for x in zip(*held, strict=True))
+                part = (mix(sig) % _S(parts)).astype(np.int32) * 2 + free
                 order = np.argsort(part, kind="stable")
                 sig, ids, part = sig[order], ids[order], part[order]
                 cut = np.flatnonzero(np.diff(part, prepend=-1))
                 ends = np.append(cut[1:], len(part))
                 blobs = [np.concatenate([sig[a:b], ids[a:b]]).tobytes() for a, b in zip(cut, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(blobs, pa.binary()), pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(part[cut] // 2), pa.array(part[cut] % 2 == 1), pa.array(blobs, pa.binary()), pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64())], names=names)
                 held.clear()
 
         for batch in batches:
             for _, texts in _texts(batch):
                 hashes, owner = shingle_sets(texts, n)
                 size, k1, _ = _set_keys(hashes, owner, len(texts))
-                one, of, two, of_two = signatures(hashes, owner, size, table.value, num, den)
-                if len(one):
-                    held.append((one, k1[of]))
+                one, of, free, of_free, two, of_two = signatures(hashes, owner, size, table.value, num, den)
+                for sig, whose, kind in ((one, of, 0), (free, of_free, 1)):
+                    if len(sig):
+                        held.append((sig, k1[whose], np.full(len(sig), kind, np.int32)))
                 if len(two):
-                    yield pa.RecordBatch.from_arrays([pa.array((mix(two ^ k1[of_two]) % _S(parts)).astype(np.int32)), pa.nulls(len(two), pa.binary()), _signed(two), _signed(k1[of_two])], names=names)
-                if sum(len(x) for x, _ in held) >= _HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array((mix(two ^ k1[of_two]) % _S(parts)).astype(np.int32)), pa.nulls(len(two), pa.bool_()), pa.nulls(len(two), pa.binary()), _signed(two), _signed(k1[of_two])], names=names)
+                if sum(len(x[0]) for x in held) >= _HELD:
                     yield from flush()
         yield from flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, ids = [np.zeros(0, _S)], [np.zeros(0, _S)]
+        sigs, ids, kinds = [np.zeros(0, _S)], [np.zeros(0, _S)], [np.zeros(0, np.int32)]
         for batch in batches:
-            blobs = batch.column(1)
-            for b in blobs.drop_null().to_pylist():
-                both = np.frombuffer(b, _S)
-                sigs.append(both[: len(both) // 2])
-                ids.append(both[len(both) // 2 :])
-            rows = batch.filter(blobs.is_null())
+            for b, free in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b is not None:
+                    both = np.frombuffer(b, _S)
+                    sigs.append(both[: len(both) // 2])
+                    ids.append(both[len(both) // 2 :])
+                    kinds.append(np.full(len(both) // 2, FREE if free else COUNTED, np.int32))
+            rows = batch.filter(batch.column(2).is_null())
             if len(rows):
-                yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(3), pa.array(np.ones(len(rows), bool))], names=["sig", "id", "pair"])
-        sig, i = np.concatenate(sigs), np.concatenate(ids)
+                yield pa.RecordBatch.from_arrays([rows.column(3), rows.column(4), pa.array(np.full(len(rows), PAIR, np.int32))], names=["sig", "id", "kind"])
+        sig, i, kind = np.concatenate(sigs), np.concatenate(ids), np.concatenate(kinds)
         order = np.lexsort((i, sig))
-        sig, i = sig[order], i[order]
+        sig, i, kind = sig[order], i[order], kind[order]
         if len(sig):
             new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1])])
-            sig, i = sig[new], i[new]
+            sig, i, kind = sig[new], i[new], kind[new]
             same = sig[1:] == sig[:-1]
             multi = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            sig, i = sig[multi], i[multi]
+            sig, i, kind = sig[multi], i[multi], kind[multi]
         for at in range(0, len(sig), 1 << 16):
             s = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([_signed(sig[s]), _signed(i[s]), pa.array(np.zeros(len(sig[s]), bool))], names=["sig", "id", "pair"])
+            yield pa.RecordBatch.from_arrays([_signed(sig[s]), _signed(i[s]), pa.array(kind[s])], names=["sig", "id", "kind"])
 
-    found = docs.mapInArrow(emit, "part int, blob binary, sig bigint, id bigint").repartition(parts, "part").mapInArrow(gather, "sig bigint, id bigint, pair boolean")
+    found = docs.mapInArrow(emit, "part int, free boolean, blob binary, sig bigint, id bigint").repartition(parts, "part").mapInArrow(gather, "sig bigint, id bigint, kind int")
     found = work.written(found, "signatures")
-    pairs = found.where("pair").select("sig", "id").distinct()
-    lists = pairs.groupBy("sig").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a < _b").select("sig")
-    return found.where("NOT pair").select("sig", "id").unionByName(pairs.join(lists, "sig"))
+    singles = found.where(F.col("kind") != PAIR)
+    for _ in range(PRUNE):
+        singles = work.written(_enough(_held_twice(singles), groups, num, den), "singles")
+    pairs = found.where(F.col("kind") == PAIR).distinct()
+    return _held_twice(singles).unionByName(_held_twice(pairs)).select("sig", "id")
+
+
+def _held_twice(rows: DataFrame) -> DataFrame:
+    lists = rows.groupBy("sig").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a < _b").select("sig")
+    return rows.join(lists, "sig")
+
+
+def _enough(rows: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Without the counted singles of groups that have too few left to link with any other group.
+
+    The prefix of n rare shingles is longer than its losses by surplus(n), so of two linked sets the
+    one whose prefix ends first has that many in common with the other. Its size is t*n at least.
+    """
+    smaller = F.ceil(F.col("n") * num / den)
+    losses = smaller - F.ceil(smaller * num / den)
+    least = 1 + F.floor(losses / 2)
+    counts = rows.where(F.col("kind") == COUNTED).groupBy("id").agg(F.count(F.lit(1)).alias("_c"))
+    kept = counts.join(groups.select("id", "n"), "id").where(F.col("_c") >= least).select("id")
+    return rows.where(F.col("kind") == FREE).unionByName(rows.where(F.col("kind") == COUNTED).join(kept, "id").select("sig", "id", "kind"))
 
 
 # -- verification
@@ -298,8 +341,10 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    # b is found in the bucketed sets; the sets of a are fewer, and where one is asked for often Spark splits its rows
+    held = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    leaders = work.written(sets.join(pairs.select(F.col("a").alias("id")).distinct(), "id").select(F.col("id").alias("a"), F.col("set").alias("x")), "leader-sets")
+    joined = held.join(leaders, "a").select("a", "b", "x", "y")
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -325,12 +370,13 @@ def link_groups(shared: DataFrame, groups: DataFrame, sets: DataFrame, num: int,
             lead = held.groupBy("sig").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("_h"), F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))).alias("l")).select("sig", "l._h", "l._id", "l._n", "l._comp")
             near = held.join(lead, "sig").where(alike)
             met = near.groupBy("id").agg(F.min(F.struct("_h", "_id")).alias("m")).select("id", "m._id")
-        pairs = met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
+        pairs = met.select(F.col("_id").alias("a"), F.col("id").alias("b"), F.least("id", "_id").alias("low"), F.greatest("id", "_id").alias("high")).dropDuplicates(["low", "high"])
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["low", "high"], "left_anti")
         pairs = work.written(pairs, "pairs")
         links = work.written(verified(pairs, sets, num, den), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        done = pairs.select("low", "high")
+        tested = done if tested is None else tested.unionByName(done)
         name = labels.select(F.col("id"), F.col("comp"))
         ends = links.join(name.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(name.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
         merged = connected(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
@@ -352,9 +398,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_
     groups = work.written(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first_id")).select(F.col("k1").alias("id"), "n", "first_id"), "set-groups")
     total = rows.agg(F.sum("n")).first()[0] or 0
     classes = shingle_classes(scan.where("slice IS NOT NULL").select("slice", "blob"), total)
-    shared = work.written(shared_signatures(slim, classes, n, num, den), "shared")
+    shared = work.written(shared_signatures(slim, groups, classes, n, num, den), "shared")
     chosen = shared.select("id").distinct().join(groups, "id").select(F.coalesce("first_id", F.lit(-1)).alias("first_id"))
-    sets = work.written(scan_chosen(slim, mark_ids(chosen), n).dropDuplicates(["id"]), "sets")
+    sets = work.bucketed(scan_chosen(slim, mark_ids(chosen), n), "sets", "id")
     labels = link_groups(shared, groups, sets, num, den)
     named = groups.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))

@@ -1,31 +1,38 @@
-"""The stages of the corpus pipeline as functions of (spark, docs, sf_dir)."""
+"""The stages of the corpus pipeline as functions of (spark, docs, sf_dir).
+
+``docs`` is a written table; each stage first deletes the working tables of the one before.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm import exact_dedup, mixing, ngram_join, quality, sentencepiece_codec
+from docloom.llm import exact_dedup, mixing, ngram_join, quality, sentencepiece_codec, work
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, trained on the labels of ``sf_dir``, predicts to be good."""
+    work.release(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, that of the largest doc_id."""
+    work.release(spark)
     return exact_dedup.keep_one(docs).select(*docs.columns)
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates (5 words, Jaccard 0.8), that of the smallest doc_id."""
+    work.release(spark)
     return ngram_join.keep_one(docs).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it (0 to 2); rows of one id, size and source share their copies."""
+    work.release(spark)
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(mixing.WORDS)), F.lit(0)).cast("long")
     due = mixing.mix(docs).groupBy("doc_id", "size", "source").agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_n"))
     due = due.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), "_c", "_n")
@@ -40,4 +47,5 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, n_bytes, lossless of every row."""
+    work.release(spark)
     return sentencepiece_codec.encode_documents(docs)

@@ -27,10 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_tables: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the working tables written so far: call it once what was built on them is written itself."""
+    jvm = spark.sparkContext._jvm
+    for path in _tables:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _tables.clear()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
@@ -38,10 +50,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    _tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Like ``written``, but bucketed by ``column``: later joins on it shuffle only the other side."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    _tables.append(path)
+    table = "docloom_" + path.rpartition("-")[2]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, column).write.bucketBy(n, column).option("compression", "zstd").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def number_rows(df: DataFrame, *order: Column, name: str = "rows", to: str = "row_no") -> DataFrame:
     """Add gapless global row numbers (from 0) in the given order, without a single-task window.
 
