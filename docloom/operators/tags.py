@@ -74,24 +74,22 @@ def extract_tags(docs: DataFrame) -> DataFrame:
     d = d.withColumn("cjk", tx.script(F.concat("body", F.lit(" "), "title")) == "cjk")
     tokens = lambda c: F.when(F.col("cjk"), cjk_tokens(F.col(c))).otherwise(latin_tokens(F.col(c)))
     nouns = lambda c: F.when(F.col("cjk"), cjk_names(F.col(c))).otherwise(proper_nouns(F.col(c)))
-    stop = F.when(F.col("cjk"), F.array(*map(F.lit, STOP_CJK))).otherwise(F.array(*map(F.lit, STOP_LATIN)))
-    useful = F.filter(tokens("body"), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
-    d = d.select("doc_id", stop.alias("stop"), useful.alias("words"), tokens("title").alias("heads"), F.filter(F.concat(nouns("title"), nouns("body")), lambda n: (F.size(F.split(n, r"\s+")) <= 3) & (F.length(n) > 1)).alias("nouns"))
-    general = F.array(*map(F.lit, GENERIC))
+    stops = lambda t: F.when(F.col("cjk"), t.isin(STOP_CJK)).otherwise(t.isin(STOP_LATIN))
+    useful = F.filter(tokens("body"), lambda t: (F.length(t) > 1) & ~stops(t))
+    d = d.select("doc_id", "cjk", useful.alias("words"), tokens("title").alias("heads"), F.filter(F.concat(nouns("title"), nouns("body")), lambda n: (F.size(F.split(n, r"\s+")) <= 3) & (F.length(n) > 1)).alias("nouns"))
 
     names = _ranked(token_counts(d, F.col("nouns")), 3, "doc_id").select("doc_id", F.lit(1).alias("phase"), "rank", F.lower(F.trim("token")).alias("token"))
-    names = names.where(~F.array_contains(general, F.col("token")) & (F.length("token") > 1))
+    names = names.where(~F.col("token").isin(GENERIC) & (F.length("token") > 1))
     body = token_counts(d, F.col("words"))
     head = token_counts(d, F.col("heads"))
     both = body.unionByName(head.select("doc_id", "token", (F.col("freq") * 2).alias("freq"), (F.col("pos") + 1_000_000_000).alias("pos"))).groupBy("doc_id", "token").agg(F.sum("freq").alias("freq"), F.min("pos").alias("pos"))
     words = _ranked(both, 40, "doc_id").select("doc_id", F.lit(2).alias("phase"), "rank", "token")
     titles = _ranked(head, 10, "doc_id").select("doc_id", F.lit(3).alias("phase"), "rank", F.lower("token").alias("token"))
-    titles = titles.where(~F.array_contains(general, F.col("token")))
-    stops = d.select("doc_id", "stop")
-    rest = words.unionByName(titles).join(stops, "doc_id").where(~F.array_contains("stop", F.col("token"))).drop("stop")
+    titles = titles.where(~F.col("token").isin(GENERIC))
+    rest = words.unionByName(titles).join(d.select("doc_id", "cjk"), "doc_id").where(~stops(F.col("token"))).drop("cjk")
     all_ = names.unionByName(rest).groupBy("doc_id", "token").agg(F.min(F.struct("phase", "rank")).alias("at"))
     five = all_.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "token"))).where("n <= 5")
-    kept = five.where(~F.array_contains(general, F.col("token")) | F.col("token").contains(" "))
+    kept = five.where(~F.col("token").isin(GENERIC) | F.col("token").contains(" "))
     lists = kept.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda s: s["token"]).alias("tags"))
     return docs.select("doc_id").distinct().join(lists, "doc_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 

@@ -230,7 +230,7 @@ SELECT doc_id, token, CAST(freq AS BIGINT) AS freq, CAST(rank AS INTEGER) AS ran
 )
 def top_tags_per_doc(spark, sf):
     d = table(spark, sf, "documents")
-    body = tags.token_counts(d, F.filter(tags.latin_tokens(_text()), lambda t: ~t.isin(*tags.STOP_LATIN)))
+    body = tags.token_counts(d, F.filter(tags.latin_tokens(_text()), lambda t: ~t.isin(tags.STOP_LATIN)))
     head = tags.token_counts(d, tags.latin_tokens(F.element_at(F.split("text", "\n", -1), 1)), 2).withColumn("pos", F.col("pos") + 1_000_000_000)
     both = body.unionByName(head).groupBy("doc_id", "token").agg(F.sum("freq").alias("freq"), F.min("pos").alias("pos"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("freq"), "pos"))
