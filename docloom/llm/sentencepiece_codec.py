@@ -32,7 +32,7 @@ SEED = 1
 DROPOUT = 0.1
 STREAMS = 8
 #: Bytes of text that are encoded together.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 UNITS = re.compile(r"\n| *[^ \n]+| +")
 SPACE = "▁"
