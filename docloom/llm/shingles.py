@@ -21,7 +21,7 @@ _LOWER[0x41:0x5B] += 32
 _POWERS = np.ones(1, np.uint64)
 
 #: Bytes of text that are hashed together.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
