@@ -8,15 +8,16 @@ matter up to LENGTH bytes here ("windows"), and they are sorted where equal ones
    in 80 positions is one. A first scan counts anchor hashes (each task sends a hash once, so a
    passage in a third of all texts costs no more than one row a task).
 2. A second scan takes the runs of windows ("segments") whose anchor is marked in a bit table of
-   fixed size as occurring twice; the table only saves work and may mark too much. A segment's bytes
-   are sent once per task, its occurrences as (digest, row, place).
-3. Segments that occur twice as a whole are repeats throughout. The different segments of an anchor
-   are brought together, and for each offset their suffixes are mergesorted: two suffixes are
+   fixed size as occurring twice (the table only saves work and may mark too much), and sends their
+   digests and places. Segments that occur twice as a whole are repeats throughout.
+3. A third scan sends the bytes of segments whose anchor has several different ones, each once a
+   task. The segments of an anchor are brought together, and for each offset their suffixes are mergesorted: two suffixes are
    compared by binary search for their common extension over prefix polynomial hashes, then by the
    next byte, so a comparison takes log2(LENGTH) steps. Neighbours that agree in LENGTH bytes are
    compared byte by byte against hash collisions, and both windows are repeats. Anchors with many
    different segments are spread over several tasks by offset.
-4. Ranges go back to their rows and the remaining bytes are joined and hashed.
+4. Ranges go back to their rows. A last scan sends the texts of rows that are cut in part, to be
+   joined with their ranges by SHA-256; what remains is joined and hashed.
 
 Defined results: a null text is empty; texts shorter than LENGTH bytes stay whole; matches never
 cross documents; overlapping occurrences in one document count; repeated rows remove each other
@@ -152,47 +153,100 @@ def mark_repeated(docs: DataFrame, length: int, k: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def mark_hashes(hashes: DataFrame) -> np.ndarray:
+    """A packed bit table of the same shape with the bit of every value (BIGINT) set."""
+    shift, width = 64 - MARKS, 1 << (MARKS - PARTS)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_S) for batch in batches]
+        h = np.unique(np.concatenate(held)) if held else np.zeros(0, _S)
+        part = (h >> _S(64 - PARTS)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, b in zip(cut, np.append(cut[1:], len(h)), strict=True):
+            marks = np.zeros(width, np.uint8)
+            marks[((h[a:b] >> _S(shift)) & _S(width - 1)).astype(np.int64)] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([zlib.compress(np.packbits(marks).tobytes(), 1)], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros((1 << PARTS, width // 8), np.uint8)
+    for r in hashes.mapInArrow(emit, "part int, bits binary").toLocalIterator():
+        out[r["part"]] |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out.reshape(-1)
+
+
 def _marked(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = (h >> _S(64 - MARKS)).astype(np.int64)
     return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
-SCAN = "row bigint, doc_id bigint, n_bytes bigint, sha string, text binary, digest binary, place int, windows int, anchor bigint, back int, data binary"
+def _digest(data: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def scan_segments(docs: DataFrame, table: np.ndarray, length: int, k: int) -> DataFrame:
-    """Three kinds of rows: texts (n_bytes set), occurrences (place set) and segments (data set)."""
+def _sha(raw: bytes) -> bytes:
+    return hashlib.sha256(raw).digest()
+
+
+def scan_places(docs: DataFrame, table: np.ndarray, length: int, k: int) -> DataFrame:
+    """Rows of texts (n_bytes and sha set) and of their marked segments (place set): digest, anchor, place, windows."""
     bits = docs.sparkSession.sparkContext.broadcast(table)
-    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "sha": pa.string(), "text": pa.binary(), "digest": pa.binary(), "place": pa.int32(), "windows": pa.int32(), "anchor": pa.int64(), "back": pa.int32(), "data": pa.binary()}
+    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "sha": pa.binary(), "d1": pa.int64(), "d2": pa.int64(), "anchor": pa.int64(), "place": pa.int32(), "windows": pa.int32()}
 
     def rows(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=[*kinds])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()
         for batch in batches:
             for i, j, raw in _raw_blocks(batch, 2):
-                joined, starts, text, first, count, h, at = segments(raw, length, k)
+                joined, starts, text, first, count, h, _ = segments(raw, length, k)
                 hit = _marked(bits.value, h)
-                text, first, count, h, at = text[hit], first[hit], count[hit], h[hit], at[hit]
-                pieces = [joined[a : a + n + length - 1] for a, n in zip(first.tolist(), count.tolist(), strict=True)]
-                digests = [hashlib.blake2b(p, digest_size=16).digest() for p in pieces]
+                text, first, count, h = text[hit], first[hit], count[hit], h[hit]
+                digests = [_digest(joined[a : a + n + length - 1]) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
                 row, doc = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
-                some = np.zeros(len(raw), bool)
-                some[text] = True
-                shas = [hashlib.sha256(r).hexdigest() for r in raw]
-                yield rows(len(raw), row=row, doc_id=doc, n_bytes=[len(r) for r in raw], sha=shas, text=[zlib.compress(r, 3) if s else None for r, s in zip(raw, some, strict=True)])
-                yield rows(len(text), row=row.take(pa.array(text)), digest=digests, place=(first - starts[text]).astype(np.int32), windows=count.astype(np.int32))
-                if len(sent) > 1 << 20:
-                    sent.clear()
-                new = []
-                for x, d in enumerate(digests):
+                yield rows(len(raw), row=row, doc_id=doc, n_bytes=[len(r) for r in raw], sha=[_sha(r) for r in raw])
+                if digests:
+                    d1, d2 = zip(*digests, strict=True)
+                    yield rows(len(text), row=row.take(pa.array(text)), d1=d1, d2=d2, anchor=h.view(np.int64), place=(first - starts[text]).astype(np.int32), windows=count.astype(np.int32))
+
+    return docs.mapInArrow(emit, "row bigint, doc_id bigint, n_bytes bigint, sha binary, d1 bigint, d2 bigint, anchor bigint, place int, windows int")
+
+
+def scan_segments(docs: DataFrame, table: np.ndarray, length: int, k: int) -> DataFrame:
+    """(d1, d2, anchor, back, data): the segments of marked anchors, each once a task."""
+    bits = docs.sparkSession.sparkContext.broadcast(table)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
+        for batch in batches:
+            for _, _, raw in _raw_blocks(batch, 2):
+                joined, _, _, first, count, h, at = segments(raw, length, k)
+                out = []
+                for x in np.flatnonzero(_marked(bits.value, h)).tolist():
+                    data = joined[first[x] : first[x] + count[x] + length - 1]
+                    d = _digest(data)
                     if d not in sent:
+                        if len(sent) > 1 << 20:
+                            sent.clear()
                         sent.add(d)
-                        new.append(x)
-                yield rows(len(new), digest=[digests[x] for x in new], anchor=h[new].view(np.int64), back=(at - first)[new].astype(np.int32), data=[pieces[x] for x in new])
+                        out.append((*d, int(h[x].view(np.int64)), int(at[x] - first[x]), data))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["d1", "d2", "anchor", "back", "data"])
 
-    return docs.mapInArrow(emit, SCAN)
+    return docs.mapInArrow(emit, "d1 bigint, d2 bigint, anchor bigint, back int, data binary")
+
+
+def scan_texts(docs: DataFrame, table: np.ndarray) -> DataFrame:
+    """(sha, text): the compressed bytes of texts whose SHA-256 is marked."""
+    bits = docs.sparkSession.sparkContext.broadcast(table)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, raw in _raw_blocks(batch, 2):
+                shas = [_sha(r) for r in raw]
+                hit = np.flatnonzero(_marked(bits.value, np.frombuffer(b"".join(x[:8] for x in shas), _S))).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([shas[x] for x in hit], pa.binary()), pa.array([zlib.compress(raw[x], 3) for x in hit], pa.binary())], names=["sha", "text"])
+
+    return docs.mapInArrow(emit, "sha binary, text binary")
 
 
 # -- the suffix sort
@@ -314,81 +368,97 @@ def repeated_windows(data: list[bytes], anchor: np.ndarray, back: np.ndarray, sp
     return runs
 
 
-def sorted_segments(scan: DataFrame, length: int) -> DataFrame:
-    """(digest, first, last): repeated windows of the segments of anchors that have several."""
-    different = work.written(scan.where("data IS NOT NULL").select("anchor", "digest", "back", "data").dropDuplicates(["anchor", "digest"]), "segments")
-    several = work.written(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
-    few = different.join(several.where(f"n <= {MANY}"), "anchor").withColumn("spread", F.lit(-1))
-    many = different.join(several.where(f"n > {MANY}"), "anchor").withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    together = few.unionByName(many).repartition("anchor", "spread").sortWithinPartitions("anchor", "spread").select("digest", "anchor", "back", "data", "spread")
+def sorted_segments(data: DataFrame, several: DataFrame, length: int) -> DataFrame:
+    """(d1, d2, first, last): repeated windows of the segments in ``data`` of anchors that have several (anchor, n)."""
+    known = data.join(several, "anchor")
+    few = known.where(f"n <= {MANY}").withColumn("spread", F.lit(-1))
+    many = known.where(f"n > {MANY}").withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    together = few.unionByName(many).select("d1", "d2", "anchor", "back", "data", "spread").repartition("anchor", "spread").sortWithinPartitions("anchor", "spread", "d1", "d2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        windows, key = 0, None
+        windows, last = 0, None
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                digest, anchor, back, data, spread = zip(*held, strict=True)
+                d1, d2, anchor, back, data, spread = zip(*held, strict=True)
                 runs = repeated_windows([*data], np.array(anchor, np.int64), np.array(back, np.int64), np.array(spread, np.int64), length)
-                flat = [(d, f, t) for d, r in zip(digest, runs, strict=True) for f, t in r]
+                flat = [(a, b, f, t) for a, b, r in zip(d1, d2, runs, strict=True) for f, t in r]
                 held.clear()
                 if flat:
-                    d, f, t = zip(*flat, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(f, pa.int32()), pa.array(t, pa.int32())], names=["digest", "first", "last"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["d1", "d2", "first", "last"])
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (r[1], r[4]) != key and windows >= _SORT:
+                if last and r[:3] == last[:3] and r[5] == last[5]:
+                    continue  # sent by another task, too
+                if last and (r[2], r[5]) != (last[2], last[5]) and windows >= _SORT:
                     yield from done()
                     windows = 0
-                key = (r[1], r[4])
+                last = (*r[:4], None, r[5])
                 held.append(r)
-                windows += len(r[3]) - length + 1
+                windows += len(r[4]) - length + 1
         yield from done()
 
-    return together.mapInArrow(run, "digest binary, first int, last int")
+    return together.mapInArrow(run, "d1 bigint, d2 bigint, first int, last int")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, null if all remain) per row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, null if all or none remain) per row.
+
+    ``docs`` should be a table or file scan: its texts are scanned four times and never shuffled,
+    but for the compressed texts of rows that are cut in part.
+    """
     ship(docs.sparkSession)
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scan = work.written(scan_segments(slim, mark_repeated(slim.select("text"), length, k), length, k), "repeat-scan")
-    places = scan.where("place IS NOT NULL").select("row", "digest", "place", "windows")
-    found = sorted_segments(scan, length).groupBy("digest").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    twice = places.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.first("windows").alias("w")).where("n > 1").select("digest", F.array(F.struct(F.lit(0).alias("first"), (F.col("w") - 1).alias("last"))).alias("whole"))
-    repeats = work.written(twice.join(found, "digest", "full").select("digest", F.coalesce("whole", "runs").alias("runs")), "repeats")
-    ranges = work.written(places.join(repeats, "digest").select("row", "place", F.explode("runs").alias("r")).select("row", F.struct((F.col("place") + F.col("r.first")).alias("a"), (F.col("place") + F.col("r.last") + length).alias("b")).alias("range")), "ranges")
-    by_row = ranges.groupBy("row").agg(F.array_sort(F.collect_list("range")).alias("ranges"))
-    texts = scan.where("n_bytes IS NOT NULL").select("row", "doc_id", "n_bytes", "sha", "text")
-    clean = texts.where("text IS NULL").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
-    suspect = texts.where("text IS NOT NULL").join(by_row, "row", "left").select("doc_id", "n_bytes", "sha", "text", F.transform("ranges", lambda r: r["a"]).alias("a"), F.transform("ranges", lambda r: r["b"]).alias("b"))
+    scan = work.written(scan_places(slim, mark_repeated(slim.select("text"), length, k), length, k), "repeat-scan")
+    places = scan.where("place IS NOT NULL").select("row", "d1", "d2", "anchor", "place", "windows")
+    digests = work.written(places.groupBy("anchor", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("windows").alias("w")), "digests")
+    several = work.written(digests.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
+    data = work.written(scan_segments(slim, mark_hashes(several.select("anchor")), length, k), "segments")
+    found = sorted_segments(data, several, length)
+    twice = digests.where("n > 1").select("d1", "d2", F.lit(0).alias("first"), (F.col("w") - 1).cast("int").alias("last"))
+    repeats = work.written(twice.unionByName(found), "repeats")
+    met = places.join(repeats, ["d1", "d2"]).select("row", (F.col("place") + F.col("first")).alias("a"), (F.col("place") + F.col("last") + length).alias("b"))
+    by_row = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("r"))
+
+    def add(acc, x):
+        # ranges in order: sums of the closed runs, and the run that is open
+        joins = x["a"] <= acc["end"]
+        return F.struct(
+            F.when(joins, acc["spans"]).otherwise(F.array_append(acc["spans"], F.struct(acc["begin"].alias("a"), acc["end"].alias("b")))).alias("spans"),
+            F.when(joins, acc["begin"]).otherwise(x["a"]).alias("begin"),
+            F.when(joins, F.greatest(acc["end"], x["b"])).otherwise(x["b"]).alias("end"),
+        )
+
+    head = F.element_at("r", 1)
+    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("spans"), head["a"].alias("begin"), head["b"].alias("end"))
+    spans = F.aggregate("r", start, add, lambda acc: F.array_append(acc["spans"], F.struct(acc["begin"].alias("a"), acc["end"].alias("b"))))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"])
+    texts = scan.where("n_bytes IS NOT NULL").select("row", "doc_id", "n_bytes", "sha")
+    judged = texts.join(by_row.select("row", spans.alias("spans")), "row", "left").withColumn("n_removed", F.coalesce(removed, F.lit(0).cast("long")))
+    judged = work.written(judged.withColumn("n_spans", F.coalesce(F.size(F.col("spans")), F.lit(0)).cast("long")).withColumn("n_spans", F.greatest("n_spans", F.lit(0).cast("long"))), "judged")
+    part = (F.col("n_removed") > 0) & (F.col("n_removed") < F.col("n_bytes"))
+    whole = judged.where(~part).select("doc_id", "n_bytes", "n_removed", "n_spans", F.when(F.col("n_removed") == 0, F.lower(F.hex("sha"))).otherwise(F.sha2(F.lit(""), 256)).alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
+
+    def first_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "little", signed=True) for x in batch.column(0).to_pylist()], pa.int64())], names=["h"])
+
+    chosen = mark_hashes(judged.where(part).select("sha").mapInArrow(first_bytes, "h bigint"))
+    cut_rows = judged.where(part).join(scan_texts(slim, chosen), "sha").select("doc_id", "n_bytes", "n_removed", "n_spans", "text", F.transform("spans", lambda r: r["a"]).alias("a"), F.transform("spans", lambda r: r["b"]).alias("b"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, n, sha, z, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not a:
-                    out.append((doc, n, 0, 0, sha, None))
-                    continue
-                spans: list[list[int]] = []
-                for x, y in zip(a, b, strict=True):
-                    if spans and x <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], y)
-                    else:
-                        spans.append([x, y])
-                raw, kept, at = zlib.decompress(z), [], 0
-                for x, y in spans:
-                    kept.append(raw[at:x])
-                    at = y
-                rest = b"".join([*kept, raw[at:]])
-                out.append((doc, n, n - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    return clean.unionByName(suspect.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"))
+            shas, rest = [], []
+            for z, a, b in zip(*(c.to_pylist() for c in batch.columns[4:]), strict=True):
+                raw = zlib.decompress(z)
+                kept = b"".join(raw[x:y] for x, y in zip([0, *b], [*a, len(raw)], strict=True))
+                shas.append(hashlib.sha256(kept).hexdigest())
+                rest.append(kept)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shas, pa.string()), pa.array(rest, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return whole.unionByName(cut_rows.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
