@@ -12,13 +12,19 @@ from pyspark.sql import SparkSession
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
+#: Rows can be long texts or vectors: Arrow batches are bounded by bytes unless the session says otherwise.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, DEFAULT_BATCH = "4m", {"67108864b", "64m", "67108864"}
+
 
 def ship(spark: SparkSession) -> None:
-    """Add the package's sources to the session's Python files, once for each application.
+    """Prepare a session for Python on its workers: sources as Python files (once for each application), small batches.
 
     Functions given to mapInArrow and its kin are pickled by reference, so workers must be able to
     import the package even where it isn't installed on them.
     """
+    if spark.conf.get(BATCH, "") in DEFAULT_BATCH:
+        spark.conf.set(BATCH, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped or not _ROOT.is_dir():
         return
