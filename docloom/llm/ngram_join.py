@@ -52,7 +52,7 @@ from docloom.shipping import ship
 COUNTERS = 23
 _SLICE = 1 << 16
 #: Signatures a task holds before it sends them on.
-_HELD = 4 << 20
+_HELD = 1 << 20
 #: Times that groups with too few shared signatures are taken out.
 PRUNE = 2
 #: Leader rounds before all remaining pairs are compared, and when that is done at once.
