@@ -23,7 +23,7 @@ def ship(spark: SparkSession) -> None:
     Functions given to mapInArrow and its kin are pickled by reference, so workers must be able to
     import the package even where it isn't installed on them.
     """
-    if spark.conf.get(BATCH, "") in DEFAULT_BATCH:
+    if spark.conf.get(BATCH, "64m") in DEFAULT_BATCH:
         spark.conf.set(BATCH, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped or not _ROOT.is_dir():
