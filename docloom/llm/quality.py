@@ -230,6 +230,12 @@ def score(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD, text_c
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_stats")
 
 
+def keep_good(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """``docs`` whose score reaches the threshold, with the columns they have."""
+    with_stats = docs.withColumn("_docloom_stats", F.struct(*[c.alias(n) for n, c in statistics(F.col(text_col)).items()]))
+    return with_stats.where(model.column(lambda n: F.col("_docloom_stats")[n]) >= threshold).drop("_docloom_stats")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents: doc_id, held_out, score, predicted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
