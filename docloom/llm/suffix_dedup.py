@@ -113,7 +113,7 @@ def mark_repeated(docs: DataFrame, length: int, k: int) -> np.ndarray:
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held:
+            if any(map(len, held)):
                 h, n = np.unique(np.concatenate(held), return_counts=True)
                 part = (h >> _S(64 - PARTS)).astype(np.int64)
                 cut = np.flatnonzero(np.diff(part, prepend=-1))
@@ -159,7 +159,9 @@ def mark_hashes(hashes: DataFrame) -> np.ndarray:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_S) for batch in batches]
-        h = np.unique(np.concatenate(held)) if held else np.zeros(0, _S)
+        if not any(map(len, held)):
+            return
+        h = np.unique(np.concatenate(held))
         part = (h >> _S(64 - PARTS)).astype(np.int64)
         cut = np.flatnonzero(np.diff(part, prepend=-1))
         for a, b in zip(cut, np.append(cut[1:], len(h)), strict=True):
