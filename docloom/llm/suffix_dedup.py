@@ -213,9 +213,9 @@ def scan_places(docs: DataFrame, table: np.ndarray, length: int, k: int) -> Data
     return docs.mapInArrow(emit, "row bigint, doc_id bigint, n_bytes bigint, sha binary, d1 bigint, d2 bigint, anchor bigint, place int, windows int")
 
 
-def scan_segments(docs: DataFrame, table: np.ndarray, length: int, k: int) -> DataFrame:
-    """(d1, d2, anchor, back, data): the segments of marked anchors, each once a task."""
-    bits = docs.sparkSession.sparkContext.broadcast(table)
+def scan_segments(docs: DataFrame, table: np.ndarray, large: np.ndarray, length: int, k: int) -> DataFrame:
+    """(d1, d2, anchor, back, data, large): the segments of marked anchors, each once a task; whether the anchor is marked as large."""
+    bits, most = docs.sparkSession.sparkContext.broadcast(table), docs.sparkSession.sparkContext.broadcast(large)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[tuple[int, int]] = set()
@@ -223,6 +223,7 @@ def scan_segments(docs: DataFrame, table: np.ndarray, length: int, k: int) -> Da
             for _, _, raw in _raw_blocks(batch, 2):
                 joined, _, _, first, count, h, at = segments(raw, length, k)
                 out = []
+                many = _marked(most.value, h)
                 for x in np.flatnonzero(_marked(bits.value, h)).tolist():
                     data = joined[first[x] : first[x] + count[x] + length - 1]
                     d = _digest(data)
@@ -230,11 +231,11 @@ def scan_segments(docs: DataFrame, table: np.ndarray, length: int, k: int) -> Da
                         if len(sent) > 1 << 20:
                             sent.clear()
                         sent.add(d)
-                        out.append((*d, int(h[x].view(np.int64)), int(at[x] - first[x]), data))
+                        out.append((*d, int(h[x].view(np.int64)), int(at[x] - first[x]), data, bool(many[x])))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["d1", "d2", "anchor", "back", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], names=["d1", "d2", "anchor", "back", "data", "large"])
 
-    return docs.mapInArrow(emit, "d1 bigint, d2 bigint, anchor bigint, back int, data binary")
+    return docs.mapInArrow(emit, "d1 bigint, d2 bigint, anchor bigint, back int, data binary, large boolean")
 
 
 def scan_texts(docs: DataFrame, table: np.ndarray) -> DataFrame:
@@ -370,12 +371,10 @@ def repeated_windows(data: list[bytes], anchor: np.ndarray, back: np.ndarray, sp
     return runs
 
 
-def sorted_segments(data: DataFrame, several: DataFrame, length: int) -> DataFrame:
-    """(d1, d2, first, last): repeated windows of the segments in ``data`` of anchors that have several (anchor, n)."""
-    known = data.join(several, "anchor")
-    few = known.where(f"n <= {MANY}").withColumn("spread", F.lit(-1))
-    many = known.where(f"n > {MANY}").withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    together = few.unionByName(many).select("d1", "d2", "anchor", "back", "data", "spread").repartition("anchor", "spread").sortWithinPartitions("anchor", "spread", "d1", "d2")
+def sorted_segments(data: DataFrame, length: int) -> DataFrame:
+    """(d1, d2, first, last): repeated windows of segments (d1, d2, anchor, back, data, large)."""
+    spread = F.when(F.col("large"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(-1)))
+    together = data.select("d1", "d2", "anchor", "back", "data", F.explode(spread).alias("spread")).repartition("anchor", "spread").sortWithinPartitions("anchor", "spread", "d1", "d2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -417,8 +416,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     places = scan.where("place IS NOT NULL").select("row", "d1", "d2", "anchor", "place", "windows")
     digests = work.written(places.groupBy("anchor", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("windows").alias("w")), "digests")
     several = work.written(digests.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
-    data = work.written(scan_segments(slim, mark_hashes(several.select("anchor")), length, k), "segments")
-    found = sorted_segments(data, several, length)
+    large = mark_hashes(several.where(F.col("n") > MANY).select("anchor"))
+    found = sorted_segments(scan_segments(slim, mark_hashes(several.select("anchor")), large, length, k), length)
     twice = digests.where("n > 1").select("d1", "d2", F.lit(0).alias("first"), (F.col("w") - 1).cast("int").alias("last"))
     repeats = work.written(twice.unionByName(found), "repeats")
     met = places.join(repeats, ["d1", "d2"]).select("row", (F.col("place") + F.col("first")).alias("a"), (F.col("place") + F.col("last") + length).alias("b"))
