@@ -48,7 +48,7 @@ MARKS, PARTS = 27, 10
 MANY, SPREAD = 2000, 16
 _HELD = 2 << 20
 #: Windows sorted together in a task.
-_SORT = 1 << 20
+_SORT = 1 << 18
 _S = np.uint64
 _BASE = _S(0xD1342543DE82EF95)
 _BYTE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=_S) * _S(2) + _S(1)
@@ -228,7 +228,7 @@ def scan_segments(docs: DataFrame, table: np.ndarray, large: np.ndarray, length:
                     data = joined[first[x] : first[x] + count[x] + length - 1]
                     d = _digest(data)
                     if d not in sent:
-                        if len(sent) > 1 << 20:
+                        if len(sent) > 1 << 16:
                             sent.clear()
                         sent.add(d)
                         out.append((*d, int(h[x].view(np.int64)), int(at[x] - first[x]), data, bool(many[x])))
