@@ -19,7 +19,7 @@ Two documents link when the Jaccard similarity of their sets of word shingles re
    as a signature has remain, and they lie in the other's prefix as well.
 3. Signatures held by one group only are dropped. For the others links are verified on the whole
    sets. Rounds pick one leader per signature and verify members against it, and what is already
-   connected is not compared again, so a large group of near copies takes about one comparison a
+   connected is not compared again, so a large group of near copies takes a few comparisons a
    member; the last round verifies every remaining pair of a signature whose two sides are not yet
    connected. No pair of different components is left out, whatever the size of a signature's list.
 4. Components are labelled by their smallest doc_id.
@@ -55,6 +55,8 @@ _SLICE = 1 << 16
 _HELD = 1 << 20
 #: Times that groups with too few shared signatures are taken out.
 PRUNE = 2
+#: Leaders that a group is compared with in a round, at most.
+LANES = 6
 #: Leader rounds before all remaining pairs are compared, and when that is done at once.
 ROUNDS = 3
 FEW = 4
@@ -367,9 +369,10 @@ def link_groups(shared: DataFrame, groups: DataFrame, sets: DataFrame, num: int,
             other = held.select("sig", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))
             met = held.join(other, "sig").where(alike & (F.col("id") < F.col("_id"))).select("id", "_id")
         else:
-            lead = held.groupBy("sig").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("_h"), F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))).alias("l")).select("sig", "l._h", "l._id", "l._n", "l._comp")
+            lane = F.pmod(F.col("sig"), F.lit(LANES))
+            lead = held.groupBy("sig").agg(F.min(F.struct(F.xxhash64("id", lane, F.lit(turn)).alias("_h"), F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))).alias("l")).select("sig", "l._h", "l._id", "l._n", "l._comp")
             near = held.join(lead, "sig").where(alike)
-            met = near.groupBy("id").agg(F.min(F.struct("_h", "_id")).alias("m")).select("id", "m._id")
+            met = near.groupBy("id", lane.alias("_lane")).agg(F.min(F.struct("_h", "_id")).alias("m")).select("id", "m._id")
         pairs = met.select(F.col("_id").alias("a"), F.col("id").alias("b"), F.least("id", "_id").alias("low"), F.greatest("id", "_id").alias("high")).dropDuplicates(["low", "high"])
         if tested is not None:
             pairs = pairs.join(tested, ["low", "high"], "left_anti")
