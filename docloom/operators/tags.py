@@ -75,7 +75,9 @@ def extract_tags(docs: DataFrame) -> DataFrame:
     tokens = lambda c: F.when(F.col("cjk"), cjk_tokens(F.col(c))).otherwise(latin_tokens(F.col(c)))
     nouns = lambda c: F.when(F.col("cjk"), cjk_names(F.col(c))).otherwise(proper_nouns(F.col(c)))
     stops = lambda t: F.when(F.col("cjk"), t.isin(STOP_CJK)).otherwise(t.isin(STOP_LATIN))
-    useful = F.filter(tokens("body"), lambda t: (F.length(t) > 1) & ~stops(t))
+    useful_of = lambda found, stop: F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(stop))
+    # the script is decided outside the lambda: inside it would be found anew for every token
+    useful = F.when(F.col("cjk"), useful_of(cjk_tokens(F.col("body")), STOP_CJK)).otherwise(useful_of(latin_tokens(F.col("body")), STOP_LATIN))
     d = d.select("doc_id", "cjk", useful.alias("words"), tokens("title").alias("heads"), F.filter(F.concat(nouns("title"), nouns("body")), lambda n: (F.size(F.split(n, r"\s+")) <= 3) & (F.length(n) > 1)).alias("nouns"))
 
     names = _ranked(token_counts(d, F.col("nouns")), 3, "doc_id").select("doc_id", F.lit(1).alias("phase"), "rank", F.lower(F.trim("token")).alias("token"))
