@@ -356,11 +356,14 @@ def link_groups(shared: DataFrame, groups: DataFrame, sets: DataFrame, num: int,
     tested: DataFrame | None = None
     for turn in range(ROUNDS + 1):
         held = shared.join(labels, "id")
-        open_ = held.groupBy("sig").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("sig")
-        held = work.written(held.join(open_, "sig"), "open")
+        if turn:  # before the first round every group is a component of its own
+            open_ = held.groupBy("sig").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("sig")
+            held = held.join(open_, "sig")
+        held = work.written(held, "open")
         rows = held.count()
         if not rows:
             break
+        shared = held.select("sig", "id")  # components only grow: a signature that is closed stays so
         per = held.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
         left_over = per.agg(F.sum("p")).first()[0]
         last = turn == ROUNDS or left_over <= FEW * rows
