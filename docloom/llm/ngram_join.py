@@ -53,8 +53,6 @@ COUNTERS = 23
 _SLICE = 1 << 16
 #: Signatures a task holds before it sends them on.
 _HELD = 1 << 20
-#: Times that groups with too few shared signatures are taken out.
-PRUNE = 2
 #: Leaders that a group is compared with in a round, at most.
 LANES = 6
 #: Leader rounds before all remaining pairs are compared, and when that is done at once.
@@ -263,9 +261,8 @@ def shared_signatures(docs: DataFrame, groups: DataFrame, classes: np.ndarray, n
 
     found = docs.mapInArrow(emit, "part int, free boolean, blob binary, sig bigint, id bigint").repartition(parts, "part").mapInArrow(gather, "sig bigint, id bigint, kind int")
     found = work.written(found, "signatures")
-    singles = found.where(F.col("kind") != PAIR)
-    for _ in range(PRUNE):
-        singles = work.written(_enough(_held_twice(singles), groups, num, den), "singles")
+    # gather left only singles that are held twice; what that makes too few is taken out once
+    singles = work.written(_enough(found.where(F.col("kind") != PAIR), groups, num, den), "singles")
     pairs = found.where(F.col("kind") == PAIR).distinct()
     return _held_twice(singles).unionByName(_held_twice(pairs)).select("sig", "id")
 
