@@ -1,12 +1,13 @@
 """Format-preserving pseudonyms for personal data.
 
-One regular expression finds candidates in the whole text; each is validated and permuted within its
-own format under a key, so equal values get equal pseudonyms in every document and different values
-different ones:
+One regular expression finds where candidates begin; from there the first kind that is valid is taken
+and permuted within its own format under a key, so equal values get equal pseudonyms in every document
+and different values different ones. The search goes on right after the value, or after the first group
+of what fails validation, so that a value next to other digits or capitals is found, too:
 
 - card numbers (13-19 digits, Luhn-valid) and IBANs (mod-97-valid): all but the check digits are
   permuted by a digit- and letter-wise Feistel network, the check digits are computed anew;
-- phone numbers (8-15 digits with a + or an area code in brackets): the country code stays;
+- phone numbers (8-15 digits with a + or an area code in brackets, ten after +1): the country code stays;
 - SSNs and IPv4 addresses (in range), dates from 1900 to 2099 (year-month-day, day.month.year,
   day/month/year, month/day/year where the day is over 12): Feistel permutation with cycle walking
   of the index of the valid value;
@@ -31,15 +32,32 @@ ROUNDS = 8
 KINDS = ("email", "iban", "date", "ip", "ssn", "card", "phone")
 
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
-DATE_YMD = r"(?<![0-9A-Za-z.\-/])[0-9]{4}([\-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9A-Za-z]|[.\-/][0-9])"
-DATE_DMY = r"(?<![0-9A-Za-z.\-/])[0-9]{1,2}([./\-])[0-9]{1,2}\1[0-9]{4}(?![0-9A-Za-z]|[.\-/][0-9])"
+DATE_YMD = r"(?<![0-9A-Za-z.\-/])[0-9]{4}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{1,2}(?![0-9A-Za-z]|[.\-/][0-9])"
+DATE_DMY = r"(?<![0-9A-Za-z.\-/])[0-9]{1,2}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{4}(?![0-9A-Za-z]|[.\-/][0-9])"
+DATE = f"(?:{DATE_YMD}|{DATE_DMY})"
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
-PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4})(?![0-9A-Za-z])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])"
-#: \1 of the dates becomes the number of its group in the alternation.
-FIND = "|".join([EMAIL, IBAN, DATE_YMD, DATE_DMY.replace(r"\1", r"\2"), IP, SSN, PHONE, CARD])
+#: Phones and cards end before a separator that one of these follows.
+STOP = f"(?![ .\\-](?:{IP}|{SSN}|{DATE}))"
+#: Phones that have enough digits end before the last digits of a run if they are laid out as a card.
+FULL = rf"(?<=\+(?:{'|'.join(r'[ .\-()]{0,3}[0-9]' * i for i in range(8, 16))}))"
+CARDLIKE = r"(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9A-Za-z]|[ \-][0-9])"
+PHONE_1 = r"\+1[ .\-]?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-]?)[0-9]{3}[ .\-]?[0-9]{4}(?![0-9A-Za-z])"
+PHONE_ANY = rf"\+[0-9]{{1,3}}[ .\-]?(?:\([0-9]{{1,4}}\)[ .\-]?)?[0-9]{{2,4}}(?:{STOP}(?!{FULL}[ .\-]{CARDLIKE})[ .\-]?[0-9]{{2,4}}){{1,4}}(?![0-9A-Za-z]){FULL}"
+PHONE = rf"(?<![0-9A-Za-z])(?:{PHONE_1}|{PHONE_ANY}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .\-][0-9]{{4}}(?![0-9A-Za-z]))"
+
+
+def iban_of(n: int | str) -> str:
+    """IBANs of ``n`` characters after the check digits."""
+    return rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}(?![A-Za-z0-9])"
+
+
+def card_of(n: int | str) -> str:
+    """Cards of ``n`` digits after the first."""
+    return rf"(?<![0-9A-Za-z])[0-9](?:{STOP}[ \-]?[0-9]){{{n}}}(?![0-9A-Za-z])"
+
+
+FIND = "|".join([EMAIL, iban_of("11,30"), DATE, IP, SSN, PHONE, card_of("12,18")])
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -199,35 +217,82 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(permuted(stem, f"{key}/email"), F.regexp_extract(m, r"\.[^.]*$", 0))
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
-    """struct(kind, value) for a match of FIND; kind is null and value the match if it fails validation."""
-    none = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value"))
+def first_value(near: Column, key: str = KEY) -> Column:
+    """struct(kind, m, value) of the first kind that is valid right after the first character of ``near``, or null.
+
+    Cards and IBANs are the longest valid ones that end where a group ends.
+    """
+
+    def at(pattern: str) -> Column:
+        return F.regexp_extract(near, f"(?s)^.({pattern})", 1)
+
+    def tried(kind: str, m: Column, make) -> Column:
+        def body(m: Column) -> Column:
+            return F.when(m != "", _let(make(m, key), lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), m.alias("m"), v.alias("value")))))
+
+        return _let(m, body)
 
-    def tried(kind: str, made: Column) -> Column:
-        return _let(made, lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value"))).otherwise(none))
+    def longest(patterns: list[str], ok) -> Column:
+        return F.coalesce(*[_let(at(p), lambda m: F.when((m != "") & ok(_bare(m)), m)) for p in patterns], F.lit(""))
 
-    whole = lambda p: m.rlike(f"^(?:{p})$")
-    return (
-        F.when(F.contains(m, F.lit("@")), tried("email", _email(m, key)))
-        .when(whole(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"), tried("iban", _iban(m, key)))
-        .when(whole(r"[0-9]{4}([\-/.])[0-9]{1,2}\1[0-9]{1,2}") | whole(r"[0-9]{1,2}([./\-])[0-9]{1,2}\1[0-9]{4}"), tried("date", _date(m, key)))
-        .when(whole(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), tried("ip", _ip(m, key)))
-        .when(whole(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), tried("ssn", _ssn(m, key)))
-        .when(F.substring(m, 1, 1).isin("+", "("), tried("phone", _phone(m, key)))
-        .otherwise(tried("card", _card(m, key)))
+    iban = longest([iban_of(n) for n in range(30, 10, -1)], lambda s: mod97(F.concat(F.substring(s, F.lit(5), F.length(s) - 4), F.substring(s, 1, 4))) == 1)
+    card = longest([card_of(n) for n in range(18, 11, -1)], lambda d: luhn_digit(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, F.length(d), F.lit(1)))
+    return F.coalesce(
+        tried("email", at(EMAIL), _email),
+        F.when(near.rlike("(?s)^.[A-Z]"), tried("iban", iban, _iban)),
+        tried("date", at(DATE), _date),
+        tried("ip", at(IP), _ip),
+        tried("ssn", at(SSN), _ssn),
+        tried("phone", at(PHONE), _phone),
+        F.when(near.rlike("(?s)^.[0-9]"), tried("card", card, _card)),
     )
 
 
+def scanned(line: Column, key: str = KEY) -> Column:
+    """struct(parts, rest): array of struct(plain, kind, value) of a line, and the text after them.
+
+    From each place where FIND matches, the valid value is taken and the search goes on right after
+    it; if there is none, it goes on after the first group of letters and digits of the match. The
+    text still to be searched is held with the character before it, which the patterns look at.
+    """
+    part = "array<struct<plain:string,kind:string,value:string>>"
+    start = F.struct(F.array().cast(part).alias("parts"), F.concat(F.lit("\n"), line).alias("rest"))
+
+    def step(acc: Column, _: Column) -> Column:
+        def found(head: Column) -> Column:
+            # the head has the character before the text, too
+            plain = F.substring(head, F.lit(2), F.length(head))
+            near = F.substring(acc["rest"], F.length(head), F.length(acc["rest"]))
+
+            def taken(near: Column) -> Column:
+                def after(v: Column) -> Column:
+                    skip = F.regexp_extract(near, "(?s)^.([^0-9A-Za-z]*[0-9A-Za-z]+)", 1)
+                    done = F.when(v.isNull(), F.struct(F.concat(plain, skip).alias("plain"), F.lit(None).cast("string").alias("kind"), F.lit("").alias("value"))).otherwise(F.struct(plain.alias("plain"), v["kind"].alias("kind"), v["value"].alias("value")))
+                    used = F.length(F.coalesce(v["m"], skip))
+                    return F.struct(F.array_append(acc["parts"], done).cast(part).alias("parts"), F.substring(near, used + 1, F.length(near)).alias("rest"))
+
+                return _let(first_value(near, key), after)
+
+            return F.when(head == "", acc).otherwise(_let(near, taken))
+
+        return _let(F.regexp_extract(acc["rest"], f"(?s)^.+?(?={FIND})", 0), found)
+
+    n = F.regexp_count(line, F.lit(f"(?={FIND})"))
+    return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), start, step, lambda acc: F.struct(acc["parts"].alias("parts"), F.substring(acc["rest"], F.lit(2), F.length(acc["rest"])).alias("rest")))
+
+
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with the text replaced and n_<kind> and n_found (BIGINT) added; other columns stay."""
     text = F.col(text_col)
-    matches = F.regexp_extract_all(text, F.lit(FIND), F.lit(0))
-    found = F.when(text.rlike("[0-9@]"), F.transform(matches, lambda m: pseudonym(m, key)))
+    # no value goes over the end of a line
+    found = F.when(text.rlike("[0-9@]"), F.transform(F.split(text, "\n", -1), lambda line: scanned(line, key)))
     counted = docs.withColumn("_found", found)
-    values = F.concat(F.transform(F.col("_found"), lambda p: p["value"]), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(F.split(text, FIND, -1), values, lambda a, b: F.concat(a, b)), "")
-    out = counted.withColumn(text_col, F.when(F.size("_found") > 0, joined).otherwise(text))
-    count = lambda k: F.coalesce(F.size(F.filter(F.col("_found"), lambda p: p["kind"] == k)), F.lit(0))
+    line = lambda x: F.concat(F.array_join(F.transform(x["parts"], lambda p: F.concat(p["plain"], p["value"])), ""), x["rest"])
+    joined = F.array_join(F.transform(F.col("_found"), line), "\n")
+    kinds = counted.withColumn(text_col, F.when(F.col("_found").isNotNull(), joined).otherwise(text))
+    kinds = kinds.withColumn("_found", F.flatten(F.transform(F.col("_found"), lambda x: F.transform(x["parts"], lambda p: p["kind"]))))
+    count = lambda k: F.coalesce(F.size(F.filter(F.col("_found"), lambda p: p == k)), F.lit(0))
+    out = kinds
     for k in KINDS:
         out = out.withColumn(f"n_{k}", F.when(F.col("_found").isNull(), 0).otherwise(count(k)).cast("long"))
     total = sum((F.col(f"n_{k}") for k in KINDS[1:]), F.col(f"n_{KINDS[0]}"))

@@ -346,6 +346,40 @@ def test_pii(spark, messy, none):
     assert pii.pseudonymise(none).count() == 0
 
 
+def test_pii_adjacent_values(spark):
+    ip, phone, card, iban = "190.137.223.204", "+1 (826) 555-4081", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    cases = [
+        (f"{phone} {ip}", {"phone": 1, "ip": 1}, ""),
+        ("+1 (843) 555-7672 170.106.47.9 end", {"phone": 1, "ip": 1}, " end"),
+        (f"+49 30 1234 5678 {ip}", {"phone": 1, "ip": 1}, ""),
+        (f"+49 30 1234567 {card}", {"phone": 1, "card": 1}, ""),
+        (f"+49 30 1234 5678 {card}", {"phone": 1, "card": 1}, ""),
+        (f"{phone} {card}", {"phone": 1, "card": 1}, ""),
+        (f"{phone} 123-45-6789", {"phone": 1, "ssn": 1}, ""),
+        (f"{phone} 1999-02-28", {"phone": 1, "date": 1}, ""),
+        ("+49 30 1234 5678 9012 34", {"phone": 1}, " 34"),
+        (f"{card} 12/27", {"card": 1}, " 12/27"),
+        (f"{card} 123", {"card": 1}, " 123"),
+        (f"{card} {ip}", {"card": 1, "ip": 1}, ""),
+        (f"{card} 123-45-6789", {"card": 1, "ssn": 1}, ""),
+        (f"3782 822463 10005 {card}", {"card": 2}, ""),
+        (f"17 {card}", {"card": 1}, ""),
+        (f"{card} {phone}", {"card": 1, "phone": 1}, ""),
+        (f"{iban} PAID", {"iban": 1}, " PAID"),
+        (f"{iban} {card}", {"iban": 1, "card": 1}, ""),
+        (f"AB12 NOT AN IBAN AT ALL {iban}", {"iban": 1}, ""),
+        (f"{card}\n{phone}\n\nx@y.org", {"card": 1, "phone": 1, "email": 1}, ".org"),
+    ]
+    rows = pii.pseudonymise(frame(spark, [(i, c[0]) for i, c in enumerate(cases)], "doc_id bigint, text string")).collect()
+    for r in rows:
+        text, kinds, rest = cases[r["doc_id"]]
+        assert {k: r[f"n_{k}"] for k in pii.KINDS if r[f"n_{k}"]} == kinds, (text, r)
+        assert r["text"].endswith(rest) and r["text"].count("\n") == text.count("\n")
+        for secret in (ip, "170.106.47.9", "555-4081", "555-7672", card, "1234567", "123-45-6789", "1999-02-28", iban, "10005", "x@y"):
+            assert secret not in r["text"], (text, r)
+
+
+
 def test_pii_permutation_is_injective(spark):
     got = spark.range(1000).select(pii.permuted(F.lpad(F.col("id").cast("string"), 3, "0"), "k").alias("p")).distinct()
     assert got.count() == 1000 and all(len(r["p"]) == 3 and r["p"].isdigit() for r in got.collect())
