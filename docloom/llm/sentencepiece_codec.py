@@ -1,15 +1,15 @@
 """SentencePiece (BPE, byte fallback) encoding with seeded merge dropout, and lossless decoding.
 
 The model file gives the pieces and their scores. A text is cut into units that no piece crosses (a
-run of spaces and what follows it up to the next space or line end); the distinct units of a block of
-texts are encoded together. Every unit has an agenda of candidate merges ordered by score, leftmost
-first among equals. A candidate whose keyed hash of (seed, stream, unit, place, merged piece) falls
-under the dropout is skipped; the best of the others is taken, its neighbours become candidates, and
+run of spaces and what follows it up to the next space or line end); all units of a block of texts are
+encoded together. Every unit has an agenda of candidate merges ordered by score, leftmost
+first among equals. A candidate whose keyed hash of (seed, document, copy, occurrence, unit, place,
+merged piece) falls under the dropout is skipped; the best of the others is taken, its neighbours become candidates, and
 so on until the agenda is empty. One numpy round pops one merge of every unit that still has one.
 
-A document draws one of ``streams`` dropout streams by a keyed hash of its id, so equal units in one
-document are segmented alike and differently in documents of other streams; reruns, other batch
-sizes and other partitionings give the same ids. Dropout 0 is the plain SentencePiece encoding.
+Every occurrence of a unit in a document and every copy of a document draws for itself; reruns, other
+batch sizes and other partitionings give the same ids. Rows of one document id draw alike unless a
+column tells copies apart. Dropout 0 is the plain SentencePiece encoding.
 
 Defined results: null and empty texts give no ids and decode to an empty text; a literal U+2581 and
 characters without a piece go through byte pieces, so decode(encode(t)) == t for every text; a null
@@ -18,23 +18,21 @@ document id is hashed as text "null"; columns of the input other than the id and
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.shipping import ship
 
 SEED = 1
 DROPOUT = 0.1
-STREAMS = 8
 #: Bytes of text that are encoded together.
 BLOCK = 1 << 20
 
-UNITS = re.compile(r"\n| *[^ \n]+| +")
 SPACE = "▁"
 _NONE = np.int64(1 << 40)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -53,10 +51,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def stream_of(doc_id: object, seed: int, streams: int) -> int:
+def key_of(doc_id: object, copy: object, seed: int) -> int:
     import xxhash
 
-    return xxhash.xxh64_intdigest("null" if doc_id is None else str(doc_id), seed=seed) % streams
+    name = "null" if doc_id is None else str(doc_id)
+    return xxhash.xxh64_intdigest(name if copy is None else f"{name}/{copy}", seed=seed)
+
+
+def unit_starts(points: np.ndarray, text_at: np.ndarray) -> np.ndarray:
+    """Where units begin: with a text, a line end, after a line end, or with a run of spaces."""
+    line, space = points == ord("\n"), points == ord(" ")
+    first = line.copy()
+    first[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+    first[text_at[text_at < len(points)]] = True
+    return np.flatnonzero(first)
 
 
 class Codec:
@@ -78,8 +86,11 @@ class Codec:
                 self.bytes_of.append(b"" if i in special else p.replace(SPACE, " ").encode())
         ids = {p: i for i, p in enumerate(pieces) if i not in special}
         order = np.unique(np.array([-sp.get_score(i) for i in range(len(pieces))]), return_inverse=True)[1]
-        self.char_id = {ord(p): i for p, i in ids.items() if len(p) == 1 and p != SPACE}
-        self.char_id[ord(" ")] = ids[SPACE]
+        self.symbol = -np.arange(0x110000) - 1
+        for p, i in ids.items():
+            if len(p) == 1 and p != SPACE:
+                self.symbol[ord(p)] = i
+        self.symbol[ord(" ")] = ids[SPACE]
         self.n = len(pieces)
         pairs = sorted((ids[p[:k]] * self.n + ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
         self.pair_key = np.array([k for k, _ in pairs], np.int64)
@@ -98,17 +109,13 @@ class Codec:
             ok &= draw >= limit
         return np.where(ok, self.rank[to], _NONE), to
 
-    def encode_units(self, units: list[str], stream: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units, one after the other, and the offsets of the units."""
-        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-        lens = np.fromiter(map(len, units), np.int64, len(units))
-        start = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-        values, back = np.unique(points, return_inverse=True)
-        sym = np.array([self.char_id.get(int(v), -int(v) - 1) for v in values], np.int64)[back]
-        unit = np.repeat(np.arange(len(units)), lens)
+    def encode_units(self, points: np.ndarray, start: np.ndarray, salt: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units that begin at ``start``, one after the other, and their offsets; each draws under its salt."""
+        unit = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(points))))
+        sym = self.symbol[points]
         place = np.arange(len(points), dtype=np.int64) - start[unit]
-        name = np.add.reduceat(_mix(points.astype(np.uint64) * _M1 + place.astype(np.uint64) + np.uint64(1)), start) if len(units) else np.zeros(0, np.uint64)
-        key = _mix(name + _mix(stream.astype(np.uint64) * _M3 + np.uint64(seed)))
+        name = np.add.reduceat(_mix(points.astype(np.uint64) * _M1 + place.astype(np.uint64) + np.uint64(1)), start) if len(start) else np.zeros(0, np.uint64)
+        key = _mix(name + salt)
         limit = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
 
         rank, to = np.full(len(sym), _NONE), np.zeros(len(sym), np.int64)
@@ -134,7 +141,10 @@ class Codec:
             stay[hit + 1] = False
             now = hit - np.arange(len(hit))  # one symbol of each earlier unit is gone
             sym, unit, place, rank, to = sym[stay], unit[stay], place[stay], rank[stay], to[stay]
-            redo = np.unique(np.concatenate([now, now[now > 0] - 1]))
+            again = np.zeros(len(sym), bool)
+            again[now] = True
+            again[now[now > 0] - 1] = True
+            redo = np.flatnonzero(again)
             rank[now] = _NONE
             redo = redo[redo + 1 < len(sym)]
             redo = redo[unit[redo] == unit[redo + 1]]
@@ -151,34 +161,20 @@ class Codec:
             at = np.repeat(first[odd], widths[odd]) + np.concatenate([np.arange(len(r)) for r in raw])
             out[at] = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
             sym, unit = out, np.repeat(unit, widths)
-        return sym.astype(np.int32), np.searchsorted(unit, np.arange(len(units) + 1))
-
-    def encode(self, texts: list[str], streams: list[int], dropout: float = DROPOUT, seed: int = SEED) -> list[np.ndarray]:
-        """The ids of every text."""
-        known: dict[tuple[int, str] | str, int] = {}
-        tables: dict[int, dict[str, int]] = {}
-        names: list[str] = []
-        stream_at: list[int] = []
-        uses = []
-        for t, s in zip(texts, streams, strict=True):
-            known = tables.setdefault(s if dropout else 0, {})
-            use = []
-            for u in UNITS.findall(" " + t) if t else ():
-                i = known.get(u)
-                if i is None:
-                    i = known[u] = len(names)
-                    names.append(u)
-                    stream_at.append(s)
-                use.append(i)
-            uses.append(np.array(use, np.int64))
-        ids, at = self.encode_units(names, np.array(stream_at, np.int64), dropout, seed)
-        size = np.diff(at)
-        out = []
-        for use in uses:
-            n = size[use]
-            end = np.cumsum(n)
-            out.append(ids[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(at[use] - end + n, n)] if len(use) else ids[:0])
-        return out
+        return sym.astype(np.int32), np.searchsorted(unit, np.arange(len(start) + 1))
+
+    def encode(self, texts: list[str], keys: list[int], dropout: float = DROPOUT, seed: int = SEED) -> list[np.ndarray]:
+        """The ids of every text; each draws under its key."""
+        spaced = [" " + t if t else "" for t in texts]
+        points = np.frombuffer("".join(spaced).encode("utf-32-le"), np.uint32)
+        text_at = np.cumsum([0, *map(len, spaced)])
+        start = unit_starts(points, text_at)
+        first = np.searchsorted(start, text_at)  # unit of each text
+        n = np.diff(first)
+        occurrence = np.arange(len(start)) - np.repeat(first[:-1], n)
+        text = _mix(np.array(keys, np.uint64) * _M3 + np.uint64(seed))
+        ids, at = self.encode_units(points, start, _mix(np.repeat(text, n) + occurrence.astype(np.uint64) * _M2), dropout)
+        return np.split(ids, at[first[1:-1]]) if texts else []
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text that was encoded."""
@@ -204,7 +200,7 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens, n_bytes, lossless (the decoded ids equal the text) for every row."""
     ship(docs.sparkSession)
     path = model or model_path()
@@ -212,10 +208,10 @@ def encode_documents(docs: DataFrame, model: str | None = None, dropout: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            doc_ids, texts, copies = (c.to_pylist() for c in batch.columns)
             for i, j in _blocks(texts):
                 part = [t or "" for t in texts[i:j]]
-                ids = c.encode(part, [stream_of(d, seed, streams) for d in doc_ids[i:j]], dropout, seed)
+                ids = c.encode(part, [key_of(d, x, seed) for d, x in zip(doc_ids[i:j], copies[i:j], strict=True)], dropout, seed)
                 n = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = pa.array(np.concatenate(ids))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
@@ -224,7 +220,8 @@ def encode_documents(docs: DataFrame, model: str | None = None, dropout: float =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, pa.array(n), size, same], names=["doc_id", "ids", "n_tokens", "n_bytes", "lossless"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens bigint, n_bytes bigint, lossless boolean")
+    copy = F.col(copy_col) if copy_col else F.lit(None)
+    return docs.select(id_col, text_col, copy.cast("string").alias("_copy")).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens bigint, n_bytes bigint, lossless boolean")
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -31,7 +31,7 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it (0 to 2); rows of one id, size and source share their copies."""
+    """Every document as many times as the mix takes it (0 to 2), numbered by ``copy``; rows of one id, size and source share their copies."""
     work.release(spark)
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(mixing.WORDS)), F.lit(0)).cast("long")
     due = mixing.mix(docs).groupBy("doc_id", "size", "source").agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_n"))
@@ -39,13 +39,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")) & F.col("source").eqNullSafe(F.col("_source"))
     met = docs.withColumn("_words", size).join(due, same)
     nth = F.row_number().over(Window.partitionBy("_id", "_size", "_source").orderBy(F.lit(1)))
-    once = met.where("_n = 1").withColumn("_copies", F.col("_c"))
-    shared = met.where("_n > 1").withColumn("_copies", F.floor(F.col("_c") / F.col("_n")) + (nth <= F.col("_c") % F.col("_n")).cast("long"))
+    once = met.where("_n = 1").withColumn("_nth", F.lit(1)).withColumn("_copies", F.col("_c"))
+    shared = met.where("_n > 1").withColumn("_nth", nth).withColumn("_copies", F.floor(F.col("_c") / F.col("_n")) + (F.col("_nth") <= F.col("_c") % F.col("_n")).cast("long"))
     rows = once.unionByName(shared).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    most = F.ceil(F.col("_c") / F.col("_n"))  # copies of one of the rows
+    return copies.select(*[c for c in docs.columns if c != "copy"], ((F.col("_nth") - 1) * most + F.col("_copy")).cast("long").alias("copy"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens, n_bytes, lossless of every row."""
+    """doc_id, ids, n_tokens, n_bytes, lossless of every row; each ``copy`` draws its own dropout."""
     work.release(spark)
-    return sentencepiece_codec.encode_documents(docs)
+    return sentencepiece_codec.encode_documents(docs, copy_col="copy" if "copy" in docs.columns else None)

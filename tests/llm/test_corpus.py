@@ -406,6 +406,20 @@ def test_sentencepiece(spark, messy, none):
     assert sentencepiece_codec.encode_documents(none).count() == 0
 
 
+def test_sentencepiece_draws_for_each_occurrence_document_and_copy(spark):
+    from docloom.llm import stages
+
+    docs = frame(spark, [(i, " ".join(["international"] * 40), "a") for i in range(30)], "doc_id bigint, text string, source string")
+    c = sentencepiece_codec.codec(sentencepiece_codec.model_path())
+    rows = sentencepiece_codec.encode_documents(docs, dropout=0.3).collect()
+    assert all(r["lossless"] for r in rows) and len({tuple(r["ids"]) for r in rows}) == 30
+    cuts = [{tuple(x) for x in "|".join(c.bytes_of[i].decode() for i in r["ids"]).replace("| ", "\n ").strip().split("\n")} for r in rows]
+    assert min(map(len, cuts)) > 8
+    twice = docs.limit(1).crossJoin(spark.range(1, 3).select(F.col("id").alias("copy")))
+    a, b = (r["ids"] for r in stages.encoded(spark, twice, "").collect())
+    assert a != b and c.decode(a) == c.decode(b)
+
+
 # -- the pipeline
 
 
