@@ -10,8 +10,9 @@ come in slices of falling norm, so thresholds rise early. Every cell gives k row
 best k over all cells are the result. It is exact: bounds are rounded outwards and ties are kept.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, and rows without
-a vec_id, take no part; vectors of another length than the query's are not its candidates; a vec_id
-on several rows counts once, with its smallest vector; with fewer than k candidates all are returned;
+a vec_id, take no part; vectors of another length than the query's are not its candidates; every
+different scaled vector of a repeated vec_id is a candidate and asks, and the k best of all their pairs
+are the result of the vec_id, while equal rows count once; with fewer than k candidates all are returned;
 scores must fit 63 bits; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -41,7 +42,7 @@ def scaled(embedding: Column, scale: int = SCALE) -> Column:
 
 
 def branch_and_bound(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query positions, row ids and scores of each query's k best rows in one cell (int64 inputs)."""
+    """Query positions, row positions and scores of each query's k best rows in one cell (int64 inputs)."""
     d = rows.shape[1]
     exact = float(d) * float(max(np.abs(rows).max(initial=0), np.abs(queries).max(initial=0))) ** 2 < 2.0**53
     kind = np.float64 if exact else np.int64  # products of floats are exact up to 2**53, and faster
@@ -61,7 +62,7 @@ def branch_and_bound(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarra
         end = min(begin + SLICE, len(rows))
         first = q[:, blocks[0][0] : blocks[0][1]] @ vertical[blocks[0][0] : blocks[0][1], begin:end]
         for i in range(len(q)):
-            scores, ids = best[i]
+            scores, found = best[i]
             floor = scores[-1] if len(scores) == k else None
             at = np.arange(begin, end)
             part = first[i]
@@ -78,14 +79,14 @@ def branch_and_bound(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarra
                 continue
             own = row_ids[at] != query_ids[i]
             scores = np.concatenate([scores, part[own].astype(np.int64)])
-            ids = np.concatenate([ids, row_ids[at][own]])
+            found = np.concatenate([found, at[own]])
             if len(scores) > 4 * k:  # all that reach the k-th score, ties included
                 reach = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                scores, ids = scores[reach], ids[reach]
-            top = np.lexsort((ids, -scores))[:k]
-            best[i] = scores[top], ids[top]
+                scores, found = scores[reach], found[reach]
+            top = np.lexsort((row_ids[found], -scores))[:k]
+            best[i] = scores[top], found[top]
     n = [len(s) for s, _ in best]
-    return np.repeat(np.arange(len(q)), n), np.concatenate([x for _, x in best]) if n else row_ids[:0], np.concatenate([s for s, _ in best]) if n else row_ids[:0]
+    return np.repeat(np.arange(len(q)), n), order[np.concatenate([x for _, x in best])] if n else order[:0], np.concatenate([s for s, _ in best]) if n else row_ids[:0]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, query_rows: int = QUERY_ROWS, candidate_rows: int = CANDIDATE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -94,12 +95,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     ``is_query`` is a condition on ``vec_id``.
     """
     ship(vectors.sparkSession)
-    clean = vectors.select(F.col(id_col).cast("long").alias("vec_id"), scaled(F.col(vector_col), scale).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"))
+    clean = vectors.select(F.col(id_col).cast("long").alias("vec_id"), scaled(F.col(vector_col), scale).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").distinct()
     n, n_q = vectors.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     rows, cols = max(1, -(-n_q // query_rows)), max(1, -(-n // candidate_rows))
-    group = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
+    group = lambda m: F.pmod(F.xxhash64("vec_id", "v"), F.lit(m)).cast("int")
     cell = lambda r, c: r * F.lit(cols) + c
-    asked = clean.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("_c"), "vec_id", "v").select(cell(F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int"), F.col("_c")).alias("cell"), F.lit(True).alias("asks"), "vec_id", "v")
+    asked = clean.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("_c"), "vec_id", "v").select(cell(group(rows), F.col("_c")).alias("cell"), F.lit(True).alias("asks"), "vec_id", "v")
     held = clean.select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("_r"), "vec_id", "v").select(cell(F.col("_r"), group(cols)).alias("cell"), F.lit(False).alias("asks"), "vec_id", "v")
     cells = asked.unionByName(held).withColumn("dims", F.size("v"))
 
@@ -116,7 +117,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
         if not asks.any() or asks.all():
             return out.empty_table()
         at, row, score = branch_and_bound(v[asks], ids[asks], v[~asks], ids[~asks], k)
-        return pa.Table.from_arrays([pa.array(ids[asks][at]), pa.array(row), pa.array(score)], schema=out)
+        return pa.Table.from_arrays([pa.array(ids[asks][at]), pa.array(ids[~asks][row]), pa.array(score)], schema=out)
 
     found = cells.groupBy("cell", "dims").applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

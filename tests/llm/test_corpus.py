@@ -242,6 +242,19 @@ def test_topk(spark):
 # -- 7
 
 
+def test_topk_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), rng.normal(size=6).tolist()) for i in rng.integers(0, 12, 60)]
+    rows += rows[:9] + [rows[0]] * 7
+    df = frame(spark, rows, "vec_id bigint, embedding array<double>")
+    v = [(i, np.floor(64 * np.array(x)).astype(int)) for i, x in dict((repr(r), r) for r in rows).values()]
+    for sizes in ((2048, 16384), (4, 16)):
+        got = {}
+        for r in topk.top_k(df, F.col("vec_id") % 4 == 0, 9, 64, *sizes).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+        assert got == {q: sorted((-int(x @ y), j) for i, x in v if i == q for j, y in v if j != q)[:9] for q in {i for i, _ in v} if q % 4 == 0}
+
+
 def test_warc_revisits(spark):
     schema = "record_id string, warc_type string, profile string, url string, warc_date timestamp, status int, headers map<string,string>, payload binary"
     day = lambda d: __import__("datetime").datetime(2024, 1, d)
