@@ -1,30 +1,33 @@
 """N-gram Jaccard self-join with token-combination prefixes.
 
-Two documents link when the Jaccard similarity of their sets of word shingles reaches a threshold.
+Two documents link when the Jaccard similarity t of their sets of word shingles ("tokens" here)
+reaches a threshold. A set of n tokens may lose n - ceil(t*n) of them and still link.
 
 1. One scan gives each document's set size and a 128-bit key of its set; documents of equal sets are
-   one *group* from here on. The scan also counts shingles in a fixed-size table of counters (a
-   count is never too low). Shingles under a background level are *rare*, the others fall into
-   classes of doubling frequency. Classes are the only thing broadcast: 2**COUNTERS bytes.
-2. A second scan emits prefix signatures. Shingles are ordered by class, then hash. A set of n
-   shingles may lose p = n - ceil(t*n) of them and still link, so its signatures must survive p
-   losses. Each rare shingle is a signature by itself; where there are enough, the prefix is half as
-   long again, so linked sets have several in common and groups with fewer shared ones are dropped
-   before anything is compared. Where rare shingles are not more than p, the prefix is extended into
-   the frequent classes, and there *pairs* of shingles are the signatures: frequent
-   shingles are dealt to g groups (g follows the set size; neighbouring size bands share a dealing)
-   and a group with m of them in the prefix yields its pairs and survives m-1 losses. The prefix ends
-   as soon as its losses exceed p. Linked sets then share a signature: take the one whose prefix ends
-   first; what it loses to the other cannot cover all its groups, so in some group as many shingles
-   as a signature has remain, and they lie in the other's prefix as well.
-3. Signatures held by one group only are dropped. For the others links are verified on the whole
-   sets. Rounds pick one leader per signature and verify members against it, and what is already
-   connected is not compared again, so a large group of near copies takes a few comparisons a
-   member; the last round verifies every remaining pair of a signature whose two sides are not yet
-   connected. No pair of different components is left out, whatever the size of a signature's list.
-4. Components are labelled by their smallest doc_id.
-
-Hashes are 64 bits; a group is known by one 64-bit half of its set's key.
+   one *group* from here on. The scan also counts tokens in a table of 2**COUNTERS counters (a count
+   is never too low). Tokens above the table's background level are *hot*; the table of hot classes
+   is the only thing broadcast, and hot tokens are never shuffled by themselves.
+2. A second scan sends the first tokens (by hash) that are not hot, half as many again as a set may
+   lose. Linked sets have several of them in common, so groups that share too few are dropped: what
+   remains are the near copies and little else. Lists of one token are no longer than the level.
+3. The remaining whole sets are written, and the documents that hold a token are counted *exactly*
+   among them. A token that no other set holds is a loss already: a set with too many is dropped.
+4. The tokens that others hold are ordered by class and count, rarest first. Rare tokens are
+   signatures by themselves (k = 1); of more frequent classes k-token combinations are, k growing
+   with the class: tokens are dealt to groups by hash (their number follows the set size;
+   neighbouring size bands share a dealing), and a group with m of them in the prefix yields its
+   k-combinations and is lost with m - k + 1 losses only. The prefix is extended until its losses
+   exceed what the set can bear. Linked sets then share a signature: take the one whose prefix ends
+   first; what it loses to the other cannot cover all its groups, and what remains of one lies in
+   the other's prefix as well.
+5. Sets that meet can link only if the tokens from the first common one on suffice (c - p of c held
+   tokens, p before the signature); linked sets pass this where they meet first, so every other
+   meeting is dropped before anything is fetched. One round compares each list's members with its
+   best member (fewest tokens of its own) and joins what links into components; a second one
+   compares what is still in different components. Both verify on the whole sets.
+6. Components are labelled by their smallest doc_id.
+
+Tokens and sets are known by hashes: 64 bits a token, 128 bits a set (64 between steps 2 and 6).
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; fewer words
 than n make one shingle of the whole sequence; repeated rows are documents of their own and link;
@@ -36,12 +39,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 from math import floor, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.llm import work
 from docloom.llm.components import connected
@@ -50,14 +56,18 @@ from docloom.shipping import ship
 
 #: Bits of the number of counters (fixed size, whatever the input).
 COUNTERS = 23
+#: Tokens held by at most so many of the remaining sets are signatures alone, in pairs; beyond it k is 3.
+CLASSES = (32, 1024)
 _SLICE = 1 << 16
-#: Signatures a task holds before it sends them on.
+#: Tokens a task holds before it sends them on, and bytes of tokens for a task that receives them.
 _HELD = 1 << 20
-#: Leaders that a group is compared with in a round, at most.
-LANES = 6
-#: Leader rounds before all remaining pairs are compared, and when that is done at once.
-ROUNDS = 3
-FEW = 4
+_PART_BYTES = 16 << 20
+#: Bytes a token takes there: its hash and its set's.
+_TOKEN = 16
+#: Sets whose ids are marked in a bit table (16 bits each); more are found by a join.
+MARKED = 1 << 24
+#: Counts above this are not told apart; hot classes come after them.
+_MOST = 65535
 _S = np.uint64
 
 
@@ -65,10 +75,10 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]:
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[slice, list[str | None]]]:
     texts = batch.column(1).to_pylist()
     for i, j in blocks(texts):
-        yield batch.column(0).slice(i, j - i), texts[i:j]
+        yield slice(i, j), texts[i:j]
 
 
 def _set_keys(hashes: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,6 +92,16 @@ def _set_keys(hashes: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndar
     return n, keys[0], keys[1]
 
 
+def _batch(schema: dict[str, pa.DataType], rows: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in schema.items()], names=[*schema])
+
+
+def _packed(values: bytes, ends: np.ndarray) -> pa.Array:
+    """A binary array of consecutive pieces of ``values``."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values)])
+
+
 # -- tables of counters, added up in slices
 
 
@@ -113,215 +133,324 @@ def _added(df: DataFrame, finish, width: int) -> np.ndarray:
     return out
 
 
+_SCAN = {"doc_id": pa.int64(), "text_hash": pa.int64(), "n": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "slice": pa.int32(), "blob": pa.binary()}
+
+
 def scan_sets(docs: DataFrame, n: int, counters: int = COUNTERS) -> DataFrame:
-    """Rows (doc_id, n, k1, k2) of the documents, and rows (slice, blob) of counters."""
+    """Rows (doc_id, text_hash, n, k1, k2) of the documents, and rows (slice, blob) of counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << counters, np.int32)
-        names = ["doc_id", "n", "k1", "k2", "slice", "blob"]
         for batch in batches:
-            for ids, texts in _texts(batch):
+            for at, texts in _texts(batch):
                 hashes, owner = shingle_sets(texts, n)
                 np.add.at(counts, (hashes & _S((1 << counters) - 1)).astype(np.int64), 1)
                 size, k1, k2 = _set_keys(hashes, owner, len(texts))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size), _signed(k1), _signed(k2), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
+                ids, th = (batch.column(c).slice(at.start, len(texts)) for c in (0, 2))
+                yield _batch(_SCAN, len(texts), doc_id=ids, text_hash=th, n=size, k1=k1.view(np.int64), k2=k2.view(np.int64))
         for s, blob in _slices(counts):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([s], pa.int32()), pa.array([blob], pa.binary())], names=names)
+            yield _batch(_SCAN, 1, slice=[s], blob=[blob])
+
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, k1 bigint, k2 bigint, slice int, blob binary")
+
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, slice int, blob binary")
+def _level(tokens: int, counters: int = COUNTERS) -> float:
+    """The counts above which a token is hot: the mean and what it varies by."""
+    mean = tokens / (1 << counters)
+    return mean + 6 * mean**0.5 + 16
 
 
-def shingle_classes(slices: DataFrame, shingles: int, counters: int = COUNTERS) -> np.ndarray:
-    """The class of every counter: 0 for rare, then one more for each doubling."""
-    mean = shingles / (1 << counters)
-    level = mean + 6 * mean**0.5 + 16
+def hot_classes(slices: DataFrame, tokens: int, counters: int = COUNTERS) -> np.ndarray:
+    """The class of every counter: 0 up to the level, then one more for each doubling."""
+    level = _level(tokens, counters)
     return _added(slices, lambda v: np.where(v <= level, 0, 1 + np.floor(np.log2(np.maximum(v, 1) / level))), 1 << counters)
 
 
-# -- signatures
+# -- sets that may link at all
 
 
 def _losses(n, num: int, den: int):
-    """How many of n shingles a set may lose and still link."""
+    """How many of n tokens a set may lose and still link."""
     return n - -(-num * n // den)
 
 
-def _surplus(n, num: int, den: int):
-    """By how much the prefix of a set of rare shingles is longer than its losses."""
-    return 1 + _losses(n, num, den) // 2
-
-
-def signatures(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, classes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
-    """Signatures and their sets' numbers, of counted singles, of free singles, and of frequent pairs."""
-    may = sizes * (den - num) >= num  # else no other set is similar enough
-    lose = _losses(sizes, num, den)
-    full = lose + _surplus(sizes, num, den)
-    cls = classes[(hashes & _S(len(classes) - 1)).astype(np.int64)]
-    order = np.lexsort((hashes, cls, owner))
-    hashes, cls, owner = hashes[order], cls[order], owner[order]
-    start = np.cumsum(sizes) - sizes
-    place = np.arange(len(hashes)) - start[owner]
-    rare = np.bincount(owner[cls == 0], minlength=len(sizes))
-    counted = may & (rare >= full)
-    single = counted[owner] & (place < full[owner])
-    free = (may & ~counted)[owner] & (cls == 0)
-    pair_sig, pair_of = [np.zeros(0, _S)], [np.zeros(0, np.int64)]
-    base = log(den / num) * 1.000001
-    for d in np.flatnonzero(may & (rare <= lose)):
-        more = lose[d] + 1 - rare[d]
-        tail = hashes[start[d] + rare[d] : start[d] + sizes[d]]
-        band = floor(log(sizes[d]) / base)
-        for b in (band, band + 1):
-            groups = max(1, int((1 - num / den) / 3 * np.exp(b * base)))
-            dealt = mix(tail ^ _S((b + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % _S(groups)
-            _, at = np.unique(dealt, return_index=True)
-            again = np.ones(len(tail), np.int64)
-            again[at] = 0
-            length = int(np.searchsorted(np.cumsum(again), more)) + 1
-            part, group = tail[:length], dealt[:length]
-            by = np.argsort(group, kind="stable")
-            part, group = part[by], group[by]
-            first = np.searchsorted(group, group)
-            count = np.arange(len(part)) - first  # earlier ones in its group
-            right = np.repeat(np.arange(len(part)), count)
-            left = np.arange(len(right)) - np.repeat(np.cumsum(count) - count, count) + first[right]
-            pair_sig.append(mix(mix(part[left]) * _S(3) + part[right] + _S(b)))
-            pair_of.append(np.full(len(right), d))
-    return hashes[single], owner[single], hashes[free], owner[free], np.concatenate(pair_sig), np.concatenate(pair_of)
-
-
-COUNTED, FREE, PAIR = 0, 1, 2
-
-
-def shared_signatures(docs: DataFrame, groups: DataFrame, classes: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """(sig, id) of the signatures that more than one group has and that can lead to a link.
-
-    Single shingles go in packed arrays to the partition of their hash and are sorted there; a list
-    is no longer than the level under which shingles are rare. Pairs can have long lists: they are
-    counted by partial aggregation and joined as rows, which Spark splits where keys are skewed.
+def _parts(spark: SparkSession, tokens: int) -> int:
+    return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens * _TOKEN // _PART_BYTES))
+
+
+def _by_part(hashes: np.ndarray, ids: np.ndarray, parts: int) -> tuple[np.ndarray, list[bytes]]:
+    """The numbers of the parts that hashes belong to, and each one's hashes followed by their ids."""
+    part = (mix(hashes) % _S(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    hashes, ids, part = hashes[order], ids[order], part[order]
+    cut = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = np.append(cut[1:], len(part))[: len(cut)]
+    return part[cut], [np.concatenate([hashes[a:b], ids[a:b]]).tobytes() for a, b in zip(cut, ends, strict=True)]
+
+
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = [np.frombuffer(b, _S) for b in blobs]
+    none = [np.zeros(0, _S)]
+    return np.concatenate(none + [b[: len(b) // 2] for b in both]), np.concatenate(none + [b[len(b) // 2 :] for b in both])
+
+
+_PREFIX = {"part": pa.int32(), "blob": pa.binary(), "id": pa.int64(), "cold": pa.int32()}
+
+
+def shared_prefixes(docs: DataFrame, table: Broadcast, parts: int, n: int, num: int, den: int) -> DataFrame:
+    """(id, shared, cold): of a prefix of tokens that are not hot, how many another set's prefix has, too.
+
+    ``cold`` is set for sets that have fewer such tokens than the prefix should: it holds them all.
     """
-    spark = docs.sparkSession
-    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = spark.sparkContext.broadcast(classes)
-    names = ["part", "free", "blob", "sig", "id"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: set[int] = set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                sig, ids, free = (np.concatenate(x) for x in zip(*held, strict=True))
-                part = (mix(sig) % _S(parts)).astype(np.int32) * 2 + free
-                order = np.argsort(part, kind="stable")
-                sig, ids, part = sig[order], ids[order], part[order]
-                cut = np.flatnonzero(np.diff(part, prepend=-1))
-                ends = np.append(cut[1:], len(part))
-                blobs = [np.concatenate([sig[a:b], ids[a:b]]).tobytes() for a, b in zip(cut, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut] // 2), pa.array(part[cut] % 2 == 1), pa.array(blobs, pa.binary()), pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64())], names=names)
+                part, blobs = _by_part(*(np.concatenate(x) for x in zip(*held, strict=True)), parts)
                 held.clear()
+                yield _batch(_PREFIX, len(part), part=part, blob=blobs)
 
         for batch in batches:
             for _, texts in _texts(batch):
                 hashes, owner = shingle_sets(texts, n)
                 size, k1, _ = _set_keys(hashes, owner, len(texts))
-                one, of, free, of_free, two, of_two = signatures(hashes, owner, size, table.value, num, den)
-                for sig, whose, kind in ((one, of, 0), (free, of_free, 1)):
-                    if len(sig):
-                        held.append((sig, k1[whose], np.full(len(sig), kind, np.int32)))
-                if len(two):
-                    yield pa.RecordBatch.from_arrays([pa.array((mix(two ^ k1[of_two]) % _S(parts)).astype(np.int32)), pa.nulls(len(two), pa.bool_()), pa.nulls(len(two), pa.binary()), _signed(two), _signed(k1[of_two])], names=names)
+                may = size * (den - num) >= num  # else no other set is similar enough
+                new = np.zeros(len(texts), bool)
+                new[np.unique(k1, return_index=True)[1]] = True
+                new &= may
+                new[new] = [k not in seen for k in k1[new].tolist()]  # copies in one task are sent once
+                if len(seen) > 1 << 16:
+                    seen.clear()
+                seen.update(k1[new].tolist())
+                lose = _losses(size, num, den)
+                full = 1 + lose + lose // 2
+                cold = new[owner] & (table.value[(hashes & _S(len(table.value) - 1)).astype(np.int64)] == 0)
+                hashes, owner = hashes[cold], owner[cold]
+                count = np.bincount(owner, minlength=len(texts))
+                first = (np.arange(len(hashes)) - (np.cumsum(count) - count)[owner]) < full[owner]
+                held.append((hashes[first], k1[owner[first]]))
+                few = np.flatnonzero(new & (count < full))
+                if len(few):
+                    yield _batch(_PREFIX, len(few), part=(mix(k1[few]) % _S(parts)).astype(np.int32), id=k1[few].view(np.int64), cold=count[few])
                 if sum(len(x[0]) for x in held) >= _HELD:
                     yield from flush()
         yield from flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, ids, kinds = [np.zeros(0, _S)], [np.zeros(0, _S)], [np.zeros(0, np.int32)]
+        blobs: list[bytes] = []
         for batch in batches:
-            for b, free in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if b is not None:
-                    both = np.frombuffer(b, _S)
-                    sigs.append(both[: len(both) // 2])
-                    ids.append(both[len(both) // 2 :])
-                    kinds.append(np.full(len(both) // 2, FREE if free else COUNTED, np.int32))
-            rows = batch.filter(batch.column(2).is_null())
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([rows.column(3), rows.column(4), pa.array(np.full(len(rows), PAIR, np.int32))], names=["sig", "id", "kind"])
-        sig, i, kind = np.concatenate(sigs), np.concatenate(ids), np.concatenate(kinds)
-        order = np.lexsort((i, sig))
-        sig, i, kind = sig[order], i[order], kind[order]
+            few = batch.filter(batch.column(2).is_valid())
+            if len(few):
+                yield pa.RecordBatch.from_arrays([few.column(2), pa.array(np.zeros(len(few), np.int64)), few.column(3)], names=["id", "shared", "cold"])
+            blobs += batch.column(1).drop_null().to_pylist()
+        sig, ids = _unpacked(blobs)
+        order = np.lexsort((ids, sig))
+        sig, ids = sig[order], ids[order]
         if len(sig):
-            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1])])
-            sig, i, kind = sig[new], i[new], kind[new]
+            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])])
+            sig, ids = sig[new], ids[new]
             same = sig[1:] == sig[:-1]
-            multi = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            sig, i, kind = sig[multi], i[multi], kind[multi]
-        for at in range(0, len(sig), 1 << 16):
-            s = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([_signed(sig[s]), _signed(i[s]), pa.array(kind[s])], names=["sig", "id", "kind"])
+            met, shared = np.unique(ids[np.concatenate([same, [False]]) | np.concatenate([[False], same])], return_counts=True)
+            for s in range(0, len(met), 1 << 16):
+                e = slice(s, s + (1 << 16))
+                yield pa.RecordBatch.from_arrays([_signed(met[e]), pa.array(shared[e].astype(np.int64)), pa.nulls(len(met[e]), pa.int32())], names=["id", "shared", "cold"])
 
-    found = docs.mapInArrow(emit, "part int, free boolean, blob binary, sig bigint, id bigint").repartition(parts, "part").mapInArrow(gather, "sig bigint, id bigint, kind int")
-    found = work.written(found, "signatures")
-    # gather left only singles that are held twice; what that makes too few is taken out once
-    singles = work.written(_enough(found.where(F.col("kind") != PAIR), groups, num, den), "singles")
-    pairs = found.where(F.col("kind") == PAIR).distinct()
-    return _held_twice(singles).unionByName(_held_twice(pairs)).select("sig", "id")
+    sent = docs.mapInArrow(emit, "part int, blob binary, id bigint, cold int").repartition(parts, "part")
+    return sent.mapInArrow(gather, "id bigint, shared bigint, cold int").groupBy("id").agg(F.sum("shared").alias("shared"), F.max("cold").alias("cold"))
 
 
-def _held_twice(rows: DataFrame) -> DataFrame:
-    lists = rows.groupBy("sig").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a < _b").select("sig")
-    return rows.join(lists, "sig")
+def may_link(prefixes: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, n, first_id) of the groups that share enough of their prefixes.
 
+    Of two linked sets, the one whose prefix ends first has 1 + losses // 2 of it in common with the
+    other's; it has t*n tokens at least. A set that has sent all its tokens but the hot ones may
+    share hot ones only, but can't have lost more than it may.
+    """
+    smaller = f"((n * {num} + {den - 1}) div {den})"
+    least = f"1 + (({smaller} - ({smaller} * {num} + {den - 1}) div {den}) div 2)"
+    enough = f"shared >= {least} OR cold - shared <= n - {smaller}"
+    met = prefixes.join(groups.select(F.col("k1").alias("id"), "n", "first_id"), "id").where(enough)
+    return met.groupBy("id").agg(F.max("n").alias("n"), F.min("first_id").alias("first_id"))
 
-def _enough(rows: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Without the counted singles of groups that have too few left to link with any other group.
 
-    The prefix of n rare shingles is longer than its losses by surplus(n), so of two linked sets the
-    one whose prefix ends first has that many in common with the other. Its size is t*n at least.
-    """
-    smaller = F.ceil(F.col("n") * num / den)
-    losses = smaller - F.ceil(smaller * num / den)
-    least = 1 + F.floor(losses / 2)
-    counts = rows.where(F.col("kind") == COUNTED).groupBy("id").agg(F.count(F.lit(1)).alias("_c"))
-    kept = counts.join(groups.select("id", "n"), "id").where(F.col("_c") >= least).select("id")
-    return rows.where(F.col("kind") == FREE).unionByName(rows.where(F.col("kind") == COUNTED).join(kept, "id").select("sig", "id", "kind"))
+# -- whole sets of these
 
 
-# -- verification
+def _bit(ids: np.ndarray, width: int) -> np.ndarray:
+    return (mix(ids.view(_S)) & _S(width - 1)).astype(np.int64)
 
 
-def scan_chosen(docs: DataFrame, chosen: np.ndarray, n: int) -> DataFrame:
-    """(id, set) of the documents whose doc_id falls on a set bit of ``chosen``."""
-    bits = docs.sparkSession.sparkContext.broadcast(chosen)
+def mark_ids(ids: DataFrame, bits: int) -> np.ndarray:
+    """A packed table in which the bit of every id is set (others may be, too)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(1 << bits, np.uint8)
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            batch = batch.filter(pa.array(bits.value[_bit(ids, len(bits.value))] > 0))
+            marks[_bit(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), len(marks))] = 1
+        for s, blob in _slices(marks):
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary())], names=["slice", "blob"])
+
+    return np.packbits(_added(ids.mapInArrow(run, "slice int, blob binary"), lambda v: v > 0, 1 << bits))
+
+
+def scan_chosen(docs: DataFrame, bits: Broadcast | None, n: int) -> DataFrame:
+    """(id, set) of the documents whose doc_id is marked in ``bits`` (of all where there is no table)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if bits is not None:
+                at = _bit(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), 8 * len(bits.value))
+                batch = batch.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0))
             for _, texts in _texts(batch):
                 hashes, owner = shingle_sets(texts, n)
                 size, k1, _ = _set_keys(hashes, owner, len(texts))
-                ends = np.cumsum(size)
-                sets = [hashes[e - s : e].tobytes() for s, e in zip(size, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([_signed(k1), pa.array(sets, pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([_signed(k1), _packed(hashes.tobytes(), np.cumsum(size) * 8)], names=["id", "set"])
 
     return docs.mapInArrow(run, "id bigint, set binary")
 
 
-def _bit(ids: np.ndarray, width: int) -> np.ndarray:
-    return (mix(ids.view(_S)) & _S(width - 1)).astype(np.int64)
+def holders(sets: DataFrame, table: Broadcast, parts: int) -> DataFrame:
+    """(id, codes): how many of ``sets`` (id, set) hold each of a set's tokens that are not hot.
+
+    Codes are 16-bit counts in the order of the tokens' parts, then hashes, an array element a part.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                part, blobs = _by_part(*(np.concatenate(x) for x in zip(*held, strict=True)), parts)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+        for batch in batches:
+            for i, data in zip(batch.column(0).to_numpy().astype(np.int64).view(_S), batch.column(1), strict=True):
+                tokens = np.frombuffer(data.as_buffer(), _S)
+                tokens = tokens[table.value[(tokens & _S(len(table.value) - 1)).astype(np.int64)] == 0]
+                held.append((tokens, np.full(len(tokens), i)))
+            if sum(len(x[0]) for x in held) >= _HELD:
+                yield from flush()
+        yield from flush()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, ids = _unpacked([b for batch in batches for b in batch.column(1).to_pylist()])
+        if not len(tokens):
+            return
+        order = np.argsort(tokens, kind="stable")
+        tokens, ids = tokens[order], ids[order]
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        count = np.diff(np.append(starts, len(tokens)))
+        codes = np.repeat(np.minimum(count, _MOST), count).astype(np.uint16)
+        part = (mix(tokens) % _S(parts)).astype(np.int32)
+        order = np.lexsort((tokens, ids, part))
+        ids, part, codes = ids[order], part[order], codes[order]
+        first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (part[1:] != part[:-1])]))
+        ends = np.append(first[1:], len(ids))
+        for s in range(0, len(first), 1 << 16):
+            a, b = first[s : s + (1 << 16)], ends[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([_signed(ids[a]), pa.array(part[a]), _packed(codes[a[0] : b[-1]].tobytes(), 2 * (b - a[0]))], names=["id", "part", "codes"])
+
+    sent = sets.select("id", "set").mapInArrow(emit, "part int, blob binary").repartition(parts, "part")
+    each = sent.mapInArrow(gather, "id bigint, part int, codes binary")
+    in_order = F.array_sort(F.collect_list(F.struct("part", "codes")))
+    return each.groupBy("id").agg(in_order.alias("c")).select("id", F.transform("c", lambda x: x["codes"]).alias("codes"))
+
+
+# -- signatures
+
+
+def _dealt(tokens: np.ndarray, band: int, groups: int) -> np.ndarray:
+    return (mix(tokens ^ _S((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % _S(groups)).astype(np.int64)
+
+
+def _combinations(tokens: np.ndarray, ks: np.ndarray, bear: int, band: int, groups: int) -> np.ndarray:
+    """The k-token combinations of a prefix of ``tokens`` (classes in order) that is lost with over ``bear`` losses only."""
+    out: list[np.ndarray] = []
+    for k in np.unique(ks):
+        mine = tokens[ks == k]
+        group = _dealt(mine, band, groups)
+        by = np.argsort(group, kind="stable")
+        place = np.empty(len(mine), np.int64)
+        place[by] = np.arange(len(mine)) - np.searchsorted(group[by], group[by])
+        adds = np.cumsum(place >= k - 1)  # from the k-th on, each token of a group has to be lost as well
+        length = int(np.searchsorted(adds, bear + 1)) + 1
+        mine, group = mine[:length], group[:length]
+        for g in np.unique(group):
+            of_group = mine[group == g]
+            if len(of_group) >= k:
+                chosen = of_group[np.array([*combinations(range(len(of_group)), int(k))])]
+                sig = np.full(len(chosen), _S(band * 8 + int(k)))
+                for column in chosen.T:
+                    sig = mix(sig * _S(3) + column)
+                out.append(sig)
+        if length <= len(adds):
+            break
+        bear -= int(adds[-1]) if len(adds) else 0
+    return np.concatenate(out) if out else np.zeros(0, _S)
 
 
-def mark_ids(ids: DataFrame, bits: int = COUNTERS) -> np.ndarray:
-    """A table of fixed size in which the bit of every id is set (others may be, too)."""
+def signatures_of(tokens: np.ndarray, count: np.ndarray, ks: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of tokens of a set that others hold, its signatures, and how many held tokens come before each.
+
+    ``count`` orders the tokens within their class ``ks``; 1 means that no other set holds it. A set
+    that has lost too many already has no signatures.
+    """
+    n, alive = len(tokens), np.flatnonzero(count >= 2)
+    need = -(-num * n // den)
+    bear = len(alive) - need
+    if bear < 0 or n * (den - num) < num:
+        return len(alive), np.zeros(0, _S), np.zeros(0, np.int64)
+    alive = alive[np.lexsort((tokens[alive], count[alive], ks[alive]))]
+    tokens, ks = tokens[alive], ks[alive]
+    rare = int((ks == 1).sum())
+    sigs = [tokens[: min(bear + 1, rare)]]
+    places = [np.arange(len(sigs[0]))]
+    if rare <= bear:
+        base = log(den / num) * 1.000001
+        band = floor(log(n) / base)
+        for b in (band, band + 1):
+            groups = max(1, int((1 - num / den) / 3 * np.exp(b * base)))
+            sigs.append(_combinations(tokens[rare:], ks[rare:], bear - rare, b, groups))
+            places.append(np.full(len(sigs[-1]), rare))
+    return len(alive), np.concatenate(sigs), np.concatenate(places)
+
+
+def signatures(sets: DataFrame, counted: DataFrame, table: Broadcast, level: float, parts: int, num: int, den: int) -> DataFrame:
+    """(sig, id, n, c, p) of ``sets`` (id, n, set), c and p as in ``signatures_of``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(1 << bits, np.uint8)
+        out: list[tuple[np.ndarray, ...]] = []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            if out:
+                sig, *rest = (np.concatenate(x) for x in zip(*out, strict=True))
+                out.clear()
+                yield pa.RecordBatch.from_arrays([_signed(sig), _signed(rest[0]), *(pa.array(x.astype(np.int32)) for x in rest[1:])], names=["sig", "id", "n", "c", "p"])
+
         for batch in batches:
-            marks[_bit(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), len(marks))] = 1
-        for s, blob in _slices(marks):
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary())], names=["slice", "blob"])
+            ids = batch.column(0).to_numpy().astype(np.int64).view(_S)
+            for i, data, codes in zip(ids, batch.column(1), batch.column(2).to_pylist(), strict=True):
+                tokens = np.frombuffer(data.as_buffer(), _S)
+                hot = table.value[(tokens & _S(len(table.value) - 1)).astype(np.int64)].astype(np.int64)
+                cold = np.flatnonzero(hot == 0)
+                count = _MOST + hot
+                order = np.argsort((mix(tokens[cold]) % _S(parts)), kind="stable")
+                count[cold[order]] = np.frombuffer(b"".join(codes or ()), np.uint16)
+                about = np.where(hot > 0, np.maximum(level * 2.0 ** (hot - 1), CLASSES[0] + 1), count)
+                ks = 1 + np.searchsorted(CLASSES, about, side="left")
+                c, sig, p = signatures_of(tokens, count, ks, num, den)
+                if len(sig):
+                    out.append((sig, np.full(len(sig), i), np.full(len(sig), len(tokens)), np.full(len(sig), c), p))
+            yield from made()
+
+    return sets.join(counted, "id", "left").select("id", "set", "codes").mapInArrow(run, "sig bigint, id bigint, n int, c int, p int")
 
-    return _added(ids.mapInArrow(run, "slice int, blob binary"), lambda v: v > 0, 1 << bits)
+
+# -- verification
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -347,46 +476,74 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def link_groups(shared: DataFrame, groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, comp) for the groups in ``shared`` (sig, id); ``groups`` has (id, n)."""
-    labels = work.written(shared.select("id").distinct().join(groups.select("id", "n"), "id").withColumn("comp", F.col("id")), "labels")
-    tested: DataFrame | None = None
-    for turn in range(ROUNDS + 1):
-        held = shared.join(labels, "id")
-        if turn:  # before the first round every group is a component of its own
-            open_ = held.groupBy("sig").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("sig")
-            held = held.join(open_, "sig")
-        held = work.written(held, "open")
-        rows = held.count()
-        if not rows:
-            break
-        shared = held.select("sig", "id")  # components only grow: a signature that is closed stays so
-        per = held.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
-        left_over = per.agg(F.sum("p")).first()[0]
-        last = turn == ROUNDS or left_over <= FEW * rows
-        alike = (F.least("n", "_n") * den >= F.greatest("n", "_n") * num) & (F.col("comp") != F.col("_comp"))
-        if last:
-            other = held.select("sig", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))
-            met = held.join(other, "sig").where(alike & (F.col("id") < F.col("_id"))).select("id", "_id")
-        else:
-            lane = F.pmod(F.col("sig"), F.lit(LANES))
-            lead = held.groupBy("sig").agg(F.min(F.struct(F.xxhash64("id", lane, F.lit(turn)).alias("_h"), F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))).alias("l")).select("sig", "l._h", "l._id", "l._n", "l._comp")
-            near = held.join(lead, "sig").where(alike)
-            met = near.groupBy("id", lane.alias("_lane")).agg(F.min(F.struct("_h", "_id")).alias("m")).select("id", "m._id")
-        pairs = met.select(F.col("_id").alias("a"), F.col("id").alias("b"), F.least("id", "_id").alias("low"), F.greatest("id", "_id").alias("high")).dropDuplicates(["low", "high"])
-        if tested is not None:
-            pairs = pairs.join(tested, ["low", "high"], "left_anti")
-        pairs = work.written(pairs, "pairs")
-        links = work.written(verified(pairs, sets, num, den), "links")
-        done = pairs.select("low", "high")
-        tested = done if tested is None else tested.unionByName(done)
-        name = labels.select(F.col("id"), F.col("comp"))
-        ends = links.join(name.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(name.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
-        merged = connected(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        labels = work.written(labels.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("_to")), "comp", "left").select("id", "n", F.coalesce("_to", "comp").alias("comp")), "labels")
-        if last:
-            break
-    return labels.select("id", "comp")
+def _suffices(left: tuple[Column, Column], right: tuple[Column, Column], num: int, den: int) -> Column:
+    """Whether (n, tokens from the signature on) of two sets are enough for a link."""
+    return F.least(left[1], right[1]) * (num + den) >= (left[0] + right[0]) * num
+
+
+def link_groups(sigs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, comp) of the sets that link with another one; ``sigs`` has (sig, id, n, c, p)."""
+    sigs = sigs.withColumn("left", F.col("c") - F.col("p"))
+    mine = (F.col("n"), F.col("left"))
+    best = F.max(F.struct((F.col("c") / F.col("n")).alias("share"), F.xxhash64("id").alias("h"), "id", "n", "left")).alias("l")
+    lead = sigs.groupBy("sig").agg(best).select("sig", F.col("l.id").alias("_id"), F.col("l.n").alias("_n"), F.col("l.left").alias("_left"))
+    theirs = (F.col("_n"), F.col("_left"))
+    met = sigs.join(lead, "sig").where((F.col("id") != F.col("_id")) & _suffices(mine, theirs, num, den))
+    pairs = work.written(met.select(F.col("_id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    labels = connected(work.written(verified(pairs, sets, num, den), "links"))
+    # what is still in different components: of every list, the sets outside its best one's component against all
+    held = work.written(sigs.join(labels, "id", "left").select("sig", "id", "n", "left", (F.col("c") / F.col("n")).alias("share"), F.coalesce("comp", "id").alias("comp")), "held")
+    lists = held.groupBy("sig").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.min("n").alias("_least"), F.max(F.struct("share", F.xxhash64("id").alias("h"), "comp")).alias("_top"))
+    lists = lists.where("_a < _b").select("sig", "_least", F.col("_top.comp").alias("top"))
+    open_ = work.written(held.join(lists, "sig").where(F.col("left") * (num + den) >= (F.col("n") + F.col("_least")) * num).select("sig", "id", "n", "left", "comp", "top"), "open")
+    other = open_.select("sig", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("left").alias("_left"), F.col("comp").alias("_comp"))
+    once = (F.col("_comp") == F.col("top")) | (F.col("id") < F.col("_id"))
+    both = open_.where("comp <> top").join(other, "sig").where((F.col("comp") != F.col("_comp")) & once & _suffices(mine, theirs, num, den))
+    more = work.written(both.select(F.col("_id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    links = work.written(verified(more, sets, num, den), "links")
+    if links.isEmpty():
+        return labels
+    return connected(links.unionByName(labels.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
+
+
+def components(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, n, k1, k2), and groups (k1, k2, comp, component_id) of those with words."""
+    spark = docs.sparkSession
+    ship(spark)
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    scan = work.written(scan_sets(slim, n), "sets-scan")
+    rows = scan.where("slice IS NULL").select("doc_id", "text_hash", "n", "k1", "k2")
+    groups = work.written(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first_id")), "set-groups")
+    tokens = rows.agg(F.sum("n")).first()[0] or 0
+    table = spark.sparkContext.broadcast(hot_classes(scan.where("slice IS NOT NULL").select("slice", "blob"), tokens))
+    slim = slim.select("doc_id", "text")
+    prefixes = shared_prefixes(slim, table, _parts(spark, 3 * tokens * (den - num) // (2 * den)), n, num, den)
+    chosen = work.written(may_link(prefixes, groups, num, den), "may-link")
+    count, left = chosen.agg(F.count(F.lit(1)), F.sum("n")).first()
+    alone = groups.select("k1", "k2", F.col("k1").alias("comp"), F.col("first_id").alias("component_id"))
+    if not count:
+        return rows, alone
+    names, bits = chosen.select(F.coalesce("first_id", F.lit(-1)).alias("first_id")), None
+    if count > MARKED:
+        slim = slim.join(names.distinct(), F.coalesce("doc_id", F.lit(-1)) == F.col("first_id"), "left_semi")
+    else:
+        bits = spark.sparkContext.broadcast(mark_ids(names, max(17, (16 * count).bit_length())))
+    sets = scan_chosen(slim, bits, n).dropDuplicates(["id"]).join(chosen.select("id"), "id", "left_semi")
+    sets = work.bucketed(sets, "sets", "id", dealt=True)
+    parts = _parts(spark, left)
+    counted = holders(sets, table, parts)
+    sigs = work.written(signatures(sets, counted, table, _level(tokens), parts, num, den), "signatures")
+    for used in (table, bits):
+        if used is not None:
+            used.destroy()
+    labels = link_groups(sigs, sets, num, den)
+    linked = work.written(groups.join(labels, F.col("k1") == F.col("id")).select("k1", "k2", "comp", "first_id"), "linked")
+    names = linked.groupBy("comp").agg(F.min("first_id").alias("component_id"))
+    named = linked.select("k1", "k2", F.col("comp").alias("_comp")).join(names.withColumnsRenamed({"comp": "_comp", "component_id": "_id"}), "_comp")
+    both = alone.join(named, ["k1", "k2"], "left")
+    met = F.col("_comp").isNotNull()
+    return rows, work.written(both.select("k1", "k2", *(F.when(met, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("_comp", "comp"), ("_id", "component_id")))), "group-components")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -394,29 +551,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_
 
     ``docs`` should be a table or file scan: it is scanned three times.
     """
-    ship(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scan = work.written(scan_sets(slim, n), "sets-scan")
-    rows = scan.where("slice IS NULL").select("doc_id", "n", "k1", "k2")
-    groups = work.written(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first_id")).select(F.col("k1").alias("id"), "n", "first_id"), "set-groups")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    classes = shingle_classes(scan.where("slice IS NOT NULL").select("slice", "blob"), total)
-    shared = work.written(shared_signatures(slim, groups, classes, n, num, den), "shared")
-    chosen = shared.select("id").distinct().join(groups, "id").select(F.coalesce("first_id", F.lit(-1)).alias("first_id"))
-    sets = work.bucketed(scan_chosen(slim, mark_ids(chosen), n), "sets", "id")
-    labels = link_groups(shared, groups, sets, num, den)
-    named = groups.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    of_group = work.written(named.join(names, "comp").select("id", "component_id"), "group-components")
-    filled = rows.where("n > 0").join(of_group, F.col("k1") == F.col("id")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rows, groups = components(docs, n, num, den, id_col, text_col)
+    filled = rows.where("n > 0").join(groups.select("k1", "k2", "component_id"), ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return filled.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id; all its rows stay."""
-    found = near_duplicates(docs, n, num, den, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """``docs`` with one row of each component, one of the smallest doc_id; rows without words all stay."""
+    rows, groups = components(docs, n, num, den, id_col, text_col)
+    first = rows.where("n > 0").join(groups, ["k1", "k2"]).where("doc_id <=> component_id")
+    best = first.groupBy("comp", F.col("doc_id").alias("_id")).agg(F.min("text_hash").alias("_hash")).select("_id", "_hash", F.lit(False).alias("_blank"))
+    blank = rows.where("n = 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(True).alias("_blank")).distinct()
+    keyed = docs.withColumns({"_docloom_id": F.col(id_col).cast("long"), "_docloom_hash": F.xxhash64(F.col(text_col).cast("string"))})
+    same = F.col("_docloom_id").eqNullSafe(F.col("_id")) & (F.col("_docloom_hash") == F.col("_hash"))
+    nth = F.row_number().over(Window.partitionBy("_docloom_id", "_docloom_hash").orderBy(F.lit(1)))
+    kept = keyed.join(best.unionByName(blank), same).withColumn("_nth", nth).where("_blank OR _nth = 1")
+    return kept.drop("_docloom_id", "_docloom_hash", "_id", "_hash", "_blank", "_nth")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,15 +61,42 @@ def near_texts(seed, n=150):
     return rows
 
 
-@pytest.mark.parametrize(("n", "num", "den", "rare"), [(4, 85, 100, True), (5, 4, 5, True), (4, 85, 100, False)])
-def test_ngram_join(spark, monkeypatch, n, num, den, rare):
+@pytest.mark.parametrize(("n", "num", "den", "hot", "classes"), [(4, 85, 100, False, (32, 1024)), (5, 4, 5, False, (1, 3)), (4, 85, 100, True, (1, 1)), (4, 4, 5, True, (32, 1024))])
+def test_ngram_join(spark, monkeypatch, n, num, den, hot, classes):
     rows = near_texts(n)
-    if not rare:  # make shingles of two sets or more frequent, so that pairs are the signatures
-        monkeypatch.setattr(ngram_join, "shingle_classes", lambda *a, **b: np.ones(1 << ngram_join.COUNTERS, np.uint8))
+    if hot:  # every token, so nothing but combinations can be a signature
+        monkeypatch.setattr(ngram_join, "hot_classes", lambda *a, **b: np.ones(1 << ngram_join.COUNTERS, np.uint8))
+    monkeypatch.setattr(ngram_join, "CLASSES", classes)
     got = ngram_join.near_duplicates(frame(spark, rows, "doc_id bigint, text string").repartition(4), n, num, den)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == components(rows, n, num, den)
 
 
+@pytest.mark.parametrize("limits", [(0, 0), (0, 40), (3, 6), (100, 200)])
+def test_linked_sets_share_a_signature(limits):
+    rng = np.random.default_rng(7)
+    sets = []
+    for size in (4, 6, 9, 30, 120):
+        base = rng.integers(0, 1 << 62, size).astype(np.uint64)
+        for _ in range(25):
+            kept = base[rng.random(size) < rng.choice((0.8, 0.95, 1))]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 62, rng.integers(0, 1 + size // 8)).astype(np.uint64)])))
+    tokens, held = np.unique(np.concatenate(sets), return_counts=True)
+    made = []
+    for s in sets:
+        count = held[np.searchsorted(tokens, s)]
+        made.append(ngram_join.signatures_of(s, count, 1 + np.searchsorted(limits, count, side="left"), 4, 5))
+    links = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if a.tolist() != sets[j].tolist() and both and 5 * both >= 4 * (len(a) + len(sets[j]) - both):
+                links += 1
+                (c, sig, p), (d, other, q) = made[i], made[j]
+                # there is one from which on enough tokens are left in both
+                assert any(9 * min(c - p[x], d - q[y]) >= 4 * (len(a) + len(sets[j])) for x, y in zip(*(np.intersect1d(sig, other, return_indices=True)[1:]), strict=True))
+    assert links > 100
+
+
 def test_ngram_join_messy(messy, none):
     got = ngram_join.near_duplicates(messy, 5, 4, 5).collect()
     assert len(got) == messy.count()
@@ -79,7 +106,15 @@ def test_ngram_join_messy(messy, none):
     assert by[1] == by[2] == by[3] == {1} and by[4] == {4} and by[6] == {6} and by[8] == {8} and by[None] == {None}
     assert ngram_join.near_duplicates(none).count() == 0
     kept = ngram_join.keep_one(messy)
-    assert kept.columns == messy.columns and {r["doc_id"] for r in kept.collect()} == {1, 4, 5, 6, 7, 8, 9, None}
+    assert kept.columns == messy.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 4, 5, 6, 7, 8, 9, None])
+
+
+def test_keep_one_where_ids_repeat(spark):
+    base = [f"w{i}" for i in range(50)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-1] + ["x"])), (1, " ".join(base[:-1] + ["y"])), (2, "something else entirely"), (3, ""), (3, ""), (3, None)]
+    kept = ngram_join.keep_one(frame(spark, rows, "doc_id bigint, text string")).collect()
+    assert len([r for r in kept if "w0" in (r["text"] or "")]) == 1 and Counter(r["doc_id"] for r in kept)[3] == 3
+    assert (2, "something else entirely") in [tuple(r) for r in kept] and len(kept) == 5
 
 
 def test_components(spark):
