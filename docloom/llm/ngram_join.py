@@ -20,9 +20,9 @@ reaches a threshold. A set of n tokens may lose n - ceil(t*n) of them and still
    exceed what the set can bear. Linked sets then share a signature: take the one whose prefix ends
    first; what it loses to the other cannot cover all its groups, and what remains of one lies in
    the other's prefix as well.
-5. Sets that meet can link only if the tokens from the first common one on suffice (c - p of c held
-   tokens, p before the signature); linked sets pass this where they meet first, so every other
-   meeting is dropped before anything is fetched. One round compares each list's members with its
+5. Sets that meet can link only if the tokens from the first common signature on suffice (c - p of c
+   held tokens, p before it that can't be shared); linked sets pass this where they meet first, so
+   every other meeting is dropped before anything is fetched. One round compares each list's members with its
    best member (fewest tokens of its own) and joins what links into components; a second one
    compares what is still in different components. Both verify on the whole sets.
 6. Components are labelled by their smallest doc_id.
@@ -57,7 +57,7 @@ from docloom.shipping import ship
 #: Bits of the number of counters (fixed size, whatever the input).
 COUNTERS = 23
 #: Tokens held by at most so many of the remaining sets are signatures alone, in pairs; beyond it k is 3.
-CLASSES = (32, 1024)
+CLASSES = (32, 1 << 14)
 _SLICE = 1 << 16
 #: Tokens a task holds before it sends them on, and bytes of tokens for a task that receives them.
 _HELD = 1 << 20
@@ -258,7 +258,7 @@ def shared_prefixes(docs: DataFrame, table: Broadcast, parts: int, n: int, num:
                 e = slice(s, s + (1 << 16))
                 yield pa.RecordBatch.from_arrays([_signed(met[e]), pa.array(shared[e].astype(np.int64)), pa.nulls(len(met[e]), pa.int32())], names=["id", "shared", "cold"])
 
-    sent = docs.mapInArrow(emit, "part int, blob binary, id bigint, cold int").repartition(parts, "part")
+    sent = docs.mapInArrow(emit, "part int, blob binary, id bigint, cold int").repartitionById(parts, "part")
     return sent.mapInArrow(gather, "id bigint, shared bigint, cold int").groupBy("id").agg(F.sum("shared").alias("shared"), F.max("cold").alias("cold"))
 
 
@@ -354,7 +354,7 @@ def holders(sets: DataFrame, table: Broadcast, parts: int) -> DataFrame:
             a, b = first[s : s + (1 << 16)], ends[s : s + (1 << 16)]
             yield pa.RecordBatch.from_arrays([_signed(ids[a]), pa.array(part[a]), _packed(codes[a[0] : b[-1]].tobytes(), 2 * (b - a[0]))], names=["id", "part", "codes"])
 
-    sent = sets.select("id", "set").mapInArrow(emit, "part int, blob binary").repartition(parts, "part")
+    sent = sets.select("id", "set").mapInArrow(emit, "part int, blob binary").repartitionById(parts, "part")
     each = sent.mapInArrow(gather, "id bigint, part int, codes binary")
     in_order = F.array_sort(F.collect_list(F.struct("part", "codes")))
     return each.groupBy("id").agg(in_order.alias("c")).select("id", F.transform("c", lambda x: x["codes"]).alias("codes"))
@@ -367,34 +367,43 @@ def _dealt(tokens: np.ndarray, band: int, groups: int) -> np.ndarray:
     return (mix(tokens ^ _S((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % _S(groups)).astype(np.int64)
 
 
-def _combinations(tokens: np.ndarray, ks: np.ndarray, bear: int, band: int, groups: int) -> np.ndarray:
-    """The k-token combinations of a prefix of ``tokens`` (classes in order) that is lost with over ``bear`` losses only."""
-    out: list[np.ndarray] = []
+def _combinations(tokens: np.ndarray, ks: np.ndarray, bear: int, band: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k-token combinations of a prefix of ``tokens`` (classes in order) that is lost with over ``bear`` losses only.
+
+    With each comes how many tokens before its first one another set can't share if it shares no
+    combination that begins earlier: all but k - 1 of every group.
+    """
+    group = _dealt(tokens, band, groups)
+    _, at = np.unique(group + groups * ks, return_index=True)
+    free = np.zeros(len(tokens), np.int64)
+    free[at] = ks[at] - 1
+    before = np.maximum(np.arange(len(tokens)) - (np.cumsum(free) - free), 0)
+    out, places = [np.zeros(0, _S)], [np.zeros(0, np.int64)]
     for k in np.unique(ks):
-        mine = tokens[ks == k]
-        group = _dealt(mine, band, groups)
-        by = np.argsort(group, kind="stable")
+        mine = np.flatnonzero(ks == k)
+        by = np.argsort(group[mine], kind="stable")
         place = np.empty(len(mine), np.int64)
-        place[by] = np.arange(len(mine)) - np.searchsorted(group[by], group[by])
+        place[by] = np.arange(len(mine)) - np.searchsorted(group[mine][by], group[mine][by])
         adds = np.cumsum(place >= k - 1)  # from the k-th on, each token of a group has to be lost as well
         length = int(np.searchsorted(adds, bear + 1)) + 1
-        mine, group = mine[:length], group[:length]
-        for g in np.unique(group):
-            of_group = mine[group == g]
+        mine = mine[:length]
+        for g in np.unique(group[mine]):
+            of_group = mine[group[mine] == g]
             if len(of_group) >= k:
                 chosen = of_group[np.array([*combinations(range(len(of_group)), int(k))])]
                 sig = np.full(len(chosen), _S(band * 8 + int(k)))
                 for column in chosen.T:
-                    sig = mix(sig * _S(3) + column)
+                    sig = mix(sig * _S(3) + tokens[column])
                 out.append(sig)
+                places.append(before[chosen[:, 0]])
         if length <= len(adds):
             break
-        bear -= int(adds[-1]) if len(adds) else 0
-    return np.concatenate(out) if out else np.zeros(0, _S)
+        bear -= int(adds[-1])
+    return np.concatenate(out), np.concatenate(places)
 
 
-def signatures_of(tokens: np.ndarray, count: np.ndarray, ks: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """The number of tokens of a set that others hold, its signatures, and how many held tokens come before each.
+def signatures_of(tokens: np.ndarray, count: np.ndarray, ks: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of tokens of a set that others hold, its signatures, how many held tokens before each a set that meets it there first can't share, and whether it is of the set's own size band.
 
     ``count`` orders the tokens within their class ``ks``; 1 means that no other set holds it. A set
     that has lost too many already has no signatures.
@@ -403,33 +412,35 @@ def signatures_of(tokens: np.ndarray, count: np.ndarray, ks: np.ndarray, num: in
     need = -(-num * n // den)
     bear = len(alive) - need
     if bear < 0 or n * (den - num) < num:
-        return len(alive), np.zeros(0, _S), np.zeros(0, np.int64)
+        return len(alive), np.zeros(0, _S), np.zeros(0, np.int64), np.zeros(0, bool)
     alive = alive[np.lexsort((tokens[alive], count[alive], ks[alive]))]
     tokens, ks = tokens[alive], ks[alive]
     rare = int((ks == 1).sum())
     sigs = [tokens[: min(bear + 1, rare)]]
-    places = [np.arange(len(sigs[0]))]
+    places, own = [np.arange(len(sigs[0]))], [np.ones(len(sigs[0]), bool)]
     if rare <= bear:
         base = log(den / num) * 1.000001
         band = floor(log(n) / base)
         for b in (band, band + 1):
             groups = max(1, int((1 - num / den) / 3 * np.exp(b * base)))
-            sigs.append(_combinations(tokens[rare:], ks[rare:], bear - rare, b, groups))
-            places.append(np.full(len(sigs[-1]), rare))
-    return len(alive), np.concatenate(sigs), np.concatenate(places)
+            sig, place = _combinations(tokens[rare:], ks[rare:], bear - rare, b, groups)
+            sigs.append(sig)
+            places.append(rare + place)
+            own.append(np.full(len(sig), b == band))
+    return len(alive), np.concatenate(sigs), np.concatenate(places), np.concatenate(own)
 
 
 def signatures(sets: DataFrame, counted: DataFrame, table: Broadcast, level: float, parts: int, num: int, den: int) -> DataFrame:
-    """(sig, id, n, c, p) of ``sets`` (id, n, set), c and p as in ``signatures_of``."""
+    """(sig, id, n, c, p, own) of ``sets`` (id, set), the last three as in ``signatures_of``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, ...]] = []
 
         def made() -> Iterator[pa.RecordBatch]:
             if out:
-                sig, *rest = (np.concatenate(x) for x in zip(*out, strict=True))
+                sig, ids, n, c, p, own = (np.concatenate(x) for x in zip(*out, strict=True))
                 out.clear()
-                yield pa.RecordBatch.from_arrays([_signed(sig), _signed(rest[0]), *(pa.array(x.astype(np.int32)) for x in rest[1:])], names=["sig", "id", "n", "c", "p"])
+                yield pa.RecordBatch.from_arrays([_signed(sig), _signed(ids), *(pa.array(x.astype(np.int32)) for x in (n, c, p)), pa.array(own)], names=["sig", "id", "n", "c", "p", "own"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy().astype(np.int64).view(_S)
@@ -442,12 +453,12 @@ def signatures(sets: DataFrame, counted: DataFrame, table: Broadcast, level: flo
                 count[cold[order]] = np.frombuffer(b"".join(codes or ()), np.uint16)
                 about = np.where(hot > 0, np.maximum(level * 2.0 ** (hot - 1), CLASSES[0] + 1), count)
                 ks = 1 + np.searchsorted(CLASSES, about, side="left")
-                c, sig, p = signatures_of(tokens, count, ks, num, den)
+                c, sig, p, own = signatures_of(tokens, count, ks, num, den)
                 if len(sig):
-                    out.append((sig, np.full(len(sig), i), np.full(len(sig), len(tokens)), np.full(len(sig), c), p))
+                    out.append((sig, np.full(len(sig), i), np.full(len(sig), len(tokens)), np.full(len(sig), c), p, own))
             yield from made()
 
-    return sets.join(counted, "id", "left").select("id", "set", "codes").mapInArrow(run, "sig bigint, id bigint, n int, c int, p int")
+    return sets.join(counted, "id", "left").select("id", "set", "codes").mapInArrow(run, "sig bigint, id bigint, n int, c int, p int, own boolean")
 
 
 # -- verification
@@ -482,7 +493,7 @@ def _suffices(left: tuple[Column, Column], right: tuple[Column, Column], num: in
 
 
 def link_groups(sigs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, comp) of the sets that link with another one; ``sigs`` has (sig, id, n, c, p)."""
+    """(id, comp) of the sets that link with another one; ``sigs`` has (sig, id, n, c, p, own)."""
     sigs = sigs.withColumn("left", F.col("c") - F.col("p"))
     mine = (F.col("n"), F.col("left"))
     best = F.max(F.struct((F.col("c") / F.col("n")).alias("share"), F.xxhash64("id").alias("h"), "id", "n", "left")).alias("l")
@@ -492,12 +503,13 @@ def link_groups(sigs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     pairs = work.written(met.select(F.col("_id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     labels = connected(work.written(verified(pairs, sets, num, den), "links"))
     # what is still in different components: of every list, the sets outside its best one's component against all
-    held = work.written(sigs.join(labels, "id", "left").select("sig", "id", "n", "left", (F.col("c") / F.col("n")).alias("share"), F.coalesce("comp", "id").alias("comp")), "held")
+    held = work.written(sigs.join(labels, "id", "left").select("sig", "id", "n", "left", "own", (F.col("c") / F.col("n")).alias("share"), F.coalesce("comp", "id").alias("comp")), "held")
     lists = held.groupBy("sig").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.min("n").alias("_least"), F.max(F.struct("share", F.xxhash64("id").alias("h"), "comp")).alias("_top"))
     lists = lists.where("_a < _b").select("sig", "_least", F.col("_top.comp").alias("top"))
-    open_ = work.written(held.join(lists, "sig").where(F.col("left") * (num + den) >= (F.col("n") + F.col("_least")) * num).select("sig", "id", "n", "left", "comp", "top"), "open")
-    other = open_.select("sig", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("left").alias("_left"), F.col("comp").alias("_comp"))
-    once = (F.col("_comp") == F.col("top")) | (F.col("id") < F.col("_id"))
+    open_ = work.written(held.join(lists, "sig").where(F.col("left") * (num + den) >= (F.col("n") + F.col("_least")) * num).select("sig", "id", "n", "left", "own", "comp", "top"), "open")
+    other = open_.select("sig", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("left").alias("_left"), F.col("own").alias("_own"), F.col("comp").alias("_comp"))
+    # sets of one band meet in its dealing: in the next band's they need not be looked at again
+    once = (F.col("own") | F.col("_own")) & ((F.col("_comp") == F.col("top")) | (F.col("id") < F.col("_id")))
     both = open_.where("comp <> top").join(other, "sig").where((F.col("comp") != F.col("_comp")) & once & _suffices(mine, theirs, num, den))
     more = work.written(both.select(F.col("_id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = work.written(verified(more, sets, num, den), "links")
