@@ -7,18 +7,24 @@ matter up to LENGTH bytes here ("windows"), and they are sorted where equal ones
    equal windows have equal anchors at equal offsets. Neighbouring windows share anchors: about one
    in 80 positions is one. A first scan counts anchor hashes (each task sends a hash once, so a
    passage in a third of all texts costs no more than one row a task).
-2. A second scan takes the runs of windows ("segments") whose anchor is marked in a bit table of
-   fixed size as occurring twice (the table only saves work and may mark too much), and sends their
-   digests and places. Segments that occur twice as a whole are repeats throughout.
-3. A third scan sends the bytes of segments whose anchor has several different ones, each once a
-   task. The segments of an anchor are brought together, and for each offset their suffixes are mergesorted: two suffixes are
-   compared by binary search for their common extension over prefix polynomial hashes, then by the
-   next byte, so a comparison takes log2(LENGTH) steps. Neighbours that agree in LENGTH bytes are
-   compared byte by byte against hash collisions, and both windows are repeats. Anchors with many
-   different segments are spread over several tasks by offset.
+2. A second scan takes the runs of windows ("segments") whose anchor is marked in a bit table as
+   occurring twice (the table only saves work and may mark too much), and sends their digests and
+   places. Segments that occur twice as a whole are repeats throughout.
+3. A third scan sends the bytes of segments whose anchor has several different ones, from one of the
+   texts that hold them. The segments of an anchor are brought together, and for each offset their
+   suffixes are mergesorted: two suffixes are compared by binary search for their common extension
+   over prefix polynomial hashes, then by the next byte, so a comparison takes log2(LENGTH) steps.
+   Neighbours that agree in LENGTH bytes are compared byte by byte against hash collisions, and both
+   windows are repeats.
+   Segments of an anchor with over MANY different ones are cut into *pieces* first: the windows of
+   WIDTH neighbouring offsets. All windows of a piece hold the same LENGTH - WIDTH + 1 bytes (its
+   core), so only pieces of equal cores need be sorted together; equal pieces count once.
 4. Ranges go back to their rows. A last scan sends the texts of rows that are cut in part, to be
    joined with their ranges by SHA-256; what remains is joined and hashed.
 
+Segments are known by their anchor's hash and a digest of 64 bits each; segments that are equal as a
+whole by these 128 bits are not compared byte by byte.
+
 Defined results: a null text is empty; texts shorter than LENGTH bytes stay whole; matches never
 cross documents; overlapping occurrences in one document count; repeated rows remove each other
 whole; strings are judged on the input, not on what is left; an empty table gives no rows; extra
@@ -30,9 +36,11 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +50,12 @@ from docloom.shipping import ship
 
 LENGTH = 200
 K = 48
-#: Bits of the number of marks, and of the number of parts in which anchors are counted.
-MARKS, PARTS = 27, 10
-#: Anchors with more different segments are spread over SPREAD tasks.
-MANY, SPREAD = 2000, 16
+#: Bits of the number of marks (16 for each anchor of the input within these bounds).
+MARKS = (20, 28)
+#: Bits of the number of parts in which anchors are counted: the least; more where a part would exceed PART_BYTES.
+PARTS, PART_BYTES = 10, 16 << 20
+#: Anchors with more different segments have them cut into pieces of WIDTH offsets.
+MANY, WIDTH = 1000, 16
 _HELD = 2 << 20
 #: Windows sorted together in a task.
 _SORT = 1 << 18
@@ -105,9 +115,46 @@ def _raw_blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int,
         yield i, j, [(t or "").encode("utf-8", "surrogatepass") for t in texts[i:j]]
 
 
-def mark_repeated(docs: DataFrame, length: int, k: int) -> np.ndarray:
-    """A packed bit table in which the bit of every anchor hash that occurs twice is set."""
-    shift, width = 64 - MARKS, 1 << (MARKS - PARTS)
+class Marks(NamedTuple):
+    """The shape of a packed table of bits for 64-bit hashes: it has 2**bits, made in 2**parts parts."""
+
+    bits: int
+    parts: int
+
+    def of(self, hashes: np.ndarray) -> bytes:
+        """One part's bits, those of ``hashes`` (all of that part) set."""
+        width = 1 << (self.bits - self.parts)
+        marks = np.zeros(width, np.uint8)
+        marks[((hashes >> _S(64 - self.bits)) & _S(width - 1)).astype(np.int64)] = 1
+        return zlib.compress(np.packbits(marks).tobytes(), 1)
+
+    def split(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(part, begin, end) of sorted hashes."""
+        part = (hashes >> _S(64 - self.parts)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        yield from zip(part[cut].tolist(), cut.tolist(), np.append(cut[1:], len(hashes))[: len(cut)].tolist(), strict=True)
+
+    def brought(self, parts: DataFrame) -> np.ndarray:
+        out = np.zeros((1 << self.parts, 1 << (self.bits - self.parts - 3)), np.uint8)
+        for r in parts.toLocalIterator():
+            out[r["part"]] |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+        return out.reshape(-1)
+
+
+def shape(size: int, length: int, k: int) -> Marks:
+    """The shape of tables for the anchors of texts of ``size`` bytes."""
+    anchors = 2 * size // (length - k + 1) + 1
+    parts = max(PARTS, (anchors * 8 // PART_BYTES).bit_length())
+    bits = min(max((16 * anchors).bit_length(), MARKS[0]), MARKS[1])
+    return Marks(bits, min(parts, bits - 3))
+
+
+def _pack(part: list, bits: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(bits, pa.binary())], names=["part", "bits"])
+
+
+def mark_repeated(docs: DataFrame, marks: Marks, length: int, k: int) -> np.ndarray:
+    """The bits of the anchor hashes that occur twice."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -115,12 +162,10 @@ def mark_repeated(docs: DataFrame, length: int, k: int) -> np.ndarray:
         def flush() -> Iterator[pa.RecordBatch]:
             if any(map(len, held)):
                 h, n = np.unique(np.concatenate(held), return_counts=True)
-                part = (h >> _S(64 - PARTS)).astype(np.int64)
-                cut = np.flatnonzero(np.diff(part, prepend=-1))
-                ends = np.append(cut[1:], len(h))
-                ones = [h[a:b][n[a:b] == 1].tobytes() for a, b in zip(cut, ends, strict=True)]
-                more = [h[a:b][n[a:b] > 1].tobytes() for a, b in zip(cut, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(ones, pa.binary()), pa.array(more, pa.binary())], names=["part", "ones", "more"])
+                cuts = [*marks.split(h)]
+                ones = [h[a:b][n[a:b] == 1].tobytes() for _, a, b in cuts]
+                more = [h[a:b][n[a:b] > 1].tobytes() for _, a, b in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in cuts], pa.int32()), pa.array(ones, pa.binary()), pa.array(more, pa.binary())], names=["part", "ones", "more"])
                 held.clear()
 
         for batch in batches:
@@ -132,67 +177,61 @@ def mark_repeated(docs: DataFrame, length: int, k: int) -> np.ndarray:
         yield from flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones: dict[int, list[np.ndarray]] = {}
-        more: dict[int, list[np.ndarray]] = {}
+        def done(part: int, ones: list[bytes], more: list[bytes]) -> pa.RecordBatch:
+            once, twice = np.frombuffer(b"".join(ones), _S), np.frombuffer(b"".join(more), _S)
+            h, n = np.unique(np.concatenate([once, np.unique(twice)]), return_counts=True)
+            return _pack([part], [marks.of(np.concatenate([h[n > 1], twice]))])
+
+        part, ones, more = -1, [], []
         for batch in batches:
             for p, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ones.setdefault(p, []).append(np.frombuffer(x, _S))
-                more.setdefault(p, []).append(np.frombuffer(y, _S))
-        for p in ones:
-            once, twice = np.concatenate(ones[p]), np.concatenate(more[p])
-            h, n = np.unique(np.concatenate([once, np.unique(twice)]), return_counts=True)
-            h = np.concatenate([h[n > 1], twice])
-            marks = np.zeros(width, np.uint8)
-            marks[((h >> _S(shift)) & _S(width - 1)).astype(np.int64)] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(np.packbits(marks).tobytes(), 1)], pa.binary())], names=["part", "bits"])
+                if p != part and ones:
+                    yield done(part, ones, more)
+                    ones, more = [], []
+                part = p
+                ones.append(x)
+                more.append(y)
+        if ones:
+            yield done(part, ones, more)
 
-    out = np.zeros((1 << PARTS, width // 8), np.uint8)
-    parts = docs.mapInArrow(emit, "part int, ones binary, more binary").repartition("part").mapInArrow(gather, "part int, bits binary")
-    for r in parts.toLocalIterator():
-        out[r["part"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return out.reshape(-1)
+    sent = docs.mapInArrow(emit, "part int, ones binary, more binary").repartition("part").sortWithinPartitions("part")
+    return marks.brought(sent.mapInArrow(gather, "part int, bits binary"))
 
 
-def mark_hashes(hashes: DataFrame) -> np.ndarray:
-    """A packed bit table of the same shape with the bit of every value (BIGINT) set."""
-    shift, width = 64 - MARKS, 1 << (MARKS - PARTS)
+def mark_hashes(hashes: DataFrame, marks: Marks) -> np.ndarray:
+    """The bits of all values (one BIGINT column)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_S) for batch in batches]
-        if not any(map(len, held)):
-            return
-        h = np.unique(np.concatenate(held))
-        part = (h >> _S(64 - PARTS)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(part, prepend=-1))
-        for a, b in zip(cut, np.append(cut[1:], len(h)), strict=True):
-            marks = np.zeros(width, np.uint8)
-            marks[((h[a:b] >> _S(shift)) & _S(width - 1)).astype(np.int64)] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([zlib.compress(np.packbits(marks).tobytes(), 1)], pa.binary())], names=["part", "bits"])
+        if any(map(len, held)):
+            h = np.unique(np.concatenate(held))
+            for p, a, b in marks.split(h):
+                yield _pack([p], [marks.of(h[a:b])])
 
-    out = np.zeros((1 << PARTS, width // 8), np.uint8)
-    for r in hashes.mapInArrow(emit, "part int, bits binary").toLocalIterator():
-        out[r["part"]] |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return out.reshape(-1)
+    return marks.brought(hashes.mapInArrow(emit, "part int, bits binary"))
 
 
 def _marked(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h >> _S(64 - MARKS)).astype(np.int64)
+    at = (h >> _S(64 - (8 * len(table)).bit_length() + 1)).astype(np.int64)
     return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
-def _digest(data: bytes) -> tuple[int, int]:
-    d = hashlib.blake2b(data, digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
 def _sha(raw: bytes) -> bytes:
     return hashlib.sha256(raw).digest()
 
 
-def scan_places(docs: DataFrame, table: np.ndarray, length: int, k: int) -> DataFrame:
-    """Rows of texts (n_bytes and sha set) and of their marked segments (place set): digest, anchor, place, windows."""
-    bits = docs.sparkSession.sparkContext.broadcast(table)
-    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "sha": pa.binary(), "d1": pa.int64(), "d2": pa.int64(), "anchor": pa.int64(), "place": pa.int32(), "windows": pa.int32()}
+def _heads(shas: list[bytes]) -> np.ndarray:
+    """The first 8 bytes of digests as numbers."""
+    return np.frombuffer(b"".join(x[:8] for x in shas), _S)
+
+
+def scan_places(docs: DataFrame, bits: Broadcast, length: int, k: int) -> DataFrame:
+    """Rows of texts (n_bytes and sha set) and of their marked segments (place set): anchor, digest, place, windows, and the head of the text's sha."""
+    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "sha": pa.binary(), "anchor": pa.int64(), "d": pa.int64(), "head": pa.int64(), "place": pa.int32(), "windows": pa.int32()}
 
     def rows(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=[*kinds])
@@ -205,48 +244,69 @@ def scan_places(docs: DataFrame, table: np.ndarray, length: int, k: int) -> Data
                 text, first, count, h = text[hit], first[hit], count[hit], h[hit]
                 digests = [_digest(joined[a : a + n + length - 1]) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
                 row, doc = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
-                yield rows(len(raw), row=row, doc_id=doc, n_bytes=[len(r) for r in raw], sha=[_sha(r) for r in raw])
+                shas = [_sha(r) for r in raw]
+                yield rows(len(raw), row=row, doc_id=doc, n_bytes=[len(r) for r in raw], sha=shas)
                 if digests:
-                    d1, d2 = zip(*digests, strict=True)
-                    yield rows(len(text), row=row.take(pa.array(text)), d1=d1, d2=d2, anchor=h.view(np.int64), place=(first - starts[text]).astype(np.int32), windows=count.astype(np.int32))
+                    yield rows(len(text), row=row.take(pa.array(text)), anchor=h.view(np.int64), d=digests, head=_heads(shas).view(np.int64)[text], place=(first - starts[text]).astype(np.int32), windows=count.astype(np.int32))
+
+    return docs.mapInArrow(emit, "row bigint, doc_id bigint, n_bytes bigint, sha binary, anchor bigint, d bigint, head bigint, place int, windows int")
+
 
-    return docs.mapInArrow(emit, "row bigint, doc_id bigint, n_bytes bigint, sha binary, d1 bigint, d2 bigint, anchor bigint, place int, windows int")
+def _pieces(data: bytes, back: int, length: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(range of offsets, digest of the core, own digest, first window, place of the anchor, bytes) of a segment's pieces."""
+    low = back - (len(data) - length)  # offsets of the windows: from `back` down to this
+    for part in range(low // WIDTH, back // WIDTH + 1):
+        a, b = back - min(back, part * WIDTH + WIDTH - 1), back - max(low, part * WIDTH)
+        piece, at = data[a : b + length], back - a
+        core = piece[at - part * WIDTH : at - part * WIDTH - WIDTH + 1 + length]
+        yield part, _digest(core), _digest(piece), a, at, piece
 
 
-def scan_segments(docs: DataFrame, table: np.ndarray, large: np.ndarray, length: int, k: int) -> DataFrame:
-    """(d1, d2, anchor, back, data, large): the segments of marked anchors, each once a task; whether the anchor is marked as large."""
-    bits, most = docs.sparkSession.sparkContext.broadcast(table), docs.sparkSession.sparkContext.broadcast(large)
+def scan_segments(docs: DataFrame, several: Broadcast, chosen: Broadcast, large: Broadcast, length: int, k: int) -> DataFrame:
+    """(anchor, part, core, pd, d, at, back, data): segments of anchors with several, each from the texts chosen for it.
+
+    Whole segments have part -1, their digest as ``pd`` and 0 as ``at``; those of large anchors are in pieces.
+    """
+    names = ["anchor", "part", "core", "pd", "d", "at", "back", "data"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[tuple[int, int]] = set()
         for batch in batches:
             for _, _, raw in _raw_blocks(batch, 2):
-                joined, _, _, first, count, h, at = segments(raw, length, k)
+                joined, _, text, first, count, h, at = segments(raw, length, k)
+                heads = _heads([_sha(r) for r in raw])
                 out = []
-                many = _marked(most.value, h)
-                for x in np.flatnonzero(_marked(bits.value, h)).tolist():
-                    data = joined[first[x] : first[x] + count[x] + length - 1]
-                    d = _digest(data)
-                    if d not in sent:
-                        if len(sent) > 1 << 16:
-                            sent.clear()
-                        sent.add(d)
-                        out.append((*d, int(h[x].view(np.int64)), int(at[x] - first[x]), data, bool(many[x])))
+                many = _marked(large.value, h)
+                hit = np.flatnonzero(_marked(several.value, h))
+                datas = [joined[a : a + n + length - 1] for a, n in zip(first[hit].tolist(), count[hit].tolist(), strict=True)]
+                digests = [_digest(x) for x in datas]
+                mine = _marked(chosen.value, heads[text[hit]] ^ np.array(digests, np.int64).view(_S))
+                for x, data, d, ok in zip(hit.tolist(), datas, digests, mine.tolist(), strict=True):
+                    anchor, back = int(h[x].view(np.int64)), int(at[x] - first[x])
+                    if not ok or (anchor, d) in sent:
+                        continue
+                    if len(sent) > 1 << 16:
+                        sent.clear()
+                    sent.add((anchor, d))
+                    if many[x]:
+                        out += [(anchor, part, core, pd, d, a, b, piece) for part, core, pd, a, b, piece in _pieces(data, back, length)]
+                    else:
+                        out.append((anchor, -1, 0, d, d, 0, back, data))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], names=["d1", "d2", "anchor", "back", "data", "large"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return docs.mapInArrow(emit, "d1 bigint, d2 bigint, anchor bigint, back int, data binary, large boolean")
+    return docs.mapInArrow(emit, "anchor bigint, part int, core bigint, pd bigint, d bigint, at int, back int, data binary")
 
 
-def scan_texts(docs: DataFrame, table: np.ndarray) -> DataFrame:
+def scan_texts(docs: DataFrame, bits: Broadcast) -> DataFrame:
     """(sha, text): the compressed bytes of texts whose SHA-256 is marked."""
-    bits = docs.sparkSession.sparkContext.broadcast(table)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, raw in _raw_blocks(batch, 2):
                 shas = [_sha(r) for r in raw]
-                hit = np.flatnonzero(_marked(bits.value, np.frombuffer(b"".join(x[:8] for x in shas), _S))).tolist()
+                hit = np.flatnonzero(_marked(bits.value, _heads(shas))).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array([shas[x] for x in hit], pa.binary()), pa.array([zlib.compress(raw[x], 3) for x in hit], pa.binary())], names=["sha", "text"])
 
     return docs.mapInArrow(emit, "sha binary, text binary")
@@ -330,22 +390,17 @@ def mergesort(suffixes: Suffixes, start: np.ndarray, bucket: np.ndarray) -> np.n
     return order
 
 
-def repeated_windows(data: list[bytes], anchor: np.ndarray, back: np.ndarray, spread: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
-    """For each segment the runs (first, last) of its windows that another segment of its anchor holds, too.
-
-    ``spread`` is -1, or which of SPREAD classes of offsets is looked at.
-    """
+def repeated_windows(data: list[bytes], group: np.ndarray, back: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
+    """For each segment (or piece) the runs (first, last) of its windows that another one of its group holds, too."""
     size = np.array([len(d) for d in data], np.int64)
     count = size - length + 1
     base = np.cumsum(size) - size
     segment = np.repeat(np.arange(len(data)), count)
     window = np.arange(len(segment)) - np.repeat(np.cumsum(count) - count, count)
     offset = back[segment] - window
-    mine = (spread[segment] < 0) | (offset % SPREAD == spread[segment])
-    segment, window, offset = segment[mine], window[mine], offset[mine]
-    order = np.lexsort((segment, offset, anchor[segment]))
+    order = np.lexsort((segment, offset, group[segment]))
     segment, window, offset = segment[order], window[order], offset[order]
-    change = np.concatenate([[True], (anchor[segment][1:] != anchor[segment][:-1]) | (offset[1:] != offset[:-1])])
+    change = np.concatenate([[True], (group[segment][1:] != group[segment][:-1]) | (offset[1:] != offset[:-1])])
     bucket = np.cumsum(change) - 1
     alone = np.bincount(bucket)[bucket] < 2
     segment, window, bucket = segment[~alone], window[~alone], bucket[~alone]
@@ -372,9 +427,10 @@ def repeated_windows(data: list[bytes], anchor: np.ndarray, back: np.ndarray, sp
 
 
 def sorted_segments(data: DataFrame, length: int) -> DataFrame:
-    """(d1, d2, first, last): repeated windows of segments (d1, d2, anchor, back, data, large)."""
-    spread = F.when(F.col("large"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(-1)))
-    together = data.select("d1", "d2", "anchor", "back", "data", F.explode(spread).alias("spread")).repartition("anchor", "spread").sortWithinPartitions("anchor", "spread", "d1", "d2")
+    """(anchor, part, core, pd, first, last): repeated windows of segments and pieces (anchor, part, core, pd, back, data)."""
+    key = ["anchor", "part", "core"]
+    together = data.select(*key, "pd", "back", "data").repartition(*key).sortWithinPartitions(*key, "pd")
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -382,26 +438,41 @@ def sorted_segments(data: DataFrame, length: int) -> DataFrame:
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                d1, d2, anchor, back, data, spread = zip(*held, strict=True)
-                runs = repeated_windows([*data], np.array(anchor, np.int64), np.array(back, np.int64), np.array(spread, np.int64), length)
-                flat = [(a, b, f, t) for a, b, r in zip(d1, d2, runs, strict=True) for f, t in r]
+                group = np.cumsum([0] + [x[:3] != y[:3] for x, y in zip(held, held[1:], strict=False)])
+                runs = repeated_windows([x[5] for x in held], group, np.array([x[4] for x in held], np.int64), length)
+                flat = [(*x[:4], f, t) for x, r in zip(held, runs, strict=True) for f, t in r]
                 held.clear()
                 if flat:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["d1", "d2", "first", "last"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)], names=[*key, "pd", "first", "last"])
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last and r[:3] == last[:3] and r[5] == last[5]:
-                    continue  # sent by another task, too
-                if last and (r[2], r[5]) != (last[2], last[5]) and windows >= _SORT:
+                if last and r[:4] == last:
+                    continue  # of another text, too
+                if last and r[:3] != last[:3] and windows >= _SORT:
                     yield from done()
                     windows = 0
-                last = (*r[:4], None, r[5])
+                last = r[:4]
                 held.append(r)
-                windows += len(r[4]) - length + 1
+                windows += len(r[5]) - length + 1
         yield from done()
 
-    return together.mapInArrow(run, "d1 bigint, d2 bigint, first int, last int")
+    return together.mapInArrow(run, "anchor bigint, part int, core bigint, pd bigint, first int, last int")
+
+
+def repeated_runs(sent: DataFrame, length: int) -> DataFrame:
+    """(anchor, d, first, last): repeated windows of the segments in ``sent``, a written result of ``scan_segments``."""
+    key = ["anchor", "part", "core", "pd"]
+    pieces = sent.where("part >= 0")
+    each = pieces.groupBy(*key).agg(F.min("d").alias("_a"), F.max("d").alias("_b"), F.first("back").alias("back"), F.first("data").alias("data"))
+    each = work.written(each.withColumn("windows", F.length("data") - (length - 1)), "pieces")
+    cores = each.groupBy("anchor", "part", "core").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    found = sorted_segments(sent.where("part < 0").select(*key, "back", "data").unionByName(each.join(cores, ["anchor", "part", "core"]).select(*key, "back", "data")), length)
+    found = work.written(found, "runs")
+    twice = each.where("_a < _b").select(*key, F.lit(0).alias("first"), (F.col("windows") - 1).alias("last"))
+    of_pieces = pieces.select(*key, "d", "at").join(twice.unionByName(found.where("part >= 0")), key)
+    whole = found.where("part < 0").select("anchor", F.col("pd").alias("d"), "first", "last")
+    return whole.unionByName(of_pieces.select("anchor", "d", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last")))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,17 +481,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     ``docs`` should be a table or file scan: its texts are scanned four times and never shuffled,
     but for the compressed texts of rows that are cut in part.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scan = work.written(scan_places(slim, mark_repeated(slim.select("text"), length, k), length, k), "repeat-scan")
-    places = scan.where("place IS NOT NULL").select("row", "d1", "d2", "anchor", "place", "windows")
-    digests = work.written(places.groupBy("anchor", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("windows").alias("w")), "digests")
+    marks = shape(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0, length, k)
+    bits = spark.sparkContext.broadcast(mark_repeated(slim.select("text"), marks, length, k))
+    scan = work.written(scan_places(slim, bits, length, k), "repeat-scan")
+    bits.destroy()
+    places = scan.where("place IS NOT NULL").select("row", "anchor", "d", "head", "place", "windows")
+    digests = work.written(places.groupBy("anchor", "d").agg(F.count(F.lit(1)).alias("n"), F.min("windows").alias("w"), F.min("head").alias("head")), "digests")
     several = work.written(digests.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
-    large = mark_hashes(several.where(F.col("n") > MANY).select("anchor"))
-    found = sorted_segments(scan_segments(slim, mark_hashes(several.select("anchor")), large, length, k), length)
-    twice = digests.where("n > 1").select("d1", "d2", F.lit(0).alias("first"), (F.col("w") - 1).cast("int").alias("last"))
-    repeats = work.written(twice.unionByName(found), "repeats")
-    met = places.join(repeats, ["d1", "d2"]).select("row", (F.col("place") + F.col("first")).alias("a"), (F.col("place") + F.col("last") + length).alias("b"))
+    wanted = digests.join(several.select("anchor"), "anchor").select(F.col("head").bitwiseXOR(F.col("d")).alias("h"))
+    tables = [spark.sparkContext.broadcast(mark_hashes(x, marks)) for x in (several.select("anchor"), wanted, several.where(F.col("n") > MANY).select("anchor"))]
+    sent = work.written(scan_segments(slim, *tables, length, k), "segments")
+    for table in tables:
+        table.destroy()
+    twice = digests.where("n > 1").select("anchor", "d", F.lit(0).alias("first"), (F.col("w") - 1).cast("int").alias("last"))
+    repeats = work.written(twice.unionByName(repeated_runs(sent, length)), "repeats")
+    met = places.join(repeats, ["anchor", "d"]).select("row", (F.col("place") + F.col("first")).alias("a"), (F.col("place") + F.col("last") + length).alias("b"))
     by_row = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("r"))
 
     def add(acc, x):
@@ -446,7 +524,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "little", signed=True) for x in batch.column(0).to_pylist()], pa.int64())], names=["h"])
 
-    chosen = mark_hashes(judged.where(part).select("sha").mapInArrow(first_bytes, "h bigint"))
+    chosen = spark.sparkContext.broadcast(mark_hashes(judged.where(part).select("sha").mapInArrow(first_bytes, "h bigint"), marks))
     cut_rows = judged.where(part).join(scan_texts(slim, chosen), "sha").select("doc_id", "n_bytes", "n_removed", "n_spans", "text", F.transform("spans", lambda r: r["a"]).alias("a"), F.transform("spans", lambda r: r["b"]).alias("b"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

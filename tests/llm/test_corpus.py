@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import exact_dedup, feistel, mixing, ngram_join, pii, quality, sentencepiece_codec, sharding, suffix_dedup, topk, warc, work
-from docloom.llm.components import connected
+from docloom.llm.components import connected, smallest_reachable
 
 
 def frame(spark, rows, schema):
@@ -91,9 +91,9 @@ def test_linked_sets_share_a_signature(limits):
             both = len(np.intersect1d(a, sets[j]))
             if a.tolist() != sets[j].tolist() and both and 5 * both >= 4 * (len(a) + len(sets[j]) - both):
                 links += 1
-                (c, sig, p), (d, other, q) = made[i], made[j]
+                (c, sig, p, own), (d, other, q, theirs) = made[i], made[j]
                 # there is one from which on enough tokens are left in both
-                assert any(9 * min(c - p[x], d - q[y]) >= 4 * (len(a) + len(sets[j])) for x, y in zip(*(np.intersect1d(sig, other, return_indices=True)[1:]), strict=True))
+                assert any(9 * min(c - p[x], d - q[y]) >= 4 * (len(a) + len(sets[j])) and (own[x] or theirs[y]) for x, y in zip(*(np.intersect1d(sig, other, return_indices=True)[1:]), strict=True))
     assert links > 100
 
 
@@ -117,10 +117,24 @@ def test_keep_one_where_ids_repeat(spark):
     assert (2, "something else entirely") in [tuple(r) for r in kept] and len(kept) == 5
 
 
-def test_components(spark):
-    e = frame(spark, [(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
-    got = {r["id"]: r["comp"] for r in connected(e).collect()}
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(spark, small):
+    e = frame(spark, [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
+    got = {r["id"]: r["comp"] for r in connected(e, small=small).collect()}
     assert set(got[i] for i in range(41)) == {0} and got[101] == 100
+    assert connected(e.limit(0), small=small).count() == 0
+
+
+def test_components_of_random_links():
+    rng = np.random.default_rng(4)
+    for n, m in ((50, 30), (300, 280), (1000, 3000)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        at = {int(i): int(i) for i in np.concatenate([a, b])}
+        for _ in range(n):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                at[x] = at[y] = min(at[x], at[y])
+        ids, comp = smallest_reachable(a, b)
+        assert dict(zip(ids.tolist(), comp.tolist(), strict=True)) == at
 
 
 # -- 2
@@ -147,17 +161,30 @@ def result(df):
     return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect())
 
 
-def test_suffix_dedup(spark, monkeypatch):
+@pytest.mark.parametrize("many", [0, 5, 1000])
+def test_suffix_dedup(spark, monkeypatch, many):
     rng = random.Random(5)
     text = lambda n: "".join(rng.choices("abcdé \n", k=n))
     passages = [text(n) for n in (180, 200, 260, 700)]
     rows = [(i, text(rng.randrange(300)) + rng.choice(passages) + text(rng.randrange(300)) + (rng.choice(passages) if i % 3 == 0 else "")) for i in range(40)]
     rows += [(50, rows[0][1]), (51, "x" * 900), (52, "ab" * 300), (53, ""), (54, "short")]
-    monkeypatch.setattr(suffix_dedup, "MANY", 5)  # some anchors are spread over tasks
+    monkeypatch.setattr(suffix_dedup, "MANY", many)  # the segments of larger anchors are cut into pieces
     got = suffix_dedup.remove_repeats(frame(spark, rows, "doc_id bigint, text string").repartition(3))
     assert result(got) == cut(rows)
 
 
+def test_pieces_cover_the_windows():
+    rng = np.random.default_rng(3)
+    for back, windows in ((152, 153), (40, 1), (31, 32), (100, 77)):
+        data = rng.integers(0, 256, windows + 199).astype(np.uint8).tobytes()
+        pieces = [*suffix_dedup._pieces(data, back, 200)]
+        assert sorted(w for _, _, _, a, _, x in pieces for w in range(a, a + len(x) - 199)) == [*range(windows)]
+        for part, core, _, a, at, x in pieces:
+            assert x == data[a : a + len(x)] and at == back - a and len(x) - 199 <= suffix_dedup.WIDTH
+            # the same windows without their neighbours have the same core
+            assert {suffix_dedup._pieces(data[w : w + 200], back - w, 200).__next__()[:2] for w in range(a, a + len(x) - 199)} == {(part, core)}
+
+
 def test_suffix_dedup_messy(messy, none):
     rows = [(r["doc_id"], r["text"]) for r in messy.collect()]
     assert result(suffix_dedup.remove_repeats(messy)) == cut(rows)
