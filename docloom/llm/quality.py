@@ -37,6 +37,7 @@ def statistics(text: Column) -> dict[str, Column]:
     words = F.regexp_count(t, F.lit(WORD)).cast("double")
     per = lambda x, y: F.when(y > 0, x / y).otherwise(F.lit(0.0))
     count = lambda p: F.regexp_count(t, F.lit(p)).cast("double")
+    single = lambda c: (F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double")
     distinct = F.size(F.array_distinct(F.split(F.lower(t), " "))).cast("double")
     lines = F.split(t, "\n")
     return {
@@ -48,10 +49,10 @@ def statistics(text: Column) -> dict[str, Column]:
         "digits": per(count(r"[0-9]"), n),
         "symbols": per(count(r"[#$%&*@^~=_<>{}\[\]\\|]"), n),
         "symbol_runs": per(count(r"[#$%&*!?|]{2,}"), words),
-        "bangs": per(count(r"!"), words),
-        "bars": per(count(r"\|"), words),
+        "bangs": per(single("!"), words),
+        "bars": per(single("|"), words),
         "stops": per(count(r"[.?!](?=\s|$)"), words),
-        "commas": per(count(r","), words),
+        "commas": per(single(","), words),
         "distinct_words": per(distinct, words),
         "lines": per(F.size(lines).cast("double"), words),
         "distinct_lines": per(F.size(F.array_distinct(lines)).cast("double"), F.size(lines).cast("double")),
@@ -129,24 +130,24 @@ def _tree(bins: np.ndarray, cuts: list[np.ndarray], grad: np.ndarray, hess: np.n
     _tree(bins, cuts, grad, hess, rows[~low], (*terms, (j, True, at)), rules, out)
 
 
-def _lasso(m: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L1 penalty by accelerated proximal gradient."""
-    n, p = m.shape
-    v = np.random.default_rng(0).normal(size=p)
+def _lasso(m: np.ndarray, y: np.ndarray, rows: np.ndarray, penalty: float, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression on the ``rows`` (0 or 1 each) of ``m`` with an L1 penalty by accelerated proximal gradient."""
+    n, p = float(rows.sum()), m.shape[1]
+    v = np.random.default_rng(0).normal(size=p).astype(m.dtype)
     for _ in range(20):
-        v = m.T @ (m @ v)
+        v = m.T @ (rows * (m @ v))
         v /= np.linalg.norm(v) + 1e-12
-    step = 1 / (0.25 * float(np.linalg.norm(m @ v) ** 2) / n + 0.25 + 1e-9)
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    w, b = np.zeros(p), float(np.log(share / (1 - share)))
+    step = 1 / (0.25 * float(np.linalg.norm(rows * (m @ v)) ** 2) / n + 0.25 + 1e-9)
+    share = np.clip((rows * y).sum() / n, 1e-3, 1 - 1e-3)
+    w, b = np.zeros(p, m.dtype), float(np.log(share / (1 - share)))
     wy, by, t = w, b, 1.0
     for _ in range(steps):
-        r = 1 / (1 + np.exp(-(m @ wy + by))) - y
-        moved = wy - step * (m.T @ r) / n
-        new_w = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
-        new_b = by - step * float(r.mean())
+        r = rows * (1 / (1 + np.exp(-(m @ wy + np.float32(by)))) - y)
+        moved = wy - np.float32(step) * (m.T @ r) / np.float32(n)
+        new_w = (np.sign(moved) * np.maximum(np.abs(moved) - np.float32(step * penalty), 0)).astype(m.dtype)
+        new_b = by - step * float(r.sum()) / n
         new_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        wy, by = new_w + (t - 1) / new_t * (new_w - w), new_b + (t - 1) / new_t * (new_b - b)
+        wy, by = new_w + np.float32((t - 1) / new_t) * (new_w - w), new_b + (t - 1) / new_t * (new_b - b)
         w, b, t = new_w, new_b, new_t
     return w, b
 
@@ -176,27 +177,31 @@ def fit(x: np.ndarray, y: np.ndarray, names: tuple[str, ...]) -> Ensemble:
                     out[rest[hit[rest]]] = value
         z += RATE * np.clip(out, -4, 4)
         rules += part
-    held = np.stack([r.holds(x) for r in rules], 1) if rules else np.zeros((len(y), 0), bool)
-    _, first = np.unique(held, axis=1, return_index=True)
-    rules, held = [rules[i] for i in sorted(first)], held[:, sorted(first)].astype(float)
+    seen: set[bytes] = set()  # rules that hold for the same rows count once
+    masks = [(r, h) for r in rules if (bits := np.packbits(h := r.holds(x)).tobytes()) not in seen and not seen.add(bits)]
+    rules = [r for r, _ in masks]
     low, high = np.quantile(x, 0.02, axis=0), np.quantile(x, 0.98, axis=0)
     clipped = np.clip(x, low, high)
     scale = clipped.std(0)
     used = np.flatnonzero(scale > 1e-9)
     middle = clipped.mean(0)
-    m = np.concatenate([held, 0.4 * (clipped[:, used] - middle[used]) / scale[used]], 1)
+    m = np.empty((len(y), len(rules) + len(used)), np.float32)
+    for i, (_, h) in enumerate(masks):
+        m[:, i] = h
+    m[:, len(rules) :] = 0.4 * (clipped[:, used] - middle[used]) / scale[used]
+    y = y.astype(np.float32)
     check = rng.random(len(y)) < 0.25
     if check.all() or not check.any() or y[~check].min() == y[~check].max():
         penalty = PENALTIES[1]
     else:
 
         def loss(c: float) -> float:
-            w, b = _lasso(m[~check], y[~check], c)
-            p = np.clip(1 / (1 + np.exp(-(m[check] @ w + b))), 1e-6, 1 - 1e-6)
+            w, b = _lasso(m, y, (~check).astype(np.float32), c)
+            p = np.clip(1 / (1 + np.exp(-(m @ w + np.float32(b))[check].astype(float))), 1e-6, 1 - 1e-6)
             return -float(np.mean(y[check] * np.log(p) + (1 - y[check]) * np.log(1 - p)))
 
         penalty = min(PENALTIES, key=loss)
-    w, b = _lasso(m, y, penalty, 600)
+    w, b = _lasso(m, y, np.ones(len(y), np.float32), penalty, 600)
     kept = tuple((rules[i], float(w[i])) for i in np.flatnonzero(w[: len(rules)]))
     linear, bias = [], float(b)
     for at, j in enumerate(used):
@@ -218,26 +223,31 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, id_col:
     known = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     stats = statistics(F.col(text_col))
     rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("_id")).select(F.col("_id"), F.col("_label").cast("double").alias("_y"), *[c.alias(n) for n, c in stats.items()])
-    table = rows.toPandas().drop_duplicates("_id").sort_values("_id")
-    return fit(table[[*stats]].to_numpy(float), table["_y"].to_numpy(float), tuple(stats))
+    table = rows.toArrow()
+    _, first = np.unique(table["_id"].to_numpy(), return_index=True)
+    x = np.stack([table[n].to_numpy() for n in stats], 1).astype(float)[first] if len(first) else np.zeros((0, len(stats)))
+    return fit(x, table["_y"].to_numpy().astype(float)[first], tuple(stats))
+
+
+def score_of(text: Column, model: Ensemble) -> Column:
+    """The score of a text; its statistics are bound once, so that no optimizer rule repeats them."""
+    bound = F.array(F.struct(*[c.alias(n) for n, c in statistics(text).items()]))
+    return F.element_at(F.transform(bound, lambda s: model.column(lambda n: s[n])), 1)
 
 
 def score(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= threshold) added."""
-    stats = statistics(F.col(text_col))
-    with_stats = docs.withColumn("_stats", F.struct(*[c.alias(n) for n, c in stats.items()]))
-    scored = with_stats.withColumn("score", model.column(lambda n: F.col("_stats")[n]))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_stats")
+    scored = docs.withColumn("score", score_of(F.col(text_col), model))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``docs`` whose score reaches the threshold, with the columns they have."""
-    with_stats = docs.withColumn("_docloom_stats", F.struct(*[c.alias(n) for n, c in statistics(F.col(text_col)).items()]))
-    return with_stats.where(model.column(lambda n: F.col("_docloom_stats")[n]) >= threshold).drop("_docloom_stats")
+    return docs.where(score_of(F.col(text_col), model) >= threshold)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents: doc_id, held_out, score, predicted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return score(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
