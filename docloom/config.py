@@ -28,7 +28,9 @@ class Config:
     query_instruction: str = "Find passages that answer this question: "
     chunk_size: int = 1024
     chunk_overlap: int = 64
+    heading_levels: int = 3
     chunk_threshold_chars: int = 20000
+    clean_rules: str | None = None
     chunk_max_tokens: int = 16384
     chunk_timeout: int = 300
     format_timeout: int = 3600
@@ -46,6 +48,8 @@ class Config:
         for name in ("llm_max_tokens", "llm_timeout", "embedding_timeout", "embedding_dim", "embedding_batch", "chunk_size", "chunk_threshold_chars", "chunk_max_tokens", "chunk_timeout", "format_timeout", "log_max_bytes", "rrf_k"):
             if getattr(self, name) <= 0:
                 found.append(f"{name} must be positive")
+        if not 1 <= self.heading_levels <= 6:
+            found.append("heading_levels must be from 1 to 6")
         if self.chunk_overlap < 0:
             found.append("chunk_overlap must not be negative")
         if not 0 <= self.llm_temperature <= 2:

@@ -71,9 +71,11 @@ def token_estimate(text: Column) -> Column:
 
 
 def drop_control(text: Column) -> Column:
+    # fixed value: the control characters that go
     return F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
 
 
+# Fixed value: what a page break looks like.
 PAGE_BREAK = r"(?U)^(?:[-=_*]\s*){3,}[\w\s]*?(?:[-=_*]\s*){2,}$"
 
 
@@ -90,7 +92,8 @@ def strip(text: Column) -> Column:
 
 def drop_page_breaks(text: Column) -> Column:
     """Without lines of more than 8 characters that are a rule with at most a label in it."""
-    kept = F.filter(lines_of(text), lambda x: ~((F.length(strip(x)) > 8) & strip(x).rlike(PAGE_BREAK)))
+    # few lines begin like a rule: the others are not looked at any further
+    kept = F.filter(lines_of(text), lambda x: ~(x.rlike(r"(?U)^\s*[-=_*]") & (F.length(strip(x)) > 8) & strip(x).rlike(PAGE_BREAK)))
     return F.array_join(kept, "\n")
 
 

@@ -13,7 +13,10 @@ from docloom.errors import EmbeddingError
 from docloom.functions import text as tx
 from docloom.functions import vectors as vx
 from docloom.shipping import ship
+from docloom.staging import library
 
+#: Tokens (estimated) that are sent to a model at once, but for batches of few texts.
+BATCH_TOKENS = 16384
 #: Takes a list of texts, gives as many vectors.
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -87,8 +90,9 @@ def embed_column(df: DataFrame, text_col: str = "text", to: str = "embedding", c
     """``df`` with a vector column.
 
     Mode hash (or no factory and hash_fallback) is a column expression. Otherwise each distinct text
-    is embedded once, in batches, by one client per task; with hash_fallback a failing batch gets
-    hashes instead of an error.
+    is embedded once, in batches of a bounded number of tokens, by one client per task, and the
+    vectors are written out; with hash_fallback a failing batch gets hashes instead of an error.
+    Every vector has ``embedding_dim`` numbers, or an error says so.
     """
     config = (config or Config(embedding_mode="hash")).checked()
     dim = config.embedding_dim
@@ -103,8 +107,8 @@ def embed_column(df: DataFrame, text_col: str = "text", to: str = "embedding", c
         for batch in batches:
             texts = batch.column(0).to_pylist()
             out: list[list[float] | None] = []
-            for i in range(0, len(texts), batch_size):
-                part = texts[i : i + batch_size]
+            for i, j in batches_of(batch.column(1).to_pylist(), batch_size):
+                part = texts[i:j]
                 try:
                     embed = embed or make()
                     out += check_vectors(part, embed(part), dim)
@@ -114,8 +118,8 @@ def embed_column(df: DataFrame, text_col: str = "text", to: str = "embedding", c
                     out += [None] * len(part)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float32()))], names=["_text", "_vector"])
 
-    distinct = df.select(F.col(text_col).alias("_text")).where("_text IS NOT NULL").distinct()
-    vectors = distinct.mapInArrow(run, "_text string, _vector array<float>")
+    distinct = df.select(F.col(text_col).alias("_text")).where("_text IS NOT NULL").distinct().withColumn("_tokens", tx.token_estimate(F.col("_text")))
+    vectors = library.written(distinct.mapInArrow(run, "_text string, _vector array<float>"), "vectors")
     joined = df.join(vectors, df[text_col] == F.col("_text"), "left")
     value = F.coalesce("_vector", vx.hash_embedding(F.col(text_col), dim).cast("array<float>")) if fallback else F.col("_vector")
     return joined.withColumn(to, value).drop("_text", "_vector")
@@ -128,11 +132,13 @@ def embed_questions(questions: DataFrame, config: Config | None = None, factory:
     return embed_column(asked, "_asked", "vector", config, factory).drop("_asked")
 
 
-def batch_rows(text_lengths: list[int], tokens: int = 16384, least: int = 4, most: int = 512) -> int:
-    """How many texts of such token estimates fit a batch."""
-    longest = max(text_lengths, default=1) or 1
-    return max(least, min(most, tokens // longest))
-
-
-def token_estimates(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return df.withColumn("tokens", tx.token_estimate(F.col(text_col)))
+def batches_of(tokens: list[int], rows: int, most: int = BATCH_TOKENS, least: int = 4) -> Iterator[tuple[int, int]]:
+    """Slices of texts for one call each: at most ``rows``, and no more than ``least`` if their tokens exceed ``most``."""
+    begin = held = 0
+    for i, t in enumerate(tokens):
+        if i > begin and (i - begin >= rows or i - begin >= least and held + t > most):
+            yield begin, i
+            begin, held = i, 0
+        held += t
+    if begin < len(tokens):
+        yield begin, len(tokens)

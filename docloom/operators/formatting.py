@@ -20,6 +20,7 @@ from docloom.operators.chunking import split_paragraphs
 from docloom.operators.kernels import kernel
 from docloom.schemas import ENTITY_TYPES, FORMAT_RESULT
 from docloom.shipping import ship
+from docloom.staging import file_system, library
 
 #: Takes a system and a user prompt, gives the reply.
 Model = Callable[[str, str], str]
@@ -201,25 +202,52 @@ def ask(model: Model, system: str, prompt: str, turns: int = 3) -> dict[str, Any
     raise FormatError(f"no valid JSON in {turns} replies")
 
 
+#: The shape of replies that is asked of endpoints that take one.
+REPLY_SCHEMA = {
+    "type": "object",
+    "properties": {
+        "title": {"type": "string", "maxLength": 200},
+        "tags": {"type": "array", "items": {"type": "string"}, "minItems": 1, "maxItems": 5},
+        "metadata": {"type": "object"},
+        "body": {"type": "string"},
+    },
+    "required": ["title", "tags", "body"],
+}
+_REJECTED = re.compile("schema|grammar|response_format", re.I)
+
+
 def http_model(config: Config) -> Callable[[], Model]:
-    """A factory of clients for a chat endpoint; one retry on 429, 500 and 503."""
+    """A factory of clients for a chat endpoint; one retry on 429, 500 and 503.
+
+    Whole documents are asked for with a schema of the reply. An endpoint that rejects the schema is
+    asked again without it, and by this client without it from then on.
+    """
 
     def make() -> Model:
         import time
         import urllib.error
         import urllib.request
 
+        takes_schema = True
+
         def call(system: str, prompt: str) -> str:
+            nonlocal takes_schema
             payload = {"model": config.llm_model, "temperature": config.llm_temperature, "max_tokens": config.llm_max_tokens, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}]}
-            request = urllib.request.Request(config.llm_endpoint, json.dumps(payload).encode(), {"Content-Type": "application/json"})
             for turn in range(2):
+                shaped = {"response_format": {"type": "json_object", "schema": REPLY_SCHEMA}} if takes_schema and system == SYSTEM_PROMPT else {}
+                request = urllib.request.Request(config.llm_endpoint, json.dumps(payload | shaped).encode(), {"Content-Type": "application/json"})
                 try:
                     with urllib.request.urlopen(request, timeout=config.llm_timeout) as reply:
                         return json.load(reply)["choices"][0]["message"]["content"]
                 except urllib.error.HTTPError as e:
-                    if turn or e.code not in (429, 500, 503):
+                    if shaped and _REJECTED.search(e.read().decode("utf-8", "replace")):
+                        takes_schema = False
+                    elif e.code not in (429, 500, 503):
+                        raise
+                    else:
+                        time.sleep(1)
+                    if turn:
                         raise
-                    time.sleep(1)
             raise AssertionError
 
         return call
@@ -254,16 +282,20 @@ def format_one(text: str, source_type: str, model: Model, threshold: int, now: s
     return result | {"tags": tags, "metadata": meta | {"source_type": source_type, "total_words": words, "created_at": now}}
 
 
-def format_documents(docs: DataFrame, factory: Callable[[], Model], config: Config | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def format_documents(docs: DataFrame, factory: Callable[[], Model], config: Config | None = None, id_col: str = "doc_id", text_col: str = "text", cache: str | None = None) -> DataFrame:
     """doc_id, result (a format result), status, error for every document; a failing one doesn't stop the others.
 
+    Each distinct pair of source type and text is formatted once: the replies are written out and
+    read by whatever uses the result. In the Parquet folder ``cache`` replies are kept and found by
+    later calls, in any session; failures are not kept.
     ``tags`` of documents formatted in parts are null: join the ones that extract_tags finds.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     base = (config or Config()).checked().chunk_threshold_chars
-    kind = docs.schema[id_col].dataType.simpleString()
     path = F.col("source_file") if "source_file" in docs.columns else F.lit("")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), tx.source_type(path).alias("source_type"), tx.effective_threshold(F.col(text_col), base).alias("threshold"), tx.whitespace_words(F.col(text_col)).alias("words"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("now"))
+    rows = rows.withColumn("key", cache_key(F.col("source_type"), F.lit(SYSTEM_PROMPT), F.coalesce("text", F.lit(""))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
@@ -278,9 +310,21 @@ def format_documents(docs: DataFrame, factory: Callable[[], Model], config: Conf
                 except Exception as e:
                     out.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(errors, pa.string())], names=["doc_id", "raw", "error"])
-
-    done = rows.mapInArrow(run, f"doc_id {kind}, raw string, error string")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(errors, pa.string())], names=["key", "raw", "error"])
+
+    reply = "key string, raw string, error string"
+    kept: DataFrame | None = None
+    if cache is not None:
+        fs, at = file_system(spark, cache)
+        kept = spark.read.schema(reply).parquet(cache).dropDuplicates(["key"]) if fs.exists(at(cache)) else None
+    new = rows.select("key", "text", "source_type", "threshold", "words", "now").dropDuplicates(["key"])
+    if kept is not None:
+        new = new.join(kept.select("key"), "key", "left_anti")
+    replies = library.written(new.mapInArrow(run, reply), "replies")
+    known = replies if kept is None else replies.unionByName(kept)
+    if cache is not None:
+        replies.where("raw IS NOT NULL").write.mode("append").parquet(cache)
+    done = rows.select("doc_id", "key").join(known, "key")
     return done.select("doc_id", F.from_json("raw", FORMAT_RESULT).alias("result"), F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error")
 
 

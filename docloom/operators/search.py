@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.functions import vectors as vx
 from docloom.shipping import ship
+from docloom.staging import library
 
 #: Questions whose vectors are sent to every task at once; more are answered in blocks of this size.
 QUERY_BLOCK = 2048
@@ -114,28 +115,37 @@ def _nearest(names: pa.Array, vectors: np.ndarray, lengths: np.ndarray, k: int):
 # -- full text
 
 
-def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", compat: bool = False) -> DataFrame:
-    """term, id, tf, doc_len: the inverted index, one row per term and text."""
-    tokens = docs.select(F.col(id_col).alias("id"), tx.index_tokens(F.col(text_col), compat).alias("t"))
-    rows = tokens.select("id", F.size("t").alias("doc_len"), F.explode("t").alias("term"))
+def text_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", compat: bool = False) -> DataFrame:
+    """id, doc_len, terms: the tokens of every text, as a written table; what is searched is tokenised here and once."""
+    bound = F.transform(F.array(tx.index_tokens(F.col(text_col), compat)), lambda t: F.struct(F.size(t).alias("doc_len"), t.alias("terms")))
+    return library.written(docs.select(F.col(id_col).alias("id"), F.element_at(bound, 1).alias("t")).select("id", "t.doc_len", "t.terms"), "text-index")
+
+
+def postings(index: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """term, id, tf, doc_len of a ``text_index``: the inverted index, one row per term and text, of the terms ``asked`` for or of all."""
+    rows = index.select("id", "doc_len", F.explode("terms").alias("term"))
+    if asked is not None:
+        rows = rows.join(asked.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
-def corpus_stats(docs: DataFrame, text_col: str = "text", compat: bool = False) -> DataFrame:
-    """One row: n (texts) and avgdl (mean number of tokens)."""
-    return docs.select(F.size(tx.index_tokens(F.col(text_col), compat)).alias("n")).agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("avgdl"))
+def corpus_stats(index: DataFrame) -> DataFrame:
+    """One row: n (texts) and avgdl (mean number of tokens) of a ``text_index``."""
+    return index.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl"))
 
 
-def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int | None = 10, compat: bool = False) -> DataFrame:
-    """query_id, id, score, rank: BM25 with a floor of 1e-6 for the weight of very common terms.
+def bm25(index: DataFrame, queries: DataFrame, k: int | None = 10, compat: bool = False) -> DataFrame:
+    """query_id, id, score, rank over a ``text_index``: BM25 with a floor of 1e-6 for the weight of very common terms.
 
-    Terms are OR-ed; a term asked twice counts twice. The postings are reduced to the asked terms
-    before document frequencies are counted.
+    Terms are OR-ed; a term asked twice counts twice. Only tokens that are asked for leave their
+    text's row, and they are counted before document frequencies are.
     """
-    asked = queries.select("query_id", F.explode(tx.query_terms(F.col("question"), compat)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    met = index.join(asked.select("term").distinct(), "term", "left_semi")
+    terms = F.transform(F.array(tx.query_terms(F.col("question"), compat)), lambda t: t)
+    asked = queries.select("query_id", F.element_at(terms, 1).alias("terms")).select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = library.written(asked, "asked-terms")
+    met = library.written(postings(index, asked), "postings")
     df = met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weighted = df.crossJoin(F.broadcast(corpus_stats(index))).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighted = weighted.withColumn("idf", F.when(F.col("idf") <= 0, F.lit(1e-6)).otherwise(F.col("idf")))
     tf, length = F.col("tf"), F.col("doc_len") / F.col("avgdl")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
@@ -168,7 +178,7 @@ def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 10, rrf_k: int
     Questions without a vector are answered by text alone, blank ones by the vector alone.
     """
     q = queries.select("query_id", "question", "vector")
-    hits = bm25(postings(index, compat=compat), corpus_stats(index, compat=compat), q.where("question IS NOT NULL"), k, compat)
+    hits = bm25(text_index(index, compat=compat), q.where("question IS NOT NULL"), k, compat)
     near = vector_search_many(index, q.where("vector IS NOT NULL"), k)
     fused = fuse(near, hits, k, rrf_k, mode)
     blind = q.where("vector IS NULL").select("query_id")

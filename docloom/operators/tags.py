@@ -24,6 +24,7 @@ GENERIC = (
     "published based"
 ).split()
 
+# What names look like.
 NAMES = r"[A-Z][a-zA-Z0-9\-]+(?:\s+[A-Z][a-zA-Z0-9\-]+)*"
 PHRASES = r"(?<![a-z])[A-Z][a-zA-Z0-9\-]+(?:\s+[A-Z][a-zA-Z0-9\-]+){1,3}(?![a-z])"
 HAN_NAMES = r"(?<![\x{4E00}-\x{9FFF}])[\x{4E00}-\x{9FFF}]{2,16}(?![\x{4E00}-\x{9FFF}])"

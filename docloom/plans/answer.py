@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.config import Config
-from docloom.operators.embedding import Embedder, embed_questions
+from docloom.operators.embedding import Embedder, embed_column, embed_questions
 from docloom.operators.formatting import Model
 from docloom.operators.search import hybrid_search, mmr_rerank, vector_search_many
 from docloom.shipping import ship
+from docloom.staging import library
 
 NOTHING = "No matching documents found in the index."
 ANSWER_PROMPT = "Answer the question from the given context only. If the context is not enough, say so; make nothing up."
@@ -33,18 +34,30 @@ def extractive(system: str, prompt: str) -> str:
     return text.strip().split(". ")[0].strip()[:400]
 
 
+def with_vectors(candidates: DataFrame, config: Config, embedder: Callable[[], Embedder] | None) -> DataFrame:
+    """Candidates with an embedding of their text where they have none, or zeros only."""
+    blank = ~F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
+    lacking = candidates.where(blank).select(F.col("text").alias("_t")).distinct()
+    made = embed_column(lacking, "_t", "_made", config, embedder)
+    filled = candidates.join(made, F.col("text") == F.col("_t"), "left")
+    return filled.withColumn("embedding", F.when(blank, F.coalesce("_made", "embedding")).otherwise(F.col("embedding"))).drop("_t", "_made")
+
+
 def answer(questions: DataFrame, chunks: DataFrame, documents: DataFrame, k: int = 5, fetch_k: int | None = None, config: Config | None = None, model: Callable[[], Model] | None = None, embedder: Callable[[], Embedder] | None = None, mode: str = "vector_anchored") -> DataFrame:
     """query_id, question, answer, context, sources for questions (query_id, question).
 
     ``fetch_k`` candidates are searched and k of them kept by re-ranking (with fetch_k = k only
     their order changes). With fewer than k chunks the nearest document's summary is added.
-    Without a model the answer is extractive.
+    Without a model the answer is extractive. Questions are embedded and searched once, and so are
+    candidates without a vector before re-ranking.
     """
     config = config or Config(embedding_mode="hash")
     ship(questions.sparkSession)
-    asked = embed_questions(questions.select("query_id", "question"), config, embedder)
+    asked = library.written(embed_questions(questions.select("query_id", "question"), config, embedder), "asked")
     hits = hybrid_search(chunks, asked, fetch_k or k, config.rrf_k, mode)
-    full = hits.select("query_id", "id", "rank").join(chunks, "id").join(questions.select("query_id", "question"), "query_id")
+    hits = library.written(hits.select("query_id", "id", "rank"), "hits")
+    full = hits.join(chunks, "id").join(questions.select("query_id", "question"), "query_id")
+    full = with_vectors(full, config, embedder)
     ranked = mmr_rerank(full.select("query_id", "question", "id", "text", "embedding", "rank"), k, config.mmr_lambda)
     context = assemble_context(ranked.join(chunks.drop("embedding"), "id"))
     nearest = vector_search_many(documents, asked, 1, id_col="source_file").select("query_id", F.col("id").alias("source_file"))

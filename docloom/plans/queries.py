@@ -13,6 +13,7 @@ from docloom.operators import chunking, cleaning, formatting, markdown, search,
 from docloom.plans import answer, fixtures, ingest, store
 from docloom.plans.fixtures import frame, values
 from docloom.sources import files
+from docloom.staging import library
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -295,7 +296,7 @@ def asked(spark, sf):
 
 def bm25_hits(spark, sf, k=10):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), _text())
-    return search.bm25(search.postings(d), search.corpus_stats(d), asked(spark, sf), k)
+    return search.bm25(search.text_index(d), asked(spark, sf), k)
 
 
 @query(BM25 + "SELECT query_id, id, round(score, 6) AS score, rank FROM hits WHERE rank <= 10")
@@ -461,6 +462,67 @@ def conversation_chunks(spark, sf):
     return c.join(totals, "conv_id").select(F.col("conv_id").alias("source_doc_id"), F.col("turn").cast("int").alias("chunk_index"), F.concat("role", F.lit(": "), "text").alias("text"), "total_chunks")
 
 
+def conversation_index(spark, sf) -> store.Index:
+    """An index of the conversations' turns, each conversation a document."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("source_doc_id"), F.col("turn").cast("int").alias("chunk_index"), "text", F.array("role").alias("entity_names"))
+    index = store.Index(spark, library.new_path(spark, "index"), 4, buckets=16)
+    index.upsert_chunks(c)
+    return index
+
+
+_TURNS = "(SELECT CAST(conv_id AS VARCHAR) AS source_doc_id, CAST(turn AS INTEGER) AS chunk_index, role, text FROM conversations)"
+
+
+@query(f"SELECT source_doc_id, chunk_index, text FROM {_TURNS} WHERE source_doc_id = (SELECT min(source_doc_id) FROM {_TURNS})")
+def chunks_of_document(spark, sf):
+    index = conversation_index(spark, sf)
+    return index.chunks_of(index.chunks.agg(F.min("source_doc_id")).first()[0]).select("source_doc_id", "chunk_index", "text")
+
+
+@query(f"SELECT source_doc_id, chunk_index, text FROM {_TURNS} WHERE role = 'user'")
+def chunks_with_entity(spark, sf):
+    return conversation_index(spark, sf).with_entity("user").select("source_doc_id", "chunk_index", "text")
+
+
+@query(f"SELECT source_doc_id, chunk_index, text FROM {_TURNS} WHERE source_doc_id <> (SELECT min(source_doc_id) FROM {_TURNS})")
+def delete_chunks(spark, sf):
+    index = conversation_index(spark, sf)
+    index.delete_chunks(index.chunks.agg(F.min("source_doc_id")).first()[0])
+    return index.chunks.select("source_doc_id", "chunk_index", "text")
+
+
+@query(f"SELECT source_doc_id, chunk_index, CASE WHEN chunk_index = 0 THEN 'changed: ' || text ELSE text END AS text FROM {_TURNS} WHERE chunk_index = 0 OR role <> 'user' OR source_doc_id NOT IN (SELECT source_doc_id FROM {_TURNS} WHERE chunk_index = 0)")
+def upsert_chunk(spark, sf):
+    index = conversation_index(spark, sf)
+    turns = index.chunks
+    index.upsert_chunks(turns.where("chunk_index = 0 OR NOT array_contains(entity_names, 'user')").join(turns.where("chunk_index = 0").select("source_doc_id"), "source_doc_id", "left_semi"))
+    index.upsert_chunk(index.chunks.where("chunk_index = 0").withColumn("text", F.concat(F.lit("changed: "), "text")))
+    return index.chunks.select("source_doc_id", "chunk_index", "text")
+
+
+def document_index(spark, sf) -> store.Index:
+    d = table(spark, sf, "documents").select(F.col("source").alias("title"), F.array("lang").alias("tags"), _text().alias("text_summary"), F.col("doc_id").cast("string").alias("source_file"))
+    index = store.Index(spark, library.new_path(spark, "index"), 4, buckets=16)
+    index.upsert_documents(d)
+    index.upsert_documents(d.where("title = 'src1'").withColumn("title", F.lit("first")))
+    return index
+
+
+_ROWS = "SELECT CASE WHEN source = 'src1' THEN 'first' ELSE source END AS title, lang AS tags, substr(text, 1, 1000) AS text_summary, CAST(doc_id AS VARCHAR) AS source_file, CAST(0 AS INTEGER) AS total_chunks FROM documents"
+
+
+@query(_ROWS)
+def upsert_document(spark, sf):
+    return document_index(spark, sf).documents.select("title", F.array_join("tags", ",").alias("tags"), "text_summary", "source_file", "total_chunks")
+
+
+@query(_ROWS + " WHERE doc_id <> (SELECT min(doc_id) FROM documents)")
+def delete_document(spark, sf):
+    index = document_index(spark, sf)
+    index.delete_document(str(table(spark, sf, "documents").agg(F.min("doc_id")).first()[0]))
+    return index.documents.select("title", F.array_join("tags", ",").alias("tags"), "text_summary", "source_file", "total_chunks")
+
+
 @query("SELECT d.doc_id, d.lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)")
 def delete_documents(spark, sf):
     gone = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
@@ -476,10 +538,11 @@ def safe_filename(spark, sf):
     return names.select("name", tx.safe_filename(F.col("name")).alias("safe"))
 
 
-@query(f"SELECT path, CASE WHEN ext IN ('pdf', 'docx') THEN 'pdf' WHEN ext IN ('md', 'mkd') THEN 'markdown' ELSE 'web' END AS source_type, regexp_replace(path, '[/\\\\]', '_', 'g') AS doc_id FROM (SELECT path, lower(regexp_extract(path, '\\.([^./\\\\]+)$', 1)) AS ext FROM {values(fixtures.PATHS, 'path')})")
+@query(f"SELECT path, CASE WHEN ext IN ('pdf', 'docx') THEN 'pdf' WHEN ext IN ('md', 'mkd') THEN 'markdown' ELSE 'web' END AS source_type, regexp_replace(path, '[/\\\\]', '_', 'g') AS doc_id FROM (SELECT path, lower(regexp_extract(path, '\\.([^./\\\\]+)$', 1)) AS ext FROM (SELECT * FROM {values(fixtures.PATHS, 'path')} UNION ALL SELECT url FROM pages))")
 def source_type(spark, sf):
     p = F.col("path")
-    return frame(spark, fixtures.PATHS, "path string").select("path", tx.source_type(p).alias("source_type"), tx.doc_id_of(p).alias("doc_id"))
+    paths = frame(spark, fixtures.PATHS, "path string").unionByName(table(spark, sf, "pages").select(F.col("url").alias("path")))
+    return paths.select("path", tx.source_type(p).alias("source_type"), tx.doc_id_of(p).alias("doc_id"))
 
 
 _TYPES = "('PERSON', 'ORG', 'PRODUCT', 'LOCATION', 'CONCEPT')"

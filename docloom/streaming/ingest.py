@@ -9,6 +9,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from docloom.config import Config
 from docloom.plans.ingest import build_index
 from docloom.plans.store import Index
+from docloom.staging import library
 
 DOCUMENT_STREAM = "doc_id string, source_file string, text string"
 
@@ -29,6 +30,7 @@ def ingest_stream(docs: DataFrame, index: Index, checkpoint: str, config: Config
         latest = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("text")))
         rows = batch.withColumn("_n", latest).where("_n = 1").drop("_n")
         index.replace(*build_index(rows, config))
+        library.release(rows.sparkSession)
 
     writer = docs.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

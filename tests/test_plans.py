@@ -151,3 +151,108 @@ def test_running_summary(spark):
 def test_format_result_schema(spark):
     d = spark.createDataFrame([('{"title": "t", "body": "b"}',)], "raw string")
     assert d.select(F.size(formatting.problems_column(F.col("raw"))).alias("n")).first()["n"] == 1
+
+
+def counting_model(calls):
+    def make():
+        def call(system, prompt):
+            calls.add(1)
+            return json.dumps({"title": "T" + prompt[-3:], "tags": ["Alpha Beta"], "metadata": {"entities": []}, "body": "Body of " + prompt[-3:]})
+
+        return call
+
+    return make
+
+
+def test_model_is_called_once_a_document(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    docs = spark.createDataFrame([(str(i), f"{i}.txt", f"Text number {i:03d}") for i in range(20)], "doc_id string, source_file string, text string")
+    index = Index(spark, str(tmp_path / "ix"), 16)
+    cache = str(tmp_path / "cache")
+    for rounds in range(2):
+        index.replace(*ingest.build_index(docs, SMALL, counting_model(calls), cache=cache))
+        assert calls.value == 20, rounds  # the second time all replies are kept ones
+    assert index.documents.count() == 20 and index.chunks.count() == 20
+    index.replace(*ingest.build_index(docs, SMALL, counting_model(calls)))
+    assert calls.value == 40
+    twice = docs.union(docs.withColumn("doc_id", F.concat(F.lit("x"), "doc_id")))
+    assert ingest.formatted(twice, SMALL, counting_model(calls)).count() == 40 and calls.value == 60  # each distinct text once
+
+
+def test_existing_markdown_is_not_formatted(spark):
+    calls = spark.sparkContext.accumulator(0)
+    docs = spark.createDataFrame([("1", "a.txt", "Plain 001", None), ("2", "b.txt", "ignored", "---\ntags:\n  - kept\n---\n# Head\n\nOld body")], "doc_id string, source_file string, text string, markdown string")
+    rows = {r["doc_id"]: r for r in ingest.formatted(docs, SMALL, counting_model(calls)).collect()}
+    assert calls.value == 1 and rows["2"]["title"] == "Head" and "Old body" in rows["2"]["body"] and rows["1"]["title"] == "T001"
+    chunks, documents = ingest.build_index(docs, SMALL)
+    assert {r["title"] for r in documents.collect()} >= {"Head"} and any("Old body" in r["text"] for r in chunks.collect())
+
+
+def test_written_markdown_is_reused(spark, tmp_path):
+    from pathlib import Path
+
+    docs = [("1", "a.txt", "# Same\n\none"), ("2", "b.txt", "# Same\n\ntwo"), ("3", "c.txt", "# Other\n\nx")]
+    out = str(tmp_path / "md")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id string, source_file string, text string")
+    names = lambda: sorted(x.name for x in Path(out).iterdir() if x.suffix == ".md")
+    for _ in range(2):
+        ingest.write_markdown(ingest.to_markdown(frame(docs)), out)
+        assert names() == ["Other.md", "Same-1.md", "Same.md"]
+    before = {n: (Path(out) / n).read_text() for n in names()}
+    ingest.write_markdown(ingest.to_markdown(frame([("9", "z.txt", "# Same\n\nthree"), docs[0]])), out)
+    assert len(names()) == 4 and all((Path(out) / n).read_text() == t for n, t in before.items())
+    assert "three" in (Path(out) / "Same-2.md").read_text()
+
+
+def test_numbers_in_one_large_group(spark):
+    keys = spark.range(1000).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("g"), F.col("id") % 7)).otherwise("same").alias("_name"), F.col("id").alias("doc_id")).repartition(7)
+    got = ingest.numbered_in_groups(keys, "_name", "doc_id").collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r["doc_id"]):
+        assert r["_n"] == by.get(r["_name"], 0)
+        by[r["_name"]] = r["_n"] + 1
+    assert by["same"] == 900 and len(got) == 1000
+
+
+def test_rules_of_the_configuration(spark, tmp_path):
+    (tmp_path / "rules.yaml").write_text("rules:\n  - pattern: 'secret\\d+'\n    replace: 'X'\n")
+    config = Config(embedding_mode="hash", embedding_dim=8, clean_rules=str(tmp_path / "rules.yaml"))
+    docs = spark.createDataFrame([("1", "a.txt", "a secret42 here")], "doc_id string, source_file string, text string")
+    assert "X here" in ingest.formatted(docs, config).first()["body"]
+    deep = Config(embedding_mode="hash", embedding_dim=8, heading_levels=1)
+    chunks, _ = ingest.build_index(docs.withColumn("text", F.lit("# A\n\none\n\n## B\n\ntwo")), deep)
+    assert chunks.count() == 1
+
+
+def test_schema_is_dropped_where_it_is_rejected():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append("response_format" in asked)
+            body = b"this grammar can not be parsed" if seen[-1] else json.dumps({"choices": [{"message": {"content": "{}"}}]}).encode()
+            self.send_response(500 if seen[-1] else 200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    model = formatting.http_model(Config(llm_endpoint=f"http://127.0.0.1:{server.server_port}/v1"))()
+    assert model(formatting.SYSTEM_PROMPT, "x") == "{}" and model(formatting.SYSTEM_PROMPT, "y") == "{}" and model("part", "z") == "{}"
+    assert seen == [True, False, False, False]
+    server.shutdown()
+
+
+def test_batches_are_bounded():
+    from docloom.operators.embedding import batches_of
+
+    assert [*batches_of([1] * 10, 4)] == [(0, 4), (4, 8), (8, 10)]
+    assert [*batches_of([9000] * 9, 32)] == [(0, 4), (4, 8), (8, 9)]
+    assert [*batches_of([], 4)] == []

@@ -28,13 +28,13 @@ def test_bm25_equals_sqlite(spark):
     for n, q in enumerate(["cat dog", "alpha zeta zeta", "cafe etude"]):
         terms = " OR ".join(f'"{t}"' for t in q.split())
         want = {r: -s for r, s in con.execute("SELECT rowid, rank FROM f WHERE f MATCH ?", (terms,))}
-        got = search.bm25(search.postings(docs), search.corpus_stats(docs), frame(spark, [(n, q)], "query_id bigint, question string"), None).collect()
+        got = search.bm25(search.text_index(docs), frame(spark, [(n, q)], "query_id bigint, question string"), None).collect()
         assert {r["id"]: r["score"] for r in got} == pytest.approx(want, abs=1e-8)
 
 
 def test_cjk_is_found(spark):
     docs = frame(spark, [(1, "机器学习"), (2, "深度")], "id bigint, text string")
-    got = search.bm25(search.postings(docs), search.corpus_stats(docs), frame(spark, [(0, "学习 AND")], "query_id bigint, question string")).collect()
+    got = search.bm25(search.text_index(docs), frame(spark, [(0, "学习 AND")], "query_id bigint, question string")).collect()
     assert [r["id"] for r in got] == [1]
 
 
@@ -102,3 +102,54 @@ def test_answers(spark):
     assert r["answer"] and r["context"].startswith("[Chunk 1 (source: ") and len(r["sources"]) == 3
     none = answer.answer(asked, chunks.limit(0), documents.limit(0), 3, config=config).first()
     assert none["answer"] == answer.NOTHING and none["sources"] == []
+
+
+def test_questions_are_embedded_once(spark):
+    from docloom.config import Config
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def make():
+        def embed(texts):
+            calls.add(len(texts))
+            return [[float(len(t)), 1.0, 0.5, 0.25] for t in texts]
+
+        return embed
+
+    config = Config(embedding_dim=4, llm_endpoint="http://x")
+    chunks = frame(spark, [(i, t, f"d{i}", ["General"], 3, [1.0, float(i), 0.0, 0.0]) for i, t in enumerate(CORPUS)], "id bigint, text string, source_doc_id string, section_path array<string>, word_count int, embedding array<float>")
+    documents = frame(spark, [("f", "T", "summary", [1.0, 0.0, 0.0, 0.0])], "source_file string, title string, text_summary string, embedding array<float>")
+    asked = frame(spark, [(i, f"where is the cat {i}") for i in range(10)], "query_id bigint, question string")
+    got = answer.answer(asked, chunks, documents, 3, config=config, embedder=make)
+    assert got.count() == 10 and len(got.collect()) == 10 and calls.value == 10
+    # candidates without a vector get one before they are re-ranked
+    filled = answer.with_vectors(chunks.selectExpr("id", "text", "IF(id = 2, array(0f, 0f, 0f, 0f), IF(id = 3, null, embedding)) AS embedding"), config, make).collect()
+    assert calls.value == 12 and {r["id"]: list(r["embedding"])[0] for r in filled}[2] == float(len(CORPUS[2]))
+
+
+def test_texts_are_tokenised_once(spark):
+    docs = frame(spark, list(enumerate(CORPUS)), "id bigint, text string")
+    q = frame(spark, [(0, "cat dog")], "query_id bigint, question string")
+    plan = search.bm25(search.text_index(docs), q)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # they are read from the written index
+
+
+def test_index_is_changed_in_one_step(spark, tmp_path):
+    import os
+
+    index = Index(spark, str(tmp_path / "ix"), 4, buckets=3)
+    chunk = "source_doc_id string, chunk_index int, text string"
+    doc = "title string, text_summary string, source_file string"
+    index.replace(frame(spark, [("a", 0, "one"), ("a", 0, "two"), ("b", 0, "x")], chunk), frame(spark, [("T", "s", "a"), ("U", "t", "a")], doc))
+    assert index._state()["number"] == 1  # one pointer for both tables
+    assert sorted(r["text"] for r in index.chunks.collect()) == ["two", "x"] and index.documents.count() == 1  # repeated keys count once
+    old = index.chunks
+    for i in range(4):
+        index.upsert_chunks(frame(spark, [("a", 0, f"v{i}")], chunk))
+        if i == 0:
+            assert sorted(r["text"] for r in old.collect()) == ["two", "x"]  # a reader of the state before goes on
+    assert sorted(r["text"] for r in index.chunks.collect()) == ["v3", "x"]
+    leaves = [d for d, _, _ in os.walk(tmp_path / "ix") if "_b=" in d and "chunks-" in d]
+    assert len(leaves) <= 4 and len(os.listdir(tmp_path / "ix" / "pointers")) <= 4
+    again = Index(spark, str(tmp_path / "ix"), 4)
+    assert again.chunks.count() == 2 and again.delete_chunks("b") == 1 and [r["text"] for r in again.chunks.collect()] == ["v3"]
