@@ -20,8 +20,7 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import gzip
-import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -86,6 +85,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     kind = F.when((F.col("warc_type") == "response") & ~F.coalesce(F.col("status") == 304, F.lit(False)), "response").when((F.col("warc_type") == "revisit") & (F.coalesce(F.col("profile"), F.lit(NOT_MODIFIED)) == NOT_MODIFIED), "revisit").when((F.col("warc_type") == "response") & (F.col("status") == 304), "revisit").otherwise("other")
     slim = records.select("record_id", F.nullif(canonical_url(F.col("url")), F.lit("")).alias("url_key"), "warc_date", "status", _lower_keys(F.col("headers")).alias("headers"), F.coalesce(kind, F.lit("other")).alias("kind")).withColumn("_tie", F.monotonically_increasing_id())
     first = (F.col("kind") != "response").cast("int")
+    slim = work.written(slim, "captures-slim")  # the sort samples its input first
     placed = work.written(slim.orderBy("url_key", "warc_date", first, "record_id", "_tie").withColumn("_mid", F.monotonically_increasing_id()), "captures").withColumn("_part", F.shiftright("_mid", 33))
     full = F.when((F.col("kind") == "response") & F.col("url_key").isNotNull(), F.struct("record_id", "status", "headers"))
     upto = Window.partitionBy("url_key", "_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -116,35 +116,112 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 # -- reading and writing WARC files
 
 
+#: Decompressed bytes taken at once.
+_PIECE = 1 << 20
+
+
 def _head(raw: bytes) -> tuple[str, dict[str, str]]:
+    """The first line, and the fields; values of a repeated name are joined by a comma, cookies by a line end."""
     lines = raw.decode("utf-8", "replace").split("\r\n")
     fields: dict[str, str] = {}
+    spelled: dict[str, str] = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
         if colon:
-            fields[name.strip()] = value.strip()
+            name = spelled.setdefault(name.strip().lower(), name.strip())
+            joint = "\n" if name.lower() == "set-cookie" else ", "
+            fields[name] = f"{fields[name]}{joint}{value.strip()}" if name in fields else value.strip()
     return lines[0], fields
 
 
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, plain or with one gzip member per record; a damaged tail ends it."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
+def _inflated(data: bytes) -> Iterator[bytes | None]:
+    """The bytes of gzip members, piece by piece; None where a member is damaged, after which the next one follows."""
     at = 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        version, fields = _head(data[at:end])
-        names = {k.lower(): v for k, v in fields.items()}
-        size = names.get("content-length", "")
-        if not version.startswith("WARC/") or not size.isdigit():
-            return
-        block = data[end + 4 : end + 4 + int(size)]
-        at = end + 4 + int(size) + 4
-        row = {"record_id": names.get("warc-record-id", "").strip("<>"), "warc_type": names.get("warc-type"), "profile": names.get("warc-profile"), "url": names.get("warc-target-uri"), "warc_date": names.get("warc-date"), "status": None, "headers": None, "payload": block}
-        if names.get("content-type", "").startswith("application/http") and (cut := block.find(b"\r\n\r\n")) >= 0:
-            line, headers = _head(block[:cut])
-            code = (line.split() + ["", ""])[1]
-            row |= {"status": int(code) if code.isdigit() else None, "headers": headers, "payload": block[cut + 4 :]}
-        yield row
+    while at < len(data):
+        inflate = zlib.decompressobj(31)
+        to = at
+        try:
+            while not inflate.eof and to < len(data):
+                fed = data[to : to + _PIECE]
+                to += len(fed)
+                while fed:
+                    yield inflate.decompress(fed, _PIECE)
+                    fed = inflate.unconsumed_tail
+            if not inflate.eof:
+                yield None
+                return
+            at = to - len(inflate.unused_data)
+        except zlib.error:
+            yield None
+            at = data.find(b"\x1f\x8b\x08", at + 1)
+            if at < 0:
+                return
+
+
+DAMAGED = {"record_id": None, "warc_type": "damaged", "profile": None, "url": None, "warc_date": None, "status": None, "headers": None, "payload": None}
+
+
+def _record(names: dict[str, str], block: bytes) -> dict:
+    row = {"record_id": names.get("warc-record-id", "").strip("<>"), "warc_type": names.get("warc-type"), "profile": names.get("warc-profile"), "url": names.get("warc-target-uri"), "warc_date": names.get("warc-date"), "status": None, "headers": None, "payload": block}
+    if names.get("content-type", "").startswith("application/http") and (cut := block.find(b"\r\n\r\n")) >= 0:
+        line, headers = _head(block[:cut])
+        code = (line.split() + ["", ""])[1]
+        row |= {"status": int(code) if code.isdigit() else None, "headers": headers, "payload": block[cut + 4 :]}
+    return row
+
+
+def parse_warc(data: bytes) -> Iterator[dict]:
+    """The records of a WARC file, plain or gzipped, held one at a time.
+
+    Where bytes are damaged or the file is cut off, a row of warc_type ``damaged`` says so, and
+    reading goes on at the next gzip member, or the next line that begins a record.
+    """
+    held = bytearray()
+    lost = False  # looking for the next record after damage
+
+    def records(final: bool) -> Iterator[dict]:
+        nonlocal lost
+        while True:
+            if lost:
+                found = held.find(b"WARC/1.")
+                del held[: found if found >= 0 else max(len(held) - 7, 0)]
+                if found < 0:
+                    return
+                lost = False
+            while held[:2] == b"\r\n":
+                del held[:2]
+            end = held.find(b"\r\n\r\n")
+            if end < 0:
+                if final and bytes(held).strip():
+                    yield dict(DAMAGED)
+                return
+            version, fields = _head(bytes(held[:end]))
+            names = {k.lower(): v for k, v in fields.items()}
+            size = names.get("content-length", "")
+            if not version.startswith("WARC/") or not size.isdigit():
+                yield dict(DAMAGED)
+                del held[:1]
+                lost = True
+                continue
+            to = end + 4 + int(size)
+            if len(held) < to:
+                if final:
+                    yield dict(DAMAGED)
+                    del held[: end + 4]
+                    lost = True
+                    continue
+                return
+            yield _record(names, bytes(held[end + 4 : to]))
+            del held[:to]
+
+    for piece in _inflated(data) if data[:2] == b"\x1f\x8b" else (data[i : i + _PIECE] for i in range(0, len(data), _PIECE)):
+        if piece is None:
+            yield dict(DAMAGED)
+            held.clear()
+            continue
+        held += piece
+        yield from records(False)
+    yield from records(True)
 
 
 def format_warc(row: dict) -> bytes:
@@ -152,7 +229,7 @@ def format_warc(row: dict) -> bytes:
     block = bytes(row["payload"] or b"")
     fields = {"WARC-Type": row["warc_type"], "WARC-Record-ID": f"<{row['record_id']}>", "WARC-Target-URI": row["url"], "WARC-Date": row["warc_date"], "WARC-Profile": row["profile"]}
     if row["status"] is not None:
-        head = "".join(f"{k}: {v}\r\n" for k, v in (row["headers"] or {}).items())
+        head = "".join(f"{k}: {x}\r\n" for k, v in (row["headers"] or {}).items() for x in (v.split("\n") if k.lower() == "set-cookie" else [v]))
         block = f"HTTP/1.1 {row['status']} \r\n{head}\r\n".encode() + block
         fields["Content-Type"] = "application/http; msgtype=response"
     fields["Content-Length"] = str(len(block))
@@ -160,7 +237,10 @@ def format_warc(row: dict) -> bytes:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files under ``path`` (one task reads a file whole), as RECORDS."""
+    """The records of all WARC files under ``path`` as RECORDS; what is damaged gives rows of warc_type ``damaged``.
+
+    A task holds one file as it is stored (under 2 GB) and one record of it.
+    """
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
     raw = RECORDS.replace("timestamp", "string")
@@ -183,26 +263,44 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 # -- the query over `pages`
 
-#: A page is fetched once and asked for again after so many seconds; captures are a second apart.
+#: Seconds between the captures of a page; the pages' first captures are a second apart.
 AGAIN_S = 1_000_000
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """WARC records of a crawl of ``pages``: each page's full response and the 304 of a later recrawl.
+    """WARC records of a crawl of ``pages``: two full responses of each page, and 304s between and after them.
 
-    The response of page p carries ETag and Last-Modified; the 304 repeats the ETag, adds fresh
-    Date, Cache-Control and (wrongly) Content-Length: 0 headers. A page whose canonical URL was
-    captured by a later page, too, meets that page's response, whose ETag then decides.
+    In this order: a 304 before anything is stored (pages of number 2 modulo 4), the first response,
+    its 304 (a weak ETag), a changed response (number 1 modulo 4: without an ETag), its 304 (1: with
+    Last-Modified only; 3: without validators), and a 304 that still has the first ETag. Every 304
+    has a fresh Date and Cache-Control and (wrongly) Content-Length: 0. Where pages share a
+    canonical URL, their captures mix, and the validators decide.
     """
-    etag = F.concat(F.lit('"'), F.substring(F.sha2(F.coalesce("html", F.lit("")), 256), 1, 16), F.lit('"'))
-    at = F.lit("2024-01-01 00:00:00").cast("timestamp").cast("long") + F.col("page_id")
+    tag = lambda more: F.concat(F.lit('"'), F.substring(F.sha2(F.concat(F.coalesce("html", F.lit("")), F.lit(more)), 256), 1, 16), F.lit('"'))
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp").cast("long") + F.col("page_id")
+    base = pages.select("page_id", "url", F.pmod("page_id", F.lit(4)).alias("kind"), tag("").alias("e1"), tag("/2").alias("e2"), start.alias("t"))
     text = lambda s: F.date_format(s.cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
-    base = pages.select("page_id", "url", etag.alias("etag"), at.alias("at"))
-    full = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), F.col("etag"), F.lit("Last-Modified"), text(F.col("at")), F.lit("Date"), text(F.col("at")))
-    later = F.create_map(F.lit("ETag"), F.concat(F.lit("W/"), F.col("etag")), F.lit("Date"), text(F.col("at") + AGAIN_S), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Content-Length"), F.lit("0"))
-    record = lambda kind, mark, when, status, headers: F.struct(F.concat(F.col("page_id").cast("string"), F.lit(mark)).alias("record_id"), F.lit(kind).alias("warc_type"), F.when(F.lit(status == 304), F.lit(NOT_MODIFIED)).alias("profile"), F.col("url").alias("url"), when.cast("timestamp").alias("warc_date"), F.lit(status).alias("status"), headers.alias("headers"))
-    pair = F.array(record("response", "/full", F.col("at"), 200, full), record("revisit", "/again", F.col("at") + AGAIN_S, 304, later))
-    return base.select(F.explode(pair).alias("r")).select("r.*")
+    at = lambda n: F.col("t") + n * AGAIN_S
+
+    def record(mark: str, n: int, status: int, etag: Column, modified: Column) -> Column:
+        fresh = {"Cache-Control": F.lit("max-age=60"), "Content-Length": F.lit("0")} if status == 304 else {"Content-Type": F.lit("text/html")}
+        named = fresh | {"ETag": etag, "Last-Modified": modified, "Date": text(at(n))}
+        headers = F.map_filter(F.create_map(*[x for k, v in named.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+        kind = F.lit("revisit" if status == 304 else "response")
+        return F.struct(F.concat(F.col("page_id").cast("string"), F.lit(mark)).alias("record_id"), kind.alias("warc_type"), F.lit(NOT_MODIFIED if status == 304 else None).cast("string").alias("profile"), F.col("url").alias("url"), at(n).cast("timestamp").alias("warc_date"), F.lit(status).alias("status"), headers.alias("headers"))
+
+    weak = F.concat(F.lit("W/"), F.col("e1"))
+    none = F.lit(None).cast("string")
+    k = F.col("kind")
+    all_ = [
+        F.when(k == 2, record("/0", -1, 304, F.col("e1"), none)),
+        record("/1", 0, 200, F.col("e1"), text(at(0))),
+        record("/1again", 1, 304, weak, none),
+        record("/2", 2, 200, F.when(k != 1, F.col("e2")), text(at(2))),
+        record("/2again", 3, 304, F.when(~k.isin(1, 3), F.col("e2")), F.when(k == 1, text(at(2)))),
+        record("/late", 4, 304, F.col("e1"), none),
+    ]
+    return base.select(F.explode(F.filter(F.array(*all_), lambda r: r.isNotNull())).alias("r")).select("r.*")
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +313,8 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH base AS (
-  SELECT page_id, url, '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' AS etag,
+  SELECT page_id, url, page_id % 4 AS k, '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' AS e1,
+         '"' || substr(sha256(coalesce(html, '') || '/2'), 1, 16) || '"' AS e2,
          TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id) AS born FROM pages),
 keyed AS (
   SELECT *, regexp_replace(trim(url), '#.*$', '', 's') AS bare FROM base),
@@ -228,23 +327,32 @@ parts AS (
            lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid|sid)='))) AS params
   FROM cut),
 urls AS (
-  SELECT page_id, etag, born, nullif(host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END, '') AS url_key FROM parts),
+  SELECT page_id, k, e1, e2, born, nullif(host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END, '') AS url_key FROM parts),
 records AS (
-  SELECT page_id || '/full' AS record_id, url_key, 'response' AS kind, born AS t, etag, born FROM urls
-  UNION ALL
-  SELECT page_id || '/again', url_key, 'revisit', born + to_seconds(1000000), etag, born FROM urls),
+  SELECT page_id || '/0' AS record_id, url_key, 'revisit' AS kind, born - to_seconds(1000000) AS t, e1 AS etag, NULL AS modified FROM urls WHERE k = 2
+  UNION ALL SELECT page_id || '/1', url_key, 'response', born, e1, strftime(born, '%Y-%m-%d %H:%M:%S') FROM urls
+  UNION ALL SELECT page_id || '/1again', url_key, 'revisit', born + to_seconds(1000000), 'W/' || e1, NULL FROM urls
+  UNION ALL SELECT page_id || '/2', url_key, 'response', born + to_seconds(2000000), CASE WHEN k <> 1 THEN e2 END, strftime(born + to_seconds(2000000), '%Y-%m-%d %H:%M:%S') FROM urls
+  UNION ALL SELECT page_id || '/2again', url_key, 'revisit', born + to_seconds(3000000), CASE WHEN k NOT IN (1, 3) THEN e2 END, CASE WHEN k = 1 THEN strftime(born + to_seconds(2000000), '%Y-%m-%d %H:%M:%S') END FROM urls
+  UNION ALL SELECT page_id || '/late', url_key, 'revisit', born + to_seconds(4000000), e1, NULL FROM urls),
 found AS (
-  SELECT *, last_value(CASE WHEN kind = 'response' AND url_key IS NOT NULL THEN {'id': record_id, 'etag': etag, 'born': born} END IGNORE NULLS) OVER (
+  SELECT *, last_value(CASE WHEN kind = 'response' AND url_key IS NOT NULL THEN {'id': record_id, 'etag': etag, 'modified': modified} END IGNORE NULLS) OVER (
     PARTITION BY url_key ORDER BY t, kind, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS src FROM records),
 judged AS (
-  SELECT *, CASE WHEN kind = 'response' THEN 'full' WHEN src IS NULL THEN 'unresolved' WHEN src.etag = etag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM found)
+  SELECT *, CASE WHEN kind = 'response' THEN 'full' WHEN src IS NULL THEN 'unresolved'
+    WHEN src.etag IS NOT NULL AND etag IS NOT NULL THEN CASE WHEN regexp_replace(src.etag, '^W/', '') = regexp_replace(etag, '^W/', '') THEN 'resolved' ELSE 'validator_mismatch' END
+    WHEN src.modified IS NOT NULL AND modified IS NOT NULL THEN CASE WHEN src.modified = modified THEN 'resolved' ELSE 'validator_mismatch' END
+    ELSE 'no_validator' END AS outcome FROM found)
 SELECT record_id, url_key, kind, outcome,
   CASE outcome WHEN 'full' THEN record_id WHEN 'resolved' THEN src.id END AS source_id,
   CASE WHEN outcome IN ('full', 'resolved') THEN 200 ELSE 304 END AS status,
-  CASE outcome
-    WHEN 'full' THEN 'content-type: text/html' || chr(10) || 'date: ' || strftime(t, '%Y-%m-%d %H:%M:%S') || chr(10) || 'etag: ' || etag || chr(10) || 'last-modified: ' || strftime(born, '%Y-%m-%d %H:%M:%S')
-    WHEN 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || strftime(t, '%Y-%m-%d %H:%M:%S') || chr(10) || 'etag: W/' || etag || chr(10) || 'last-modified: ' || strftime(src.born, '%Y-%m-%d %H:%M:%S')
-    ELSE 'cache-control: max-age=60' || chr(10) || 'content-length: 0' || chr(10) || 'date: ' || strftime(t, '%Y-%m-%d %H:%M:%S') || chr(10) || 'etag: W/' || etag END AS headers,
+  concat_ws(chr(10),
+    CASE WHEN kind = 'revisit' THEN 'cache-control: max-age=60' END,
+    CASE WHEN kind = 'revisit' AND outcome <> 'resolved' THEN 'content-length: 0' END,
+    CASE WHEN outcome IN ('full', 'resolved') THEN 'content-type: text/html' END,
+    'date: ' || strftime(t, '%Y-%m-%d %H:%M:%S'),
+    'etag: ' || CASE WHEN outcome = 'resolved' THEN coalesce(etag, src.etag) ELSE etag END,
+    'last-modified: ' || CASE WHEN outcome = 'resolved' THEN coalesce(modified, src.modified) ELSE modified END) AS headers,
   strftime(t, '%Y-%m-%d %H:%M:%S') AS warc_date
 FROM judged
 """

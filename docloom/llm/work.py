@@ -2,104 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import threading
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.staging import Staging
+
 #: A side of a join is broadcast up to this many (slim) rows; beyond it the join is a shuffle join.
 BROADCAST_ROWS = 50_000
 
 _LOW33 = (1 << 33) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver share: ``spark.checkpoint.dir`` of the session.
-
-    Only a session on local[n] (tests) that names none gets a temporary folder.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-class _Made(threading.local):
-    """The working tables of this thread's run: folders, and the catalog's names of those that have one."""
-
-    def __init__(self) -> None:
-        self.tables: dict[str, str | None] = {}
-
-
-_made = _Made()
-
-
-def new_path(spark: SparkSession, name: str, table: str | None = None) -> str:
-    """A folder for a working table of this run."""
-    path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-    _made.tables[path] = table
-    return path
-
-
-def named(path: str, table: str) -> None:
-    """Say that the catalog knows the working table at ``path`` by this name."""
-    if path in _made.tables:
-        _made.tables[path] = table
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    table = _made.tables.pop(path, None)
-    if table:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the working tables that this thread has made: call it once what was built on them is written itself."""
-    for path in [*_made.tables]:
-        _delete(spark, path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete working tables (results of ``written`` or ``bucketed``) that nothing unwritten reads any more."""
-    for df in tables:
-        _delete(df.sparkSession, df.working_path)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
-
-    A lost executor costs a re-read of the files and no recomputation of what led to them.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.working_path = path
-    return out
-
-
-def bucketed(df: DataFrame, name: str, column: str, dealt: bool = False) -> DataFrame:
-    """Like ``written``, but bucketed by ``column``: later joins on it shuffle only the other side.
-
-    ``dealt`` says that an aggregation or join on the column has dealt the rows out already.
-    """
-    spark = df.sparkSession
-    table = "docloom_" + uuid.uuid4().hex
-    path = new_path(spark, name, table)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df if dealt else df.repartition(n, column)
-    rows.write.bucketBy(n, column).option("compression", "zstd").option("path", path).saveAsTable(table)
-    out = spark.table(table)
-    out.working_path = path
-    return out
+#: The working tables of these operators' runs; each thread's are its own.
+own = Staging()
+new_path, written, bucketed, discard, release = own.new_path, own.written, own.bucketed, own.discard, own.release
 
 
 def number_rows(df: DataFrame, *order: Column, name: str = "rows", to: str = "row_no") -> DataFrame:

@@ -344,6 +344,45 @@ def test_warc_hot_url_crosses_partitions(spark):
         assert r["source_id"] == str(int(r["record_id"]) // 50 * 50)
 
 
+def test_warc_crawl_has_every_outcome(spark):
+    pages = frame(spark, [(i, f"http://a.com/{i}", f"<p>{i}</p>") for i in range(8)], "page_id bigint, url string, html string")
+    got = {r["record_id"]: (r["outcome"], r["source_id"]) for r in warc.resolve_revisits(warc.page_records(pages)).collect()}
+    assert Counter(o for o, _ in got.values()) == {"full": 16, "resolved": 8 + 6, "validator_mismatch": 6, "no_validator": 2 + 2, "unresolved": 2}
+    assert got["0/1again"] == ("resolved", "0/1") and got["0/2again"] == ("resolved", "0/2") and got["1/2again"] == ("resolved", "1/2")
+    assert got["2/0"] == ("unresolved", None) and got["3/2again"][0] == "no_validator" and got["0/late"][0] == "validator_mismatch"
+
+
+def test_warc_messy_records(spark):
+    day = lambda d: __import__("datetime").datetime(2024, 1, d)
+    schema = "record_id string, warc_type string, profile string, url string, warc_date timestamp, status int, headers map<string,string>, payload binary, url_key string, outcome int, _mid string"
+    rows = [("a", "response", None, "http://x/", day(1), 200, {"ETag": "e" * 100_000, "": ""}, b"", "k", 1, "m"), ("b", "revisit", None, "http://x", day(2), 304, {"etag": "e" * 100_000}, None, None, None, None)]
+    rows += [rows[1]] * 2 + [("c", "revisit", None, "http://x", None, None, {}, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None)]
+    got = warc.resolve_revisits(frame(spark, rows, schema)).collect()
+    assert Counter((r["record_id"], r["outcome"], r["source_id"]) for r in got) == {("a", "full", "a"): 1, ("b", "resolved", "a"): 3, ("c", "unresolved", None): 1, (None, "other", None): 1}
+
+
+def test_warc_damage(spark, tmp_path):
+    import gzip
+
+    rows = [{"record_id": f"urn:{i}", "warc_type": "response", "profile": None, "url": f"http://a/{i}", "warc_date": "2024-01-01T00:00:00Z", "status": 200, "headers": {"Set-Cookie": "a=1\nb=2", "Vary": "x, y"}, "payload": bytes(range(256)) * 40} for i in range(4)]
+    plain = [warc.format_warc(r) for r in rows]
+    packed = [*map(gzip.compress, plain)]
+    kinds = lambda data: [r["record_id"] or r["warc_type"] for r in warc.parse_warc(data)]
+    everything = [f"urn:{i}" for i in range(4)]
+    assert kinds(b"".join(plain)) == kinds(b"".join(packed)) == kinds(gzip.compress(b"".join(plain))) == everything
+    assert [r["headers"] for r in warc.parse_warc(b"".join(packed))] == [r["headers"] for r in rows]
+    broken = bytearray(packed[1])
+    broken[len(broken) // 2] ^= 255
+    assert kinds(packed[0] + bytes(broken) + packed[2] + packed[3])[:1] == ["urn:0"]
+    assert "damaged" in kinds(packed[0] + bytes(broken) + packed[2]) and kinds(packed[0] + bytes(broken) + packed[2])[-1] == "urn:2"
+    assert kinds(b"".join(packed)[:-9]) == [*everything[:3], *kinds(b"".join(packed)[:-9])[3:]] and "damaged" in kinds(b"".join(packed)[:-9])
+    assert kinds(plain[0] + plain[1].replace(b"WARC/1.1", b"WXRC/1.1") + plain[2]) == ["urn:0", "damaged", "urn:2"]
+    assert kinds((plain[0] + plain[1])[:-50]) == ["urn:0", "damaged"] and kinds(b"") == [] and kinds(b"nonsense") == ["damaged"] and kinds(b"\x1f\x8bnonsense") == ["damaged"]
+    (tmp_path / "cut.warc.gz").write_bytes(b"".join(packed)[:-9])
+    (tmp_path / "empty.warc").write_bytes(b"")
+    assert Counter(r["warc_type"] for r in warc.read_warc(spark, str(tmp_path)).collect())["response"] >= 3
+
+
 def test_warc_files(spark, tmp_path):
     import gzip
 
