@@ -7,9 +7,12 @@ of what fails validation, so that a value next to other digits or capitals is fo
 
 - card numbers (13-19 digits, Luhn-valid) and IBANs (mod-97-valid): all but the check digits are
   permuted by a digit- and letter-wise Feistel network, the check digits are computed anew;
-- phone numbers (8-15 digits with a + or an area code in brackets, ten after +1): the country code stays;
+- phone numbers (8-15 digits with + or 00 and a country code, ten after +1, ten with an area code in
+  brackets or before a hyphen or dot): the country code stays;
+- IPv6 addresses: the 32 hexadecimal digits are permuted, in whatever way they were written (the
+  pseudonym has all eight groups);
 - SSNs and IPv4 addresses (in range), dates from 1900 to 2099 (year-month-day, day.month.year,
-  day/month/year, month/day/year where the day is over 12): Feistel permutation with cycle walking
+  day/month/year, month/day/year where the day is over 12; also before a time of day): Feistel permutation with cycle walking
   of the index of the valid value;
 - e-mail addresses: every letter and digit but the last label, each within its class.
 
@@ -18,33 +21,41 @@ chain of column expressions: no Python on the executors, no shuffle, no collecte
 
 Defined results: a null text stays null, an empty one empty; very long texts are treated whole;
 repeated rows get equal results; columns of the input that clash with the new ones are replaced.
+
+The key is the session's ``spark.docloom.pii.key``: who has it can undo the pseudonyms, and runs that
+share it agree. Where it is unset, a random one is drawn and forgotten with the process.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.feistel import feistel
 
-KEY = "docloom-pii-1"
+KEY = "spark.docloom.pii.key"
+_drawn = secrets.token_hex(32)
 ROUNDS = 8
 KINDS = ("email", "iban", "date", "ip", "ssn", "card", "phone")
 
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
-DATE_YMD = r"(?<![0-9A-Za-z.\-/])[0-9]{4}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{1,2}(?![0-9A-Za-z]|[.\-/][0-9])"
+DATE_YMD = r"(?<![0-9A-Za-z.\-/])[0-9]{4}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{1,2}(?!(?!T[0-9]{2}:?[0-9]{2})[0-9A-Za-z]|[.\-/][0-9])"
 DATE_DMY = r"(?<![0-9A-Za-z.\-/])[0-9]{1,2}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{4}(?![0-9A-Za-z]|[.\-/][0-9])"
 DATE = f"(?:{DATE_YMD}|{DATE_DMY})"
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
+IP6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){0,6}(?:[0-9A-Fa-f]{1,4})?::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 #: Phones and cards end before a separator that one of these follows.
 STOP = f"(?![ .\\-](?:{IP}|{SSN}|{DATE}))"
 #: Phones that have enough digits end before the last digits of a run if they are laid out as a card.
-FULL = rf"(?<=\+(?:{'|'.join(r'[ .\-()]{0,3}[0-9]' * i for i in range(8, 16))}))"
+FULL = rf"(?<=(?:\+|(?<![0-9])00)(?:{'|'.join(r'[ .\-()]{0,3}[0-9]' * i for i in range(8, 16))}))"
 CARDLIKE = r"(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9A-Za-z]|[ \-][0-9])"
 PHONE_1 = r"\+1[ .\-]?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-]?)[0-9]{3}[ .\-]?[0-9]{4}(?![0-9A-Za-z])"
-PHONE_ANY = rf"\+[0-9]{{1,3}}[ .\-]?(?:\([0-9]{{1,4}}\)[ .\-]?)?[0-9]{{2,4}}(?:{STOP}(?!{FULL}[ .\-]{CARDLIKE})[ .\-]?[0-9]{{2,4}}){{1,4}}(?![0-9A-Za-z]){FULL}"
-PHONE = rf"(?<![0-9A-Za-z])(?:{PHONE_1}|{PHONE_ANY}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .\-][0-9]{{4}}(?![0-9A-Za-z]))"
+PHONE_ANY = rf"(?:\+[0-9]{{1,3}}[ .\-]?|00[1-9][0-9]{{0,2}}[ .\-])(?:\([0-9]{{1,4}}\)[ .\-]?)?[0-9]{{2,4}}(?:{STOP}(?!{FULL}[ .\-]{CARDLIKE})[ .\-]?[0-9]{{2,4}}){{1,4}}(?![0-9A-Za-z]){FULL}"
+PHONE_10 = r"(?<![0-9A-Za-z.\-+])[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.)[0-9]{4}(?![0-9A-Za-z]|[.\-][0-9])"
+PHONE = rf"(?<![0-9A-Za-z])(?:{PHONE_1}|{PHONE_ANY}|{PHONE_10}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .\-][0-9]{{4}}(?![0-9A-Za-z]))"
 
 
 def iban_of(n: int | str) -> str:
@@ -57,9 +68,9 @@ def card_of(n: int | str) -> str:
     return rf"(?<![0-9A-Za-z])[0-9](?:{STOP}[ \-]?[0-9]){{{n}}}(?![0-9A-Za-z])"
 
 
-FIND = "|".join([EMAIL, iban_of("11,30"), DATE, IP, SSN, PHONE, card_of("12,18")])
+FIND = "|".join([EMAIL, iban_of("11,30"), DATE, IP, IP6, SSN, PHONE, card_of("12,18")])
 
-LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
 
 def _let(value: Column, body) -> Column:
@@ -71,15 +82,17 @@ def _chars(s: Column) -> Column:
     return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
 
 
-def _shift(c: Column, k: Column) -> Column:
-    def within(alphabet: str) -> Column:
-        return F.substring(F.lit(alphabet), ((F.instr(F.lit(alphabet), c) - 1 + k) % len(alphabet) + 1).cast("int"), F.lit(1))
-
-    return F.when(c.between("0", "9"), within(DIGITS)).when(c.between("a", "z"), within(LOWER)).when(c.between("A", "Z"), within(UPPER)).otherwise(c)
+def _shift(c: Column, k: Column, classes: tuple[str, ...]) -> Column:
+    """``c`` moved on by k within the first class that has it; others stay."""
+    out = c
+    for alphabet in reversed(classes):
+        moved = F.substring(F.lit(alphabet), ((F.instr(F.lit(alphabet), c) - 1 + k) % len(alphabet) + 1).cast("int"), F.lit(1))
+        out = F.when(F.instr(F.lit(alphabet), c) > 0, moved).otherwise(out)
+    return out
 
 
-def permuted(s: Column, key: str) -> Column:
-    """``s`` with digits, ASCII lower-case and upper-case letters permuted within their classes.
+def permuted(s: Column, key: str, classes: tuple[str, ...] = (DIGITS, LOWER, UPPER)) -> Column:
+    """``s`` with its characters permuted within their classes: digits, ASCII lower-case and upper-case letters.
 
     A Feistel network over the two halves of the string: in turn each half is shifted by a stream
     hashed from the key, the round and the other half.
@@ -91,7 +104,7 @@ def permuted(s: Column, key: str) -> Column:
 
         def step(p: Column, i: Column) -> Column:
             def shifted(stream: Column) -> Column:
-                return F.transform(p["a"], lambda c, at: _shift(c, F.conv(F.substring(stream, (at % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")))
+                return F.transform(p["a"], lambda c, at: _shift(c, F.conv(F.substring(stream, (at % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int"), classes))
 
             stream = F.sha2(F.concat_ws("/", F.lit(key), i.cast("string"), F.size(p["a"]).cast("string"), F.array_join(p["b"], "")), 512)
             return F.struct(p["b"].alias("a"), _let(stream, shifted).alias("b"))
@@ -157,11 +170,11 @@ def _iban(m: Column, key: str) -> Column:
 def _phone(m: Column, key: str) -> Column:
     def body(p: Column) -> Column:
         code, rest = p["code"], p["rest"]
-        n = F.length(F.regexp_replace(m, "[^0-9]", ""))
+        n = F.length(F.regexp_replace(F.regexp_replace(m, "^00", ""), "[^0-9]", ""))
         return F.when(n.between(8, 15), F.concat(code, _respread(rest, permuted(_bare(rest), f"{key}/phone"))))
 
     # the country code ends at a separator or bracket; without one, it is one digit
-    code = F.when(m.startswith("+"), F.coalesce(F.nullif(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .\-(])", 0), F.lit("")), F.substring(m, 1, 2))).otherwise(F.lit(""))
+    code = F.when(m.startswith("00"), F.regexp_extract(m, r"^00[0-9]{1,3}(?=[ .\-(])", 0)).when(m.startswith("+"), F.coalesce(F.nullif(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .\-(])", 0), F.lit("")), F.substring(m, 1, 2))).otherwise(F.lit(""))
     return _let(_let(code, lambda c: F.struct(c.alias("code"), F.substring(m, F.length(c) + 1, F.length(m)).alias("rest"))), body)
 
 
@@ -185,6 +198,21 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(ok, _let(feistel(1 << 32, f"{key}/ip").column(number), back))
 
 
+def _ip6(m: Column, key: str) -> Column:
+    """Both sides of :: in groups of four digits, zeros between them; at most seven groups where there is a ::."""
+    wide = lambda side: F.transform(F.filter(F.split(side, ":"), lambda g: g != ""), lambda g: F.lpad(F.lower(g), 4, "0"))
+    sides = F.split(m, "::")
+
+    def body(p: Column) -> Column:
+        n = F.size(p["a"]) + F.size(p["b"])
+        zeros = F.array_repeat(F.lit("0000"), F.greatest(8 - n, F.lit(0)))
+        digits = F.array_join(F.concat(p["a"], zeros, p["b"]), "")
+        ok = F.when(F.contains(m, F.lit("::")), n <= 7).otherwise(n == 8)
+        return F.when(ok, F.regexp_replace(permuted(digits, f"{key}/ip6", (HEX,)), "(.{4})(?=.)", "$1:"))
+
+    return _let(F.struct(wide(sides[0]).alias("a"), F.coalesce(wide(F.try_element_at(sides, F.lit(2))), F.array().cast("array<string>")).alias("b")), body)
+
+
 def _date(m: Column, key: str) -> Column:
     first, last = -25567, 47481  # days of 1900-01-01 and 2099-12-31
     parts = F.split(m, r"[./\-]")
@@ -217,7 +245,7 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(permuted(stem, f"{key}/email"), F.regexp_extract(m, r"\.[^.]*$", 0))
 
 
-def first_value(near: Column, key: str = KEY) -> Column:
+def first_value(near: Column, key: str) -> Column:
     """struct(kind, m, value) of the first kind that is valid right after the first character of ``near``, or null.
 
     Cards and IBANs are the longest valid ones that end where a group ends.
@@ -242,13 +270,14 @@ def first_value(near: Column, key: str = KEY) -> Column:
         F.when(near.rlike("(?s)^.[A-Z]"), tried("iban", iban, _iban)),
         tried("date", at(DATE), _date),
         tried("ip", at(IP), _ip),
+        F.when(near.rlike("(?s)^.[0-9A-Fa-f:]"), tried("ip", at(IP6), _ip6)),
         tried("ssn", at(SSN), _ssn),
         tried("phone", at(PHONE), _phone),
         F.when(near.rlike("(?s)^.[0-9]"), tried("card", card, _card)),
     )
 
 
-def scanned(line: Column, key: str = KEY) -> Column:
+def scanned(line: Column, key: str) -> Column:
     """struct(parts, rest): array of struct(plain, kind, value) of a line, and the text after them.
 
     From each place where FIND matches, the valid value is taken and the search goes on right after
@@ -281,8 +310,14 @@ def scanned(line: Column, key: str = KEY) -> Column:
     return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), start, step, lambda acc: F.struct(acc["parts"].alias("parts"), F.substring(acc["rest"], F.lit(2), F.length(acc["rest"])).alias("rest")))
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The session's key, or the one drawn for this process."""
+    return spark.conf.get(KEY, None) or _drawn
+
+
+def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
     """``docs`` with the text replaced and n_<kind> and n_found (BIGINT) added; other columns stay."""
+    key = key or key_of(docs.sparkSession)
     text = F.col(text_col)
     # no value goes over the end of a line
     found = F.when(text.rlike("[0-9@]"), F.transform(F.split(text, "\n", -1), lambda line: scanned(line, key)))

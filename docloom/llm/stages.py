@@ -1,11 +1,23 @@
 """The stages of the corpus pipeline as functions of (spark, docs, sf_dir).
 
 ``docs`` is a written table; each stage first deletes the working tables of the one before.
+
+Defined results, of every stage: columns that aren't named here stay as they are, whatever they are
+called; an empty table gives an empty one; a null text counts as an empty one, and very long texts
+are treated whole.
+
+- good_quality: empty texts are scored like others; documents of a null id are scored, but teach nothing.
+- one_of_equal: of rows that are equal in text and doc_id one stays; a null id is below every other.
+- one_of_near: texts without words all stay; of a component one row stays, even where ids repeat.
+- mixed: texts without words and rows of sources without words are taken as often as their source's
+  rate says, rounded down; rows that are equal in all columns share their copies; ties of size are
+  broken by a hash of the row.
+- encoded: a null text has no ids and 0 bytes and is lossless.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import exact_dedup, mixing, ngram_join, quality, sentencepiece_codec, work
@@ -31,20 +43,17 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it (0 to 2), numbered by ``copy``; rows of one id, size and source share their copies."""
+    """Every document as many times as the mix takes it (0 to 2), numbered by ``copy``."""
     work.release(spark)
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(mixing.WORDS)), F.lit(0)).cast("long")
-    due = mixing.mix(docs).groupBy("doc_id", "size", "source").agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_n"))
-    due = due.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), "_c", "_n")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")) & F.col("source").eqNullSafe(F.col("_source"))
-    met = docs.withColumn("_words", size).join(due, same)
-    nth = F.row_number().over(Window.partitionBy("_id", "_size", "_source").orderBy(F.lit(1)))
-    once = met.where("_n = 1").withColumn("_nth", F.lit(1)).withColumn("_copies", F.col("_c"))
-    shared = met.where("_n > 1").withColumn("_nth", nth).withColumn("_copies", F.floor(F.col("_c") / F.col("_n")) + (F.col("_nth") <= F.col("_c") % F.col("_n")).cast("long"))
-    rows = once.unionByName(shared).where("_copies > 0")
-    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    most = F.ceil(F.col("_c") / F.col("_n"))  # copies of one of the rows
-    return copies.select(*[c for c in docs.columns if c != "copy"], ((F.col("_nth") - 1) * most + F.col("_copy")).cast("long").alias("copy"))
+    comparable = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = docs.withColumn("_docloom_key", F.xxhash64(*comparable))
+    due = mixing.mix(keyed, id_col="_docloom_key").groupBy("doc_id").agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_n"))
+    due = work.written(due.where("_c > 0").select(F.col("doc_id").alias("_docloom_key"), "_c", "_n"), "copies")
+    once = keyed.join(due.where("_n = 1"), "_docloom_key")
+    # equal rows: one of them stands for all, with all their copies
+    shared = keyed.join(due.where("_n > 1"), "_docloom_key").dropDuplicates(["_docloom_key"])
+    rows = once.unionByName(shared).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))))
+    return rows.select(*[f"`{c}`" for c in docs.columns if c != "copy"], F.col("_copy").alias("copy"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

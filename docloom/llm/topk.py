@@ -9,8 +9,9 @@ the query's k-th best score so far, and the survivors are compacted before the n
 come in slices of falling norm, so thresholds rise early. Every cell gives k rows per query, and the
 best k over all cells are the result. It is exact: bounds are rounded outwards and ties are kept.
 
-Defined results: vectors that are null, empty or hold null or non-finite components, and rows without
-a vec_id, take no part; vectors of another length than the query's are not its candidates; every
+Defined results: vectors that are null or hold null or non-finite components, and rows without
+a vec_id, take no part; vectors of another length than the query's are not its candidates (empty ones
+meet empty ones, with score 0); every
 different scaled vector of a repeated vec_id is a candidate and asks, and the k best of all their pairs
 are the result of the vec_id, while equal rows count once; with fewer than k candidates all are returned;
 scores must fit 63 bits; an empty table gives no rows; extra columns are ignored.
@@ -38,7 +39,7 @@ def scaled(embedding: Column, scale: int = SCALE) -> Column:
     """floor(scale * x) of every component, or null if the vector takes no part."""
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.transform(embedding, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-    return F.when((F.size(embedding) > 0) & finite, whole)
+    return F.when(finite, whole)
 
 
 def branch_and_bound(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +54,7 @@ def branch_and_bound(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarra
     rows, row_ids = rows[order], row_ids[order]
     vertical = np.ascontiguousarray(rows[:, dims].T.astype(kind))
     q = queries[:, dims].astype(kind)
-    blocks = [(s, min(s + DIMS, d)) for s in range(0, d, DIMS)]
+    blocks = [(s, min(s + DIMS, d)) for s in range(0, max(d, 1), DIMS)]
     # norms of what is left after each block, rounded up
     q_rest = [np.sqrt((q[:, e:].astype(np.float64) ** 2).sum(1)) * (1 + 1e-9) for _, e in blocks]
     x_rest = [np.sqrt((vertical[e:].astype(np.float64) ** 2).sum(0)) * (1 + 1e-9) for _, e in blocks]
@@ -113,7 +114,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
         d = t.column("dims")[0].as_py()
         flat = t.column("v").combine_chunks()
         values = np.concatenate([c.flatten().to_numpy() for c in flat.chunks]) if isinstance(flat, pa.ChunkedArray) else flat.flatten().to_numpy()
-        v = values.reshape(-1, d)
+        v = values.reshape(t.num_rows, d)
         if not asks.any() or asks.all():
             return out.empty_table()
         at, row, score = branch_and_bound(v[asks], ids[asks], v[~asks], ids[~asks], k)
@@ -132,10 +133,10 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(CASE WHEN len(q.e) = 0 THEN 0 ELSE list_inner_product(q.e, c.e) END AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
