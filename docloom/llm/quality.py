@@ -229,21 +229,26 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, id_col:
     return fit(x, table["_y"].to_numpy().astype(float)[first], tuple(stats))
 
 
-def score_of(text: Column, model: Ensemble) -> Column:
-    """The score of a text; its statistics are bound once, so that no optimizer rule repeats them."""
-    bound = F.array(F.struct(*[c.alias(n) for n, c in statistics(text).items()]))
-    return F.element_at(F.transform(bound, lambda s: model.column(lambda n: s[n])), 1)
+def with_statistics(docs: DataFrame, text_col: str, to: str) -> DataFrame:
+    """``docs`` with a struct of the text's statistics, computed once a row: generated code shares what they have in common."""
+    return docs.withColumn(to, F.struct(*[c.alias(n) for n, c in statistics(F.col(text_col)).items()]))
 
 
 def score(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= threshold) added."""
-    scored = docs.withColumn("score", score_of(F.col(text_col), model))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = with_statistics(docs, text_col, "_docloom_stats").withColumn("score", model.column(lambda n: F.col("_docloom_stats")[n]))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_docloom_stats")
 
 
 def keep_good(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` whose score reaches the threshold, with the columns they have."""
-    return docs.where(score_of(F.col(text_col), model) >= threshold)
+    """``docs`` whose score reaches the threshold, with the columns they have.
+
+    The optimizer would push the filter below the statistics and put each of them in wherever the
+    score names it; it leaves filters on a row's number where they are.
+    """
+    rows = with_statistics(docs, text_col, "_docloom_stats").withColumn("_docloom_row", F.monotonically_increasing_id())
+    good = model.column(lambda n: F.col("_docloom_stats")[n]) >= threshold
+    return rows.where(good & (F.col("_docloom_row") >= 0)).drop("_docloom_stats", "_docloom_row")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
