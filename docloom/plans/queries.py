@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from docloom.config import Config
 from docloom.functions import text as tx
 from docloom.functions import vectors as vx
 from docloom.operators import chunking, cleaning, formatting, markdown, search, tags
+from docloom.operators.kernels import kernel
 from docloom.plans import answer, fixtures, ingest, store
 from docloom.plans.fixtures import frame, values
 from docloom.sources import files
@@ -124,6 +128,14 @@ def doc_summary(spark, sf):
 
 
 MD = values(fixtures.MARKDOWN, "doc_id, md")
+#: The literal texts, and all documents under headings of their source, language and number.
+MD_ALL = f"(SELECT * FROM {MD} UNION ALL SELECT CAST(doc_id AS VARCHAR), '# ' || source || chr(10) || '## ' || lang || chr(10) || text || chr(10) || '### Number ' || doc_id || chr(10) || 'end' FROM documents)"
+
+
+def headed(spark, sf):
+    m = frame(spark, fixtures.MARKDOWN, "doc_id string, md string")
+    page = F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n"), "text", F.lit("\n### Number "), F.col("doc_id").cast("string"), F.lit("\nend"))
+    return m.unionByName(table(spark, sf, "documents").select(F.col("doc_id").cast("string"), page.alias("md")))
 
 
 @query(f"SELECT doc_id, coalesce(nullif(trim(regexp_extract(md, '(?m)^#\\s+(.+)$', 1)), ''), 'Untitled') AS title FROM {MD} UNION ALL SELECT CAST(doc_id AS VARCHAR), coalesce(nullif(trim(regexp_extract(text, '(?m)^#\\s+(.+)$', 1)), ''), 'Untitled') FROM documents")
@@ -133,9 +145,9 @@ def title_extract(spark, sf):
     return m.unionByName(d).select("doc_id", tx.title_of(F.col("md")).alias("title"))
 
 
-@query(f"SELECT doc_id, CAST(i AS INTEGER) AS pos, CAST(length(regexp_extract(h, '^(#+)', 1)) AS INTEGER) AS level, trim(regexp_extract(h, '^#+[ \\t]+(.+)$', 1)) AS title FROM (SELECT doc_id, unnest(hs) AS h, unnest(range(1, len(hs) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(md, '(?m)^#{{2,3}}[ \\t]+.+$') AS hs FROM {MD}))")
+@query(f"SELECT doc_id, CAST(i AS INTEGER) AS pos, CAST(length(regexp_extract(h, '^(#+)', 1)) AS INTEGER) AS level, trim(regexp_extract(h, '^#+[ \\t]+(.+)$', 1)) AS title FROM (SELECT doc_id, unnest(hs) AS h, unnest(range(1, len(hs) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(md, '(?m)^#{{2,3}}[ \\t]+.+$') AS hs FROM {MD_ALL}))")
 def section_outline(spark, sf):
-    m = frame(spark, fixtures.MARKDOWN, "doc_id string, md string")
+    m = headed(spark, sf)
     return m.select("doc_id", F.posexplode(tx.outline(F.col("md"))).alias("p", "s")).select("doc_id", (F.col("p") + 1).alias("pos"), "s.level", "s.title")
 
 
@@ -156,7 +168,7 @@ def section_lines(md: DataFrame) -> DataFrame:
 
 @query(
     f"""
-WITH lines AS (SELECT doc_id, unnest(ls) AS text, unnest(range(len(ls))) AS line FROM (SELECT doc_id, string_split(md, chr(10)) AS ls FROM {MD})),
+WITH lines AS (SELECT doc_id, unnest(ls) AS text, unnest(range(len(ls))) AS line FROM (SELECT doc_id, string_split(md, chr(10)) AS ls FROM {MD_ALL})),
 marked AS (SELECT *, length(regexp_extract(text, '^(#{{1,3}})\\s+.+$', 1)) AS level, regexp_extract(text, '^#{{1,3}}\\s+(.+)$', 1) AS head FROM lines),
 w AS (SELECT *, max(CASE WHEN level = 1 THEN line END) OVER u AS at1, max(CASE WHEN level = 2 THEN line END) OVER u AS at2, max(CASE WHEN level = 3 THEN line END) OVER u AS at3,
   last_value(CASE WHEN level = 1 THEN head END IGNORE NULLS) OVER u AS h1, last_value(CASE WHEN level = 2 THEN head END IGNORE NULLS) OVER u AS b2, last_value(CASE WHEN level = 3 THEN head END IGNORE NULLS) OVER u AS b3
@@ -165,15 +177,16 @@ p AS (SELECT doc_id, line, text, h1, list_filter([h1, CASE WHEN at2 > coalesce(a
 SELECT doc_id, CAST(line AS INTEGER) AS line, text, array_to_string(CASE WHEN len(hs) = 0 THEN ['General'] WHEN h1 IS NOT NULL AND len(hs) > 1 THEN hs[2:] ELSE hs END, '/') AS path FROM p"""
 )
 def section_path_windows(spark, sf):
-    return section_lines(frame(spark, fixtures.MARKDOWN, "doc_id string, md string")).withColumn("path", F.array_join("path", "/"))
+    return section_lines(headed(spark, sf)).withColumn("path", F.array_join("path", "/"))
 
 
 _REF = tx.REFERENCE_TITLE.replace(r"\b)|", r"\b)|").replace("'", "''")
 
 
-@query(f"SELECT id, title, regexp_matches(title, '{_REF}') AS is_reference FROM {values(fixtures.TITLES, 'id, title')}")
+@query(f"SELECT id, title, regexp_matches(title, '{_REF}') AS is_reference FROM (SELECT CAST(id AS BIGINT) AS id, title FROM {values(fixtures.TITLES, 'id, title')} UNION ALL SELECT 1000 + item_id, text FROM benchmark)")
 def reference_title(spark, sf):
-    return frame(spark, fixtures.TITLES, "id int, title string").select("id", "title", tx.is_reference_title(F.col("title")).alias("is_reference"))
+    titles = frame(spark, fixtures.TITLES, "id bigint, title string").unionByName(table(spark, sf, "benchmark").select((F.col("item_id") + 1000).alias("id"), _text().alias("title")))
+    return titles.select("id", "title", tx.is_reference_title(F.col("title")).alias("is_reference"))
 
 
 @query()
@@ -193,11 +206,6 @@ def chunk_documents(spark, sf):
     return chunking.chunk_documents(d.unionByName(m)).drop("metadata")
 
 
-@query()
-def sentence_split(spark, sf):
-    return texts(spark, sf).select("doc_id", F.posexplode(chunking.sentences_column(_text())).alias("pos", "sentence"))
-
-
 @query()
 def paragraph_split(spark, sf):
     return texts(spark, sf).select("doc_id", F.posexplode(chunking.split_paragraphs_column(_text(), F.lit(2000))).alias("pos", "part"))
@@ -210,6 +218,154 @@ def line_overlap(spark, sf):
     return rows.select("doc_id", "line", F.concat(F.regexp_extract(before, r"([^ \t]{0,64})$", 1), F.col("l")).alias("text"))
 
 
+# -- single steps
+
+
+def line_step(fn: Callable[[list[str]], list[str]]) -> Callable[..., Column]:
+    """A step over a text's lines as a column function."""
+    return kernel(lambda t: None if t is None else "\n".join(fn(t.split("\n"))), T.StringType())
+
+
+#: Documents with lines that the markdown steps change, the same in Spark and SQL.
+_NOTES = "(SELECT doc_id, coalesce(text, '') || chr(10) || chr(10) || 'Notes on ' || coalesce(source, '') || chr(10) || '1) first ' || doc_id || chr(10) || '  * second  ' || chr(10) || 'b. third' || chr(10) || '| a|' || coalesce(lang, '') || ' |' || chr(10) || 'see https://a.org/' || doc_id || '. or (http://b.org/x)' || chr(10) || '*open' AS t FROM documents)"
+
+
+def notes(spark, sf):
+    c = lambda x: F.coalesce(x, F.lit(""))
+    i = F.col("doc_id").cast("string")
+    added = F.concat(F.lit("\n\nNotes on "), c(F.col("source")), F.lit("\n1) first "), i, F.lit("\n  * second  \nb. third\n| a|"), c(F.col("lang")), F.lit(" |\nsee https://a.org/"), i, F.lit(". or (http://b.org/x)\n*open"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(c(_text()), added).alias("t"))
+
+
+_LINES = f"(SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM {_NOTES}))"
+_ROW = "(length(trim(l)) > 1 AND trim(l) LIKE '|%|')"
+_MARKED = r"regexp_matches(l, '^\s*(\d+[.)]|[a-zA-Z][.)]|[•·*+\-])\s+')"
+
+
+def by_line(sql: str) -> str:
+    """Each line by an expression over l, put together again."""
+    return f"SELECT doc_id, string_agg({sql}, chr(10) ORDER BY i) AS text FROM {_LINES} GROUP BY doc_id"
+
+
+@query(by_line(rf"CASE WHEN {_MARKED} THEN regexp_extract(l, '^(\s*)', 1) || CASE WHEN regexp_matches(l, '^\s*\d') THEN regexp_extract(l, '^\s*(\d+)', 1) || '.' WHEN regexp_matches(l, '^\s*[a-zA-Z]') THEN regexp_extract(l, '^\s*([a-zA-Z])', 1) || ')' ELSE '-' END || ' ' || regexp_replace(regexp_replace(l, '^\s*(\d+[.)]|[a-zA-Z][.)]|[•·*+\-])\s+', ''), '\s+$', '') ELSE l END"))
+def list_markers(spark, sf):
+    return notes(spark, sf).select("doc_id", line_step(markdown.unify_lists)(F.col("t")).alias("text"))
+
+
+@query(by_line("CASE WHEN contains(l, '`') THEN l ELSE regexp_replace(l, '(^|[^\\])])(https?://[^\\s)\\]`]*[^\\s)\\].,;:!?''\"`])', '\\1[\\2](\\2)', 'gi') END"))
+def link_addresses(spark, sf):
+    return notes(spark, sf).select("doc_id", line_step(markdown.link_urls)(F.col("t")).alias("text"))
+
+
+@query(by_line(f"CASE WHEN {_ROW} THEN '| ' || array_to_string(list_transform(string_split(trim(trim(l), '|'), '|'), lambda c: trim(c)), ' | ') || ' |' ELSE l END"))
+def table_alignment(spark, sf):
+    return notes(spark, sf).select("doc_id", line_step(markdown.align_tables)(F.col("t")).alias("text"))
+
+
+@query(
+    rf"""SELECT doc_id, string_agg(CASE WHEN trim(coalesce(before, '')) = '' AND trim(l) <> '' AND length(trim(l)) <= 80 AND trim(l) NOT LIKE '>%' AND NOT {_ROW} AND NOT {_MARKED}
+  AND NOT regexp_matches(trim(l), '^#{{1,6}}\s') AND NOT regexp_matches(trim(l), '[.!?;:]') AND NOT regexp_matches(l, '^\s*(-(\s*-){{2,}}|=(\s*=){{2,}}|_(\s*_){{2,}}|\*(\s*\*){{2,}})\s*$') THEN '## ' || trim(l) ELSE l END, chr(10) ORDER BY i) AS text
+FROM (SELECT *, lag(l) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM {_LINES}) GROUP BY doc_id"""
+)
+def heading_promotion(spark, sf):
+    return notes(spark, sf).select("doc_id", line_step(markdown.promote_headings)(F.col("t")).alias("text"))
+
+
+@query(f"SELECT doc_id, t || CASE WHEN list_sum(list_transform(r, lambda x: length(x) // 2)) % 2 = 1 THEN chr(10) || chr(10) || '**' ELSE '' END || CASE WHEN len(list_filter(r, lambda x: length(x) = 1)) % 2 = 1 THEN chr(10) || chr(10) || '*' ELSE '' END AS text FROM (SELECT doc_id, t, regexp_extract_all(t, '\\*+') AS r FROM {_NOTES})")
+def emphasis_repair(spark, sf):
+    return notes(spark, sf).select("doc_id", kernel(lambda t: None if t is None else markdown.close_emphasis(t), T.StringType())(F.col("t")).alias("text"))
+
+
+_ABBREVIATIONS = ", ".join(f"'{w}'" for w in sorted(chunking.ABBREVIATIONS))
+
+
+@query(
+    rf"""
+WITH t AS (SELECT doc_id, text, length(text) - length(regexp_extract(text, '[^。！？]*$')) AS z FROM {TEXTS}),
+spots AS (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM t),
+stops AS (SELECT *, substr(text, i, 1) AS c, regexp_extract(substr(text, CAST(greatest(z + 1, i - 64) AS BIGINT), CAST(i - greatest(z + 1, i - 64) AS BIGINT)), '([A-Za-z]+(?:\.[A-Za-z]+)*)\s*$', 1) AS w FROM spots WHERE substr(text, i, 1) IN ('.', '。', '！', '？')),
+cuts AS (SELECT doc_id, text, i FROM stops WHERE c <> '.' OR (i > z AND NOT (regexp_matches(substr(text, i - 1, 1), '^[0-9]$') AND i > 1 AND regexp_matches(substr(text, i + 1, 1), '^[0-9]$')) AND lower(w) NOT IN ({_ABBREVIATIONS}) AND replace(lower(w), '.', '') NOT IN ({_ABBREVIATIONS}))
+  UNION ALL SELECT doc_id, text, length(text) FROM t),
+pieces AS (SELECT doc_id, i, trim(substr(text, CAST(coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), 0) + 1 AS BIGINT), CAST(i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), 0) AS BIGINT)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS sentence FROM cuts)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, sentence FROM pieces WHERE sentence <> ''"""
+)
+def sentence_split(spark, sf):
+    return texts(spark, sf).select("doc_id", F.posexplode(chunking.sentences_column(_text())).alias("pos", "sentence"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '## ' || coalesce(source, '') ELSE '### ' || coalesce(lang, '') || chr(10) || chr(10) || '### ' || coalesce(source, '') END AS header FROM documents")
+def section_header(spark, sf):
+    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
+    path = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("General"))).when(F.col("doc_id") % 3 == 1, F.array(source)).otherwise(F.array(lang, source))
+    return table(spark, sf, "documents").select("doc_id", tx.section_header(path).alias("header"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(string_split('# ' || source || ' and more' || chr(10) || text || chr(10) || '# other', chr(10)), lambda x: NOT (regexp_matches(x, '^\\s*#\\s') AND starts_with(ltrim(x), '# ' || source))), chr(10)) AS text FROM documents")
+def duplicate_title(spark, sf):
+    page = F.concat(F.lit("# "), "source", F.lit(" and more\n"), "text", F.lit("\n# other"))
+    return table(spark, sf, "documents").select("doc_id", tx.drop_duplicate_title(page, F.col("source")).alias("text"))
+
+
+@query("SELECT doc_id, array_to_string(list_slice(ls, greatest(len(ls) - 10, 0) + 1, len(ls)), chr(10)) AS lines FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)")
+def last_lines(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.last_lines(_text()).alias("lines"))
+
+
+@query("SELECT doc_id, concat_ws(chr(10), CASE WHEN n_chars > 0 THEN '- **Words:** ' || n_chars END, chr(10) || '- **Sections:**' || chr(10) || '1. **' || lang || '**' || chr(10) || '2.   **' || source || '**') AS block FROM documents")
+def metadata_block(spark, sf):
+    part = lambda level, title: F.struct(F.lit(level).alias("level"), F.col(title).alias("title"))
+    return table(spark, sf, "documents").select("doc_id", tx.metadata_block(F.col("n_chars"), F.array(part(2, "lang"), part(4, "source"))).alias("block"))
+
+
+@query("SELECT conv_id, turn, coalesce(string_agg(coalesce(text, '') || ' ', '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS so_far FROM conversations")
+def running_summary(spark, sf):
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("part"), F.col("text").alias("summary"))
+    return formatting.running_summary(c).select(F.col("doc_id").alias("conv_id"), F.col("part").alias("turn"), "so_far")
+
+
+@query("SELECT item_id, 'Find passages that answer this question: ' || text AS asked FROM benchmark")
+def question_instruction(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", vx.with_instruction(_text(), Config().query_instruction).alias("asked"))
+
+
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 3 END AS INTEGER) AS size, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE CAST(doc_id % 1000 + n_chars % 1000 AS DOUBLE) + 0.5 END AS total FROM documents")
+def vector_of_text(spark, sf):
+    i = F.col("doc_id")
+    shown = F.concat_ws(",", F.when(i % 5 == 0, "x").otherwise((i % 1000).cast("string")), F.concat(F.lit(" "), (F.col("n_chars") % 1000).cast("string")), F.lit("0.5"))
+    v = vx.parsed_vector(shown)
+    return table(spark, sf, "documents").select("doc_id", F.size(v).alias("size"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"))
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS size FROM embeddings")
+def checked_vectors(spark, sf):
+    e = table(spark, sf, "embeddings")
+    dim = e.where("embedding IS NOT NULL").select(F.size("embedding")).first()[0]
+    return e.select("vec_id", F.when(F.col("embedding").isNotNull(), F.size(vx.checked_vector(F.col("embedding"), dim))).alias("size"))
+
+
+_RULED = "coalesce(text, '') || chr(10) || '[Edit]' || chr(10) || 'kept[12] ' || doc_id || chr(10) || 'Retrieved from there' || chr(10) || 'Jump to search'"
+
+
+@query(f"SELECT doc_id, {'regexp_replace(' * 5}{_RULED}, '(?im)^\\[(?:edit|citation needed)\\]$', '', 'g'), '\\[\\d+\\]', '', 'g'), '(?m)^Jump to (?:navigation|search)$', '', 'g'), '(?m)^Retrieved from .*$', '', 'g'), '(?m)^This page was last (?:edited|modified) on .*$', '', 'g') AS text FROM documents")
+def custom_rules(spark, sf):
+    ruled = F.concat(F.coalesce(_text(), F.lit("")), F.lit("\n[Edit]\nkept[12] "), F.col("doc_id").cast("string"), F.lit("\nRetrieved from there\nJump to search"))
+    rules = cleaning.load_rules(Path(__file__).resolve().parents[2] / "conf" / "clean_rules.yaml")
+    return table(spark, sf, "documents").select("doc_id", cleaning.apply_rules(ruled, rules).alias("text"))
+
+
+@query(rf"SELECT doc_id, name FROM (SELECT doc_id, unnest(regexp_extract_all(substr(text, 1, 5000), '[\x{{4E00}}-\x{{9FFF}}]+')) AS name FROM {TEXTS}) WHERE length(name) BETWEEN 2 AND 16")
+def cjk_names(spark, sf):
+    return texts(spark, sf).select("doc_id", F.explode(tags.cjk_names(_text())).alias("name"))
+
+
+@query(
+    rf"""SELECT doc_id, token, count(*) AS freq FROM (SELECT doc_id, unnest(list_concat(list_transform(list_filter(string_split_regex(text, '[\s\x0b]+'), lambda w: length(w) > 1), lambda w: lower(w)),
+  flatten(list_transform(regexp_extract_all(text, '[\x{{4E00}}-\x{{9FFF}}]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))))) AS token FROM {TEXTS}) GROUP BY ALL"""
+)
+def cjk_token_freq(spark, sf):
+    return tags.token_counts(texts(spark, sf), tags.cjk_tokens(_text())).select("doc_id", "token", "freq")
+
+
 # -- tags and entities
 
 
@@ -613,10 +769,10 @@ def markdown_files(spark, sf):
     return ingest.to_markdown(_as_files(spark, sf))
 
 
-@query()
+@query("SELECT conv_id, turn, '{\"title\": \"t\", \"body\": ' || CAST(to_json(text) AS VARCHAR) || '}' AS reply FROM conversations")
 def json_repair(spark, sf):
     c = table(spark, sf, "conversations")
-    raw = F.concat(F.lit('```json\n{"title": "t", "body": "'), F.regexp_replace("text", r"\n", r"\\\\n"), F.lit('"}\n```'))
+    raw = F.concat(F.lit('```json\n{"title": "t", "body": "'), F.regexp_replace("text", r"\n", r"\\n"), F.lit('"}\n```'))
     return c.select("conv_id", "turn", formatting.parsed_json_column(raw).alias("reply"))
 
 
@@ -624,6 +780,4 @@ def json_repair(spark, sf):
 def answer_questions(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), _text(), F.col("doc_id").cast("string").alias("source_doc_id"), F.array("lang").alias("section_path"), tx.count_words(_text()).alias("word_count"), vx.hash_embedding(_text(), 64).cast("array<float>").alias("embedding"))
     rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_file"), F.col("source").alias("title"), F.substring(_text(), 1, 1000).alias("text_summary"), vx.hash_embedding(_text(), 64).cast("array<float>").alias("embedding"))
-    from docloom.config import Config
-
     return answer.answer(asked(spark, sf), docs, rows, k=3, fetch_k=6, config=Config(embedding_mode="hash", embedding_dim=64)).withColumn("sources", F.array_join("sources", ","))
