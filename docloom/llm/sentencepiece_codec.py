@@ -34,7 +34,9 @@ DROPOUT = 0.1
 BLOCK = 1 << 20
 
 SPACE = "▁"
-_NONE = np.int64(1 << 40)
+_NONE = np.int32((1 << 31) - 1)
+#: Bits of the number of slots in the table of pairs.
+_SLOTS = 18
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -86,7 +88,7 @@ class Codec:
                 self.bytes_of.append(b"" if i in special else p.replace(SPACE, " ").encode())
         ids = {p: i for i, p in enumerate(pieces) if i not in special}
         order = np.unique(np.array([-sp.get_score(i) for i in range(len(pieces))]), return_inverse=True)[1]
-        self.symbol = -np.arange(0x110000) - 1
+        self.symbol = (-np.arange(0x110000) - 1).astype(np.int32)
         for p, i in ids.items():
             if len(p) == 1 and p != SPACE:
                 self.symbol[ord(p)] = i
@@ -94,33 +96,47 @@ class Codec:
         self.n = len(pieces)
         pairs = sorted((ids[p[:k]] * self.n + ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
         self.pair_key = np.array([k for k, _ in pairs], np.int64)
-        self.pair_to = np.array([i for _, i in pairs], np.int64)
-        self.rank = order.astype(np.int64)
-
-    def _candidates(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, at: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (or _NONE) and merged piece of each pair; key and at say which candidate it is."""
-        wanted = left * self.n + right
-        wanted[(left < 0) | (right < 0)] = -1
-        found = np.minimum(np.searchsorted(self.pair_key, wanted), len(self.pair_key) - 1)
-        to = self.pair_to[found]
-        ok = self.pair_key[found] == wanted
+        self.pair_to = np.array([i for _, i in pairs], np.int32)
+        self.rank = order.astype(np.int32)
+        # the first pair of each slot is found there, the others by binary search
+        slot, first, count = np.unique(self._slot(self.pair_key), return_index=True, return_counts=True)
+        self.slot_key, self.slot_to, self.slot_more = np.full(1 << _SLOTS, -1, np.int64), np.zeros(1 << _SLOTS, np.int32), np.zeros(1 << _SLOTS, bool)
+        self.slot_key[slot], self.slot_to[slot], self.slot_more[slot] = self.pair_key[first], self.pair_to[first], count > 1
+
+    @staticmethod
+    def _slot(pair: np.ndarray) -> np.ndarray:
+        return ((pair.astype(np.uint64) * _M1) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+    def _candidates(self, left: np.ndarray, right: np.ndarray, unit: np.ndarray, at: np.ndarray, key: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (or _NONE) and merged piece of each pair; its unit's key and its place say which candidate it is."""
+        wanted = left.astype(np.int64) * self.n + right
+        wanted[(left < 0) | (right < 0)] = -2
+        slot = self._slot(wanted)
+        ok, to = self.slot_key[slot] == wanted, self.slot_to[slot]
+        other = np.flatnonzero(~ok & self.slot_more[slot])
+        if len(other):
+            found = np.minimum(np.searchsorted(self.pair_key, wanted[other]), len(self.pair_key) - 1)
+            ok[other], to[other] = self.pair_key[found] == wanted[other], self.pair_to[found]
+        rank = np.full(len(to), _NONE)
+        some = np.flatnonzero(ok)
         if limit:
-            draw = _mix(key + (at.astype(np.uint64) * np.uint64(self.n) + to.astype(np.uint64) + np.uint64(1)) * _M1)
-            ok &= draw >= limit
-        return np.where(ok, self.rank[to], _NONE), to
+            draw = _mix(key[unit[some]] + (at[some].astype(np.uint64) * np.uint64(self.n) + to[some].astype(np.uint64) + np.uint64(1)) * _M1)
+            some = some[draw >= limit]
+        rank[some] = self.rank[to[some]]
+        return rank, to
 
     def encode_units(self, points: np.ndarray, start: np.ndarray, salt: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units that begin at ``start``, one after the other, and their offsets; each draws under its salt."""
-        unit = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(points))))
+        unit = np.repeat(np.arange(len(start), dtype=np.int32), np.diff(np.append(start, len(points))))
         sym = self.symbol[points]
-        place = np.arange(len(points), dtype=np.int64) - start[unit]
+        place = (np.arange(len(points)) - start[unit]).astype(np.int32)
         name = np.add.reduceat(_mix(points.astype(np.uint64) * _M1 + place.astype(np.uint64) + np.uint64(1)), start) if len(start) else np.zeros(0, np.uint64)
         key = _mix(name + salt)
         limit = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
 
-        rank, to = np.full(len(sym), _NONE), np.zeros(len(sym), np.int64)
+        rank, to = np.full(len(sym), _NONE), np.zeros(len(sym), np.int32)
         same = np.flatnonzero(unit[:-1] == unit[1:])
-        rank[same], to[same] = self._candidates(sym[same], sym[same + 1], key[unit[same]], place[same], limit)
+        rank[same], to[same] = self._candidates(sym[same], sym[same + 1], unit[same], place[same], key, limit)
         ended = [(sym[:0], unit[:0], place[:0])]
         while len(sym):
             begin = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
@@ -148,9 +164,9 @@ class Codec:
             rank[now] = _NONE
             redo = redo[redo + 1 < len(sym)]
             redo = redo[unit[redo] == unit[redo + 1]]
-            rank[redo], to[redo] = self._candidates(sym[redo], sym[redo + 1], key[unit[redo]], place[redo], limit)
+            rank[redo], to[redo] = self._candidates(sym[redo], sym[redo + 1], unit[redo], place[redo], key, limit)
         sym, unit, place = (np.concatenate(x) for x in zip(*ended, strict=True))
-        order = np.lexsort((place, unit))
+        order = np.argsort(unit.astype(np.int64) * len(points) + place, kind="stable")  # merges what each round ended
         sym, unit = sym[order], unit[order]
         if (odd := sym < 0).any():  # bytes in place of characters without a piece
             widths = np.ones(len(sym), np.int64)
