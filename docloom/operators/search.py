@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +68,8 @@ def vector_search_many(index: DataFrame, queries: DataFrame, k: int = 10, id_col
     """query_id, id, distance, rank of the k nearest rows for every query (query_id, vector).
 
     A block of at most ``block`` query vectors goes to every task, which keeps k rows a query of its
-    partition; only those meet in the shuffle. Further blocks are further passes over the index.
+    partition; only those meet in the shuffle. Further blocks are further passes over the index, each
+    written out, so a plan holds one block only.
     """
     ship(index.sparkSession)
     n = queries.count()
@@ -83,15 +85,20 @@ def vector_search_many(index: DataFrame, queries: DataFrame, k: int = 10, id_col
         names = held.column(0).combine_chunks()
         vectors = np.array([np.array(v, float) for v in held.column(1).to_pylist()])
         lengths = np.linalg.norm(vectors, axis=1)
-        near = slim.mapInArrow(_nearest(names, vectors, lengths, k), f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kind}, distance double")
+        sent = index.sparkSession.sparkContext.broadcast((names, vectors, lengths))
+        near = slim.mapInArrow(_nearest(sent, k), f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kind}, distance double")
+        if blocks > 1:
+            near = library.written(top(near, k, F.col("distance"), F.col("id")).drop("rank"), "nearest")
+            sent.destroy()
         found = near if found is None else found.unionByName(near)
     if found is None:
         return index.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kind}, distance double, rank int")
     return top(found, k, F.col("distance"), F.col("id"))
 
 
-def _nearest(names: pa.Array, vectors: np.ndarray, lengths: np.ndarray, k: int):
+def _nearest(sent: Broadcast, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors, lengths = sent.value
         for batch in batches:
             d = vectors.shape[1]
             rows = batch.column(1)

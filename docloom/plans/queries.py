@@ -95,7 +95,7 @@ def token_estimate(spark, sf):
 _SP = r"[ \t\n\r\f\x0b]"
 
 
-@query(
+CLEANED = (
     f"""
 WITH control AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS t FROM {TEXTS}),
 kept AS (SELECT doc_id, array_to_string(list_filter(string_split(CASE WHEN t LIKE '%' || chr(10) THEN t[:-2] ELSE t END, chr(10)),
@@ -103,18 +103,22 @@ kept AS (SELECT doc_id, array_to_string(list_filter(string_split(CASE WHEN t LIK
 spaced AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[\\t\\x0b\\f]+', ' ', 'g'), ' +(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM kept)
 SELECT doc_id, regexp_replace(regexp_replace(t, '^{_SP}+', ''), '{_SP}+$', '') AS text FROM spaced"""
 )
+
+
+@query(CLEANED)
 def clean_text(spark, sf):
     return texts(spark, sf).select("doc_id", tx.clean(_text()).alias("text"))
 
 
-@query()
+#: A table whose third row has a cell less, which goes into the last cell of the row above.
+_TABLE = "| a | b |\n|---|---|\n| x | y |\n| more |\n\nend"
+
+
+@query(f"SELECT doc_id, text || chr(10) || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| x | y more |' || chr(10) || chr(10) || 'end' AS text FROM ({CLEANED}) WHERE text <> '' UNION ALL SELECT doc_id, '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| x | y more |' || chr(10) || chr(10) || 'end' FROM ({CLEANED}) WHERE text = ''")
 def clean_with_tables(spark, sf):
-    return texts(spark, sf).select("doc_id", cleaning.clean_text(_text()).alias("text"))
+    return texts(spark, sf).select("doc_id", cleaning.clean_text(F.concat(F.coalesce(_text(), F.lit("")), F.lit("\n\n" + _TABLE))).alias("text"))
 
 
-@query()
-def normalize_markdown(spark, sf):
-    return texts(spark, sf).select("doc_id", markdown.normalize_column(_text()).alias("markdown"))
 
 
 # -- structure
@@ -189,11 +193,18 @@ def reference_title(spark, sf):
     return titles.select("id", "title", tx.is_reference_title(F.col("title")).alias("is_reference"))
 
 
-@query()
+_CITED = f"(SELECT doc_id, md || chr(10) || '## References' || chr(10) || '1. x' || chr(10) || '### Sub' || chr(10) || 'y' || chr(10) || '## After' || chr(10) || 'z' AS t FROM {MD_ALL} WHERE md IS NOT NULL)"
+
+
+@query(
+    f"""WITH ls AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM {_CITED})),
+heads AS (SELECT *, length(regexp_extract(l, '^(#{{1,6}})\\s+.+$', 1)) AS level, trim(regexp_extract(l, '^#{{1,6}}\\s+(.+)$', 1)) AS title FROM ls WHERE regexp_matches(l, '^#{{1,6}}\\s+.+$')),
+refs AS (SELECT r.doc_id, r.i, min(h.i) AS until FROM heads r LEFT JOIN heads h ON h.doc_id = r.doc_id AND h.i > r.i AND h.level <= r.level WHERE regexp_matches(r.title, '{_REF}') GROUP BY r.doc_id, r.i)
+SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS md FROM ls WHERE NOT EXISTS (SELECT 1 FROM refs WHERE refs.doc_id = ls.doc_id AND ls.i >= refs.i AND (until IS NULL OR ls.i < until)) GROUP BY doc_id"""
+)
 def strip_references(spark, sf):
-    m = frame(spark, fixtures.MARKDOWN, "doc_id string, md string")
-    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string"), _text().alias("md"))
-    return m.unionByName(d).select("doc_id", markdown.strip_references_column(F.col("md")).alias("md"))
+    page = F.concat("md", F.lit("\n## References\n1. x\n### Sub\ny\n## After\nz"))
+    return headed(spark, sf).where("md IS NOT NULL").select("doc_id", markdown.strip_references_column(page).alias("md"))
 
 
 # -- chunking
@@ -237,41 +248,65 @@ def notes(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.concat(c(_text()), added).alias("t"))
 
 
-_LINES = f"(SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM {_NOTES}))"
+def lines(source: str) -> str:
+    return f"(SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM {source}))"
+
+
 _ROW = "(length(trim(l)) > 1 AND trim(l) LIKE '|%|')"
 _MARKED = r"regexp_matches(l, '^\s*(\d+[.)]|[a-zA-Z][.)]|[•·*+\-])\s+')"
 
 
-def by_line(sql: str) -> str:
+def by_line(sql: str, source: str = _NOTES) -> str:
     """Each line by an expression over l, put together again."""
-    return f"SELECT doc_id, string_agg({sql}, chr(10) ORDER BY i) AS text FROM {_LINES} GROUP BY doc_id"
+    return f"SELECT doc_id, string_agg({sql}, chr(10) ORDER BY i) AS text FROM {lines(source)} GROUP BY doc_id"
+
+
+_LISTED = rf"CASE WHEN {_MARKED} THEN regexp_extract(l, '^(\s*)', 1) || CASE WHEN regexp_matches(l, '^\s*\d') THEN regexp_extract(l, '^\s*(\d+)', 1) || '.' WHEN regexp_matches(l, '^\s*[a-zA-Z]') THEN regexp_extract(l, '^\s*([a-zA-Z])', 1) || ')' ELSE '-' END || ' ' || regexp_replace(regexp_replace(l, '^\s*(\d+[.)]|[a-zA-Z][.)]|[•·*+\-])\s+', ''), '\s+$', '') ELSE l END"
+_LINKED = "CASE WHEN contains(l, '`') THEN l ELSE regexp_replace(l, '(^|[^\\])])(https?://[^\\s)\\]`]*[^\\s)\\].,;:!?''\"`])', '\\1[\\2](\\2)', 'gi') END"
+_ALIGNED = f"CASE WHEN {_ROW} THEN '| ' || array_to_string(list_transform(string_split(trim(trim(l), '|'), '|'), lambda c: trim(c)), ' | ') || ' |' ELSE l END"
+
+
+def promoted(source: str) -> str:
+    return rf"""SELECT doc_id, string_agg(CASE WHEN trim(coalesce(before, '')) = '' AND trim(l) <> '' AND length(trim(l)) <= 80 AND trim(l) NOT LIKE '>%' AND NOT {_ROW} AND NOT {_MARKED}
+  AND NOT regexp_matches(trim(l), '^#{{1,6}}\s') AND NOT regexp_matches(trim(l), '[.!?;:]') AND NOT regexp_matches(l, '^\s*(-(\s*-){{2,}}|=(\s*=){{2,}}|_(\s*_){{2,}}|\*(\s*\*){{2,}})\s*$') THEN '## ' || trim(l) ELSE l END, chr(10) ORDER BY i) AS text
+FROM (SELECT *, lag(l) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM {lines(source)}) GROUP BY doc_id"""
 
 
-@query(by_line(rf"CASE WHEN {_MARKED} THEN regexp_extract(l, '^(\s*)', 1) || CASE WHEN regexp_matches(l, '^\s*\d') THEN regexp_extract(l, '^\s*(\d+)', 1) || '.' WHEN regexp_matches(l, '^\s*[a-zA-Z]') THEN regexp_extract(l, '^\s*([a-zA-Z])', 1) || ')' ELSE '-' END || ' ' || regexp_replace(regexp_replace(l, '^\s*(\d+[.)]|[a-zA-Z][.)]|[•·*+\-])\s+', ''), '\s+$', '') ELSE l END"))
+def closed(source: str) -> str:
+    return f"SELECT doc_id, t || CASE WHEN list_sum(list_transform(r, lambda x: length(x) // 2)) % 2 = 1 THEN chr(10) || chr(10) || '**' ELSE '' END || CASE WHEN len(list_filter(r, lambda x: length(x) = 1)) % 2 = 1 THEN chr(10) || chr(10) || '*' ELSE '' END AS text FROM (SELECT doc_id, t, regexp_extract_all(t, '\\*+') AS r FROM {source})"
+
+
+def then(sql: str) -> str:
+    """A step's result as the source of the next."""
+    return f"(SELECT doc_id, text AS t FROM ({sql}))"
+
+
+@query(by_line(_LISTED))
 def list_markers(spark, sf):
     return notes(spark, sf).select("doc_id", line_step(markdown.unify_lists)(F.col("t")).alias("text"))
 
 
-@query(by_line("CASE WHEN contains(l, '`') THEN l ELSE regexp_replace(l, '(^|[^\\])])(https?://[^\\s)\\]`]*[^\\s)\\].,;:!?''\"`])', '\\1[\\2](\\2)', 'gi') END"))
+@query(by_line(_LINKED))
 def link_addresses(spark, sf):
     return notes(spark, sf).select("doc_id", line_step(markdown.link_urls)(F.col("t")).alias("text"))
 
 
-@query(by_line(f"CASE WHEN {_ROW} THEN '| ' || array_to_string(list_transform(string_split(trim(trim(l), '|'), '|'), lambda c: trim(c)), ' | ') || ' |' ELSE l END"))
+@query(by_line(_ALIGNED))
 def table_alignment(spark, sf):
     return notes(spark, sf).select("doc_id", line_step(markdown.align_tables)(F.col("t")).alias("text"))
 
 
-@query(
-    rf"""SELECT doc_id, string_agg(CASE WHEN trim(coalesce(before, '')) = '' AND trim(l) <> '' AND length(trim(l)) <= 80 AND trim(l) NOT LIKE '>%' AND NOT {_ROW} AND NOT {_MARKED}
-  AND NOT regexp_matches(trim(l), '^#{{1,6}}\s') AND NOT regexp_matches(trim(l), '[.!?;:]') AND NOT regexp_matches(l, '^\s*(-(\s*-){{2,}}|=(\s*=){{2,}}|_(\s*_){{2,}}|\*(\s*\*){{2,}})\s*$') THEN '## ' || trim(l) ELSE l END, chr(10) ORDER BY i) AS text
-FROM (SELECT *, lag(l) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM {_LINES}) GROUP BY doc_id"""
-)
+@query(promoted(_NOTES))
 def heading_promotion(spark, sf):
     return notes(spark, sf).select("doc_id", line_step(markdown.promote_headings)(F.col("t")).alias("text"))
 
 
-@query(f"SELECT doc_id, t || CASE WHEN list_sum(list_transform(r, lambda x: length(x) // 2)) % 2 = 1 THEN chr(10) || chr(10) || '**' ELSE '' END || CASE WHEN len(list_filter(r, lambda x: length(x) = 1)) % 2 = 1 THEN chr(10) || chr(10) || '*' ELSE '' END AS text FROM (SELECT doc_id, t, regexp_extract_all(t, '\\*+') AS r FROM {_NOTES})")
+@query(by_line(_ALIGNED, then(closed(then(by_line(_LINKED, then(by_line(_LISTED, then(promoted(_NOTES))))))))))
+def normalize_markdown(spark, sf):
+    return notes(spark, sf).select("doc_id", markdown.normalize_column(F.col("t")).alias("text"))
+
+
+@query(closed(_NOTES))
 def emphasis_repair(spark, sf):
     return notes(spark, sf).select("doc_id", kernel(lambda t: None if t is None else markdown.close_emphasis(t), T.StringType())(F.col("t")).alias("text"))
 
@@ -478,7 +513,7 @@ def near_sql(k: int, where: str = "TRUE") -> str:
 
 def near(spark, sf, k=10):
     e = table(spark, sf, "embeddings")
-    q = e.join(F.broadcast(table(spark, sf, "benchmark").select("item_id")), F.col("vec_id") == F.col("item_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    q = e.join(table(spark, sf, "benchmark").select("item_id"), F.col("vec_id") == F.col("item_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return search.vector_search_many(e, q, k, "vec_id").withColumn("distance", F.round("distance", 9))
 
 
@@ -564,7 +599,26 @@ def rerank_small(spark, sf):
     return search.rerank_lexical(candidates(spark, sf, 5)).select("query_id", "id", "rank")
 
 
-@query()
+def mmr_sql(k: int, balance: float = 0.7) -> str:
+    """k greedy choices among ranked candidates m (query_id, id, rank, score, e), one CTE each."""
+    steps = [f"p1 AS (SELECT query_id, id, score, e, 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {balance} * score DESC, old) AS n FROM m) WHERE n = 1)"]
+    for i in range(2, k + 1):
+        chosen = " UNION ALL ".join(f"SELECT * FROM p{j}" for j in range(1, i))
+        steps.append(f"""p{i} AS (SELECT query_id, id, score, e, {i} AS rank FROM (SELECT m.*, row_number() OVER (PARTITION BY m.query_id ORDER BY {balance} * m.score - {1 - balance:.1f} * c.closest DESC, m.old) AS n
+  FROM m JOIN (SELECT m.query_id, m.id, max(list_cosine_similarity(m.e, x.e)) AS closest FROM m JOIN ({chosen}) x USING (query_id) GROUP BY m.query_id, m.id) c ON c.query_id = m.query_id AND c.id = m.id
+  WHERE NOT EXISTS (SELECT 1 FROM ({chosen}) y WHERE y.query_id = m.query_id AND y.id = m.id)) WHERE n = 1)""")
+    return ",\n".join(steps) + "\nSELECT query_id, id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM (" + " UNION ALL ".join(f"SELECT * FROM p{j}" for j in range(1, k + 1)) + ")"
+
+
+@query(
+    BM25
+    + ", cand AS (SELECT query_id, id, rank AS old FROM hits WHERE rank <= 10),"
+    + LEX
+    + """, hashed AS (SELECT doc_id, list_transform(range(64), lambda i: CAST(('0x' || substr(h, 2 * (i % 32) + 1, 2)) AS INTEGER) / 255.0::DOUBLE * 2 - 1) AS e FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)),
+m AS (SELECT cand.query_id, cand.id, cand.old, CAST(lex.score AS DOUBLE) AS score, e FROM cand JOIN lex USING (query_id, id) JOIN hashed ON doc_id = cand.id),
+"""
+    + mmr_sql(4)
+)
 def mmr_rerank(spark, sf):
     c = candidates(spark, sf, 10).withColumn("embedding", vx.hash_embedding(_text(), 64))
     return search.mmr_rerank(c, 4).withColumn("score", F.round("score", 9))
@@ -764,6 +818,14 @@ def index_documents(spark, sf):
     return ingest.build_index(_as_files(spark, sf))[1].drop("embedding")
 
 
+@query(
+    f"""SELECT doc_id, name || CASE WHEN n > 0 THEN '-' || n ELSE '' END || '.md' AS file_name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id) - 1 AS n FROM
+  (SELECT CAST(doc_id AS VARCHAR) AS doc_id, substr(coalesce(nullif(trim(regexp_replace(coalesce(nullif(trim(regexp_extract(text, '(?m)^#\\s+(.+)$', 1)), ''), 'Untitled'), '[/\\\\:*?"<>|]', '_', 'g')), ''), 'untitled'), 1, 200) AS name FROM documents))"""
+)
+def markdown_names(spark, sf):
+    return ingest.to_markdown(_as_files(spark, sf)).select("doc_id", "file_name")
+
+
 @query()
 def markdown_files(spark, sf):
     return ingest.to_markdown(_as_files(spark, sf))

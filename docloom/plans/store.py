@@ -16,20 +16,24 @@ from pyspark.sql import functions as F
 
 from docloom.errors import StorageError
 from docloom.functions import text as tx
+from docloom.functions.vectors import checked_vector
 from docloom.operators.search import postings, text_index
 from docloom.schemas import CHUNKS, DOCUMENTS
 from docloom.staging import file_system, library
 
 
 def with_defaults(chunks: DataFrame, dim: int = 1024) -> DataFrame:
-    """Chunks in the index's schema: word counts anew, General and no entities as defaults, zeros for a missing vector."""
+    """Chunks in the index's schema: word counts anew, General and no entities as defaults, zeros for a missing vector.
+
+    A vector of another length than ``dim`` is an error.
+    """
     have = set(chunks.columns)
     col = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
     return chunks.select(
         F.xxhash64("source_doc_id", F.col("chunk_index").cast("int")).alias("id"),
         "text",
-        F.coalesce(col("embedding", "array<float>").cast("array<float>"), zeros).alias("embedding"),
+        F.coalesce(checked_vector(col("embedding", "array<float>").cast("array<float>"), dim), zeros).alias("embedding"),
         "source_doc_id",
         F.col("chunk_index").cast("int").alias("chunk_index"),
         F.coalesce(col("section_path", "array<string>"), F.array(F.lit("General"))).alias("section_path"),
@@ -166,7 +170,7 @@ class Index:
             F.substring("text_summary", 1, 1000).alias("text_summary"),
             "source_file",
             (F.col("total_chunks") if "total_chunks" in have else F.lit(0)).cast("int").alias("total_chunks"),
-            F.when(F.size(vector) > 0, vector).alias("embedding"),
+            F.when(F.size(vector) > 0, checked_vector(vector, self.dim)).alias("embedding"),
             F.current_timestamp().alias("created_at"),
         )
         return library.written(new, "new-documents")
