@@ -104,27 +104,6 @@ class Feistel:
         steps = F.sequence(F.lit(2), F.lit(self.walks))
         return F.aggregate(steps, self._once_col(x), lambda y, _: F.when(y < n, y).otherwise(self._once_col(y)))
 
-    def duckdb(self, x: str, table: str) -> str:
-        """A SELECT adding ``place`` to ``table`` (which has the BIGINT ``x``), for domains without a walk of many steps."""
-
-        def f(v: str, k: tuple[int, int, int]) -> str:
-            t = f"(({v} + {k[0]}) % {PRIME})"
-            t = f"({t} * {t} % {PRIME} * (({v} + {k[1]}) % {PRIME}) % {PRIME})"
-            t = f"(({t} * {t} + {k[2]}) % {PRIME})"
-            return f"({t} * (({t} + {k[0]}) % {PRIME}) % {PRIME})"
-
-        def once(src: str, out: str) -> str:
-            sql = f"SELECT *, {out} // {self.b} AS _l, {out} % {self.b} AS _r FROM {src}"
-            for i, k in enumerate(self.keys):
-                step = f"(_l + {f('_r', k)}) % {self.a} AS _l" if i % 2 == 0 else f"(_r + {f('_l', k)}) % {self.b} AS _r"
-                sql = f"SELECT * REPLACE ({step}) FROM ({sql})"
-            return f"SELECT * EXCLUDE (_l, _r) REPLACE (CASE WHEN _done THEN {out} ELSE _l * {self.b} + _r END AS {out}) FROM ({sql})"
-
-        sql = f"SELECT *, CAST({x} AS BIGINT) AS place, FALSE AS _done FROM {table}"
-        for _ in range(self.walks):
-            sql = f"SELECT * REPLACE (place < {self.n} AS _done) FROM ({once(f'({sql})', 'place')})"
-        return f"SELECT * EXCLUDE (_done) FROM ({sql})"
-
 
 def feistel(n: int, key: str) -> Feistel:
     """The permutation of [0, n) under ``key``."""

@@ -428,6 +428,46 @@ def test_mixing(spark, messy, none):
     assert mixing.mix(none).count() == 0
 
 
+def hashed(*parts):
+    """The plain form of Spark's xxhash64 of texts and longs."""
+    import xxhash
+
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else int(p).to_bytes(8, "little", signed=True), seed=h)
+    return h % (1 << 52) / float(1 << 52)
+
+
+def plain_fold(units, seed):
+    """The plain form of mixing.fold_units: (row_no, doc_id, size, p) each."""
+    left, done = units[0], []
+    for j in units[1:]:
+        i = left
+        up = (i[2] * (1 - i[3]), j[2] * j[3])
+        down = (i[2] * i[3], j[2] * (1 - j[3]))
+        to_i, to_j = min(up), min(down)
+        if hashed(seed, i[0], j[0]) * (to_i + to_j) < to_j:
+            ends, bit = up[0] <= up[1], (1, 0)
+            p_i, p_j = i[3] + to_i / i[2], j[3] - to_i / j[2]
+        else:
+            ends, bit = down[0] <= down[1], (0, 1)
+            p_i, p_j = i[3] - to_j / i[2], j[3] + to_j / j[2]
+        done.append((*i[:3], bit[0]) if ends else (*j[:3], bit[1]))
+        left = (*j[:3], p_j) if ends else (*i[:3], p_i)
+    return left, done
+
+
+def test_fold_equals_plain_python(spark):
+    rng = random.Random(8)
+    groups = [[(100 * g + n, 7 * n, rng.randint(1, 500), rng.choice((0.5, rng.random()))) for n in range(rng.choice((1, 2, 7, 64)))] for g in range(40)]
+    df = frame(spark, [(i, g) for i, g in enumerate(groups)], "g int, units array<struct<row_no:bigint,doc_id:bigint,size:bigint,p:double>>")
+    for r in df.select("g", mixing.fold_units(F.col("units")).alias("f")).collect():
+        left, done = plain_fold(groups[r["g"]], mixing.SEED)
+        assert tuple(r["f"]["left"]) == left and [tuple(x) for x in r["f"]["done"]] == done
+        mass = sum(n * p for _, _, n, p in groups[r["g"]])
+        assert left[2] * left[3] + sum(x[2] * x[3] for x in done) == pytest.approx(mass)  # mass is only moved
+
+
 # -- 9
 
 
@@ -622,6 +662,62 @@ def test_sentencepiece_draws_for_each_occurrence_document_and_copy(spark):
     assert a != b and c.decode(a) == c.decode(b)
 
 
+MASK = (1 << 64) - 1
+
+
+def mixed64(x):
+    """The plain form of sentencepiece_codec._mix."""
+    x &= MASK
+    x = (x ^ (x >> 30)) * int(sentencepiece_codec._M2) & MASK
+    x = (x ^ (x >> 27)) * int(sentencepiece_codec._M3) & MASK
+    return x ^ (x >> 31)
+
+
+def plain_pieces(c, text, key, dropout, seed):
+    """One text's ids by an agenda in plain Python."""
+    m1, m2, m3 = (int(x) for x in (sentencepiece_codec._M1, sentencepiece_codec._M2, sentencepiece_codec._M3))
+    merged = dict(zip(c.pair_key.tolist(), c.pair_to.tolist(), strict=True))
+    points = [ord(x) for x in " " + text] if text else []
+    begins = [i for i, p in enumerate(points) if i == 0 or p == 10 or points[i - 1] == 10 or p == 32 and points[i - 1] != 32]
+    limit = min(int(dropout * 2.0**64), 2**64 - 1)
+    base = mixed64(key * m3 + seed)
+    out = []
+    for u, (a, b) in enumerate(zip(begins, [*begins[1:], len(points)][: len(begins)], strict=True)):
+        name = sum(mixed64(p * m1 + i + 1) for i, p in enumerate(points[a:b]))
+        k = mixed64(name + mixed64(base + u * m2))
+        sym, place = [int(c.symbol[p]) for p in points[a:b]], [*range(b - a)]
+        while True:
+            best = None
+            for i in range(len(sym) - 1):
+                to = merged.get(sym[i] * c.n + sym[i + 1]) if min(sym[i], sym[i + 1]) >= 0 else None
+                if to is not None and mixed64(k + (place[i] * c.n + to + 1) * m1) >= limit and (best is None or int(c.rank[to]) < best[0]):
+                    best = (int(c.rank[to]), i, to)
+            if best is None:
+                break
+            _, i, to = best
+            sym[i : i + 2] = [to]
+            del place[i + 1]
+        for s in sym:
+            out += [s] if s >= 0 else [int(c.byte_id[x]) for x in chr(-s - 1).encode()]
+    return out
+
+
+def test_sentencepiece_equals_plain_python():
+    rng = random.Random(9)
+    c = sentencepiece_codec.codec(sentencepiece_codec.model_path())
+    words_ = ["international", "the", "unbelievable", "x", "  ", "\n", "naïve", "漢字", "😀", "▁", "12,345", "aaaaaaaaaaaa", "The"]
+    texts = ["", " ", "a"] + [" ".join(rng.choices(words_, k=rng.randint(1, 25))) for _ in range(60)]
+    for dropout, seed in ((0.0, 1), (0.1, 1), (0.5, 7)):
+        keys = [sentencepiece_codec.key_of(i, None, seed) for i in range(len(texts))]
+        got = c.encode(texts, keys, dropout, seed)
+        assert [x.tolist() for x in got] == [plain_pieces(c, t, k, dropout, seed) for t, k in zip(texts, keys, strict=True)]
+
+
+def test_sentencepiece_decodes_null_ids(spark):
+    rows = frame(spark, [(1, None), (2, []), (None, None)], "doc_id bigint, ids array<int>")
+    assert [r["text"] for r in sentencepiece_codec.decode_documents(rows).collect()] == ["", "", ""]
+
+
 # -- the pipeline
 
 
