@@ -17,7 +17,7 @@ from docloom.operators.kernels import kernel
 from docloom.plans import answer, fixtures, ingest, store
 from docloom.plans.fixtures import frame, values
 from docloom.sources import files
-from docloom.staging import library
+from docloom.staging import library, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,7 +43,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:

@@ -29,6 +29,20 @@ def file_system(spark: SparkSession, path: str):
     return kind(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), kind
 
 
+#: Inputs of up to so many bytes for each core are dealt out anew.
+SPREAD_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its files are small: one piece of a file (a row group) is read by one task.
+
+    Larger inputs have more pieces than there are cores, and are left as they are.
+    """
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    small = int(str(plan.optimizedPlan().stats().sizeInBytes())) <= cores * SPREAD_BYTES
+    return df.repartition(cores) if small and plan.toRdd().getNumPartitions() <= cores else df
+
+
 class Staging(threading.local):
     """The working tables that each thread has made; a run deletes its own only."""
 
