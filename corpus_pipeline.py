@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import stages, work
+from docloom.llm import stages
+from docloom.staging import shared_dir, spread
 
 STAGES = [
     ("quality classifier", stages.good_quality),
@@ -20,9 +23,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
-        path = work.new_path(spark, "stage-" + name.split()[0].lower())
+        # not among the working tables, which the next stage deletes
+        path = f"{shared_dir(spark)}/docloom/stage-{name.split()[0].lower()}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

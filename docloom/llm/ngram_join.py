@@ -53,6 +53,7 @@ from docloom.llm import work
 from docloom.llm.components import connected
 from docloom.llm.shingles import blocks, mix, shingle_sets
 from docloom.shipping import ship
+from docloom.staging import spread
 
 #: Bits of the number of counters (fixed size, whatever the input).
 COUNTERS = 23
@@ -583,4 +584,4 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: st
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: sets of 4-word shingles, links at Jaccard >= 0.85."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, num=85, den=100)
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), n=4, num=85, den=100)

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.feistel import feistel
+from docloom.staging import spread
 
 KEY = "spark.docloom.pii.key"
 _drawn = secrets.token_hex(32)
@@ -336,5 +337,5 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms in place of personal data: doc_id, text, the counts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text")
     return pseudonymise(docs)

@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.staging import spread
+
 MAX_TRAIN = 20_000
 THRESHOLD = 0.7
 TREES, DEPTH, BINS, RATE = 30, 3, 48, 0.3
@@ -253,6 +255,6 @@ def keep_good(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD, te
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents: doc_id, held_out, score, predicted."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.shipping import ship
+from docloom.staging import spread
 
 SEED = 1
 DROPOUT = 0.1
@@ -257,4 +258,4 @@ def decode_documents(encoded: DataFrame, model: str | None = None, id_col: str =
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with merge dropout and decoded again."""
-    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import work
 from docloom.llm.feistel import feistel
+from docloom.staging import spread
 
 SHARDS = 16
 SEED = "docloom-shards-1"
@@ -47,5 +48,5 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, id_col:
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into shards 0 to 15 under the law ``rows``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return shard_rows(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no")

@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 from docloom.llm import work
 from docloom.llm.shingles import blocks, mix
 from docloom.shipping import ship
+from docloom.staging import spread
 
 LENGTH = 200
 K = 48
@@ -542,4 +543,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated 200-byte strings: the digest of what is left."""
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
