@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from docloom.config import load_config
+from docloom.operators.cleaning import load_rules
 from docloom.plans import answer as answers
 from docloom.plans import ingest
 from docloom.plans.store import Index
@@ -38,7 +39,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     config = load_config(args.config)
     spark = spark or SparkSession.builder.appName("docloom").getOrCreate()
     if args.command == "chunk":
-        rows = ingest.chunk_files(read_documents(spark, args.path), config.chunk_size, config.chunk_overlap)
+        rules = load_rules(config.clean_rules) if config.clean_rules else None
+        rows = ingest.chunk_files(read_documents(spark, args.path), config.chunk_size, config.chunk_overlap, rules)
         for line in rows.toJSON().toLocalIterator():
             print(line)
         return 0

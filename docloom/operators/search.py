@@ -150,13 +150,14 @@ def bm25(index: DataFrame, queries: DataFrame, k: int | None = 10, compat: bool
     terms = F.transform(F.array(tx.query_terms(F.col("question"), compat)), lambda t: t)
     asked = queries.select("query_id", F.element_at(terms, 1).alias("terms")).select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = library.written(asked, "asked-terms")
-    met = library.written(postings(index, asked), "postings")
+    n, avgdl = corpus_stats(index).first()
+    tf, length = F.col("tf"), F.col("doc_len") / F.lit(avgdl or 1.0)
+    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
+    met = library.written(postings(index, asked).select("term", "id", weight.alias("w")), "postings")
     df = met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = df.crossJoin(F.broadcast(corpus_stats(index))).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighted = weighted.withColumn("idf", F.when(F.col("idf") <= 0, F.lit(1e-6)).otherwise(F.col("idf")))
-    tf, length = F.col("tf"), F.col("doc_len") / F.col("avgdl")
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
-    scored = met.join(weighted, "term").join(asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = asked.join(df, "term").select("query_id", "term", (F.col("times") * F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)).alias("q"))
+    scored = met.join(library.written(terms, "weighted-terms"), "term").groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("w")).alias("score"))
     scored = scored.withColumn("score", F.round("score", 9))
     return scored if k is None else top(scored, k, F.desc("score"), F.col("id"))
 
