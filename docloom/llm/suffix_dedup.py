@@ -544,3 +544,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated 200-byte strings: the digest of what is left."""
     return remove_repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 199)) AS p FROM d WHERE length(h) >= 400)),
+again AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS opens FROM w WHERE k IN (SELECT k FROM again)),
+numbered AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM r),
+spans AS (SELECT doc_id, span, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY doc_id, span),
+ends AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM d),
+kept AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS f FROM ends),
+rest AS (SELECT d.doc_id, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS x FROM kept JOIN d ON d.doc_id = kept.doc_id GROUP BY d.doc_id),
+cut AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM d JOIN rest ON rest.doc_id = d.doc_id LEFT JOIN cut ON cut.doc_id = d.doc_id
+"""
