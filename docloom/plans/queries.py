@@ -447,12 +447,14 @@ _ESC = r"regexp_escape(lower(e.name))"
 
 @query(
     f"""
-SELECT t.doc_id, e.name, regexp_matches(e.name, '{C}') AS cjk FROM {values(fixtures.CJK_TEXTS, 'doc_id, text')} t JOIN {values(fixtures.ENTITIES, 'doc_id, name')} e USING (doc_id)
-WHERE CASE WHEN regexp_matches(e.name, '{C}') THEN contains(lower(t.text), lower(e.name)) ELSE regexp_matches(lower(t.text), '\\b' || {_ESC} || '\\b') END"""
+SELECT t.doc_id, e.name, regexp_matches(e.name, '{C}') AS cjk FROM {TEXTS} t
+  JOIN (SELECT CAST(doc_id AS BIGINT) AS doc_id, name FROM {values(fixtures.ENTITIES, 'doc_id, name')} UNION ALL SELECT doc_id, unnest([lang, regexp_extract(text, '[A-Za-z]{{2,}}'), 'The']) FROM documents) e USING (doc_id)
+WHERE CASE WHEN regexp_matches(e.name, '{C}') THEN contains(lower(t.text), lower(e.name)) ELSE regexp_matches(lower(t.text), '(^|[^\\pL\\pN_])' || {_ESC} || '($|[^\\pL\\pN_])') END"""
 )
 def entity_match(spark, sf):
-    e = frame(spark, fixtures.ENTITIES, "doc_id bigint, name string").groupBy("doc_id").agg(F.collect_list(F.struct("name", F.lit("CONCEPT").alias("type"))).alias("entities"))
-    t = frame(spark, fixtures.CJK_TEXTS, "doc_id bigint, text string").join(e, "doc_id")
+    named = F.explode(F.array(F.col("lang"), F.regexp_extract(_text(), "[A-Za-z]{2,}", 0), F.lit("The"))).alias("name")
+    e = frame(spark, fixtures.ENTITIES, "doc_id bigint, name string").unionByName(table(spark, sf, "documents").select("doc_id", named)).groupBy("doc_id").agg(F.collect_list(F.struct("name", F.lit("CONCEPT").alias("type"))).alias("entities"))
+    t = texts(spark, sf).join(e, "doc_id")
     return t.select("doc_id", F.explode(tags.matched_entities(_text(), F.col("entities"))).alias("name")).withColumn("cjk", tx.contains_cjk(F.col("name")))
 
 
@@ -764,16 +766,22 @@ _TYPES = "('PERSON', 'ORG', 'PRODUCT', 'LOCATION', 'CONCEPT')"
   CASE WHEN coalesce(trim(title), '') = '' THEN 'title missing' WHEN length(trim(title)) > 200 THEN 'title too long' END,
   CASE WHEN tags IS NULL THEN 'tags not a list' WHEN len(tags) NOT BETWEEN 1 AND 5 THEN 'tags not 1 to 5' WHEN len(list_filter(tags, lambda t: coalesce(trim(t), '') = '')) > 0 THEN 'tag empty or not text' END,
   CASE WHEN len(list_filter(entities, lambda e: e.type NOT IN {_TYPES})) > 0 THEN 'entity type unknown' END,
-  CASE WHEN coalesce(trim(body), '') = '' THEN 'body missing' END) AS problems FROM {values(fixtures.RESULTS, 'id, title, tags, entities, body')}"""
+  CASE WHEN coalesce(trim(body), '') = '' THEN 'body missing' END) AS problems FROM (SELECT CAST(id AS BIGINT) AS id, title, tags, entities, body FROM {values(fixtures.RESULTS, 'id, title, tags, entities, body')}
+  UNION ALL SELECT 1000 + doc_id, substr(text, 1, 150 + doc_id % 100), list_resize([source, lang, 'x'], 1 + doc_id % 3), [{{'name': source, 'type': CASE WHEN doc_id % 4 = 0 THEN 'PLACE' ELSE 'ORG' END}}], text FROM documents)"""
 )
 def validate_output(spark, sf):
-    r = frame(spark, fixtures.RESULTS, "id int, title string, tags array<string>, entities array<struct<name:string,type:string>>, body string")
+    r = frame(spark, fixtures.RESULTS, "id bigint, title string, tags array<string>, entities array<struct<name:string,type:string>>, body string")
+    i = F.col("doc_id")
+    kind = F.when(i % 4 == 0, "PLACE").otherwise("ORG")
+    made = table(spark, sf, "documents").select((i + 1000).alias("id"), _text().substr(F.lit(1), (150 + i % 100).cast("int")).alias("title"), F.slice(F.array("source", "lang", F.lit("x")), F.lit(1), (1 + i % 3).cast("int")).alias("tags"), F.array(F.struct(F.col("source").alias("name"), kind.alias("type"))).alias("entities"), _text().alias("body"))
+    r = r.unionByName(made)
     return r.select("id", F.array_join(formatting.validate(F.col("title"), F.col("tags"), F.col("entities"), F.col("body")), "; ").alias("problems"))
 
 
-@query(f"SELECT id, array_to_string(list_filter(tags, lambda t: NOT (regexp_matches(trim(t), '^\\pL+$') AND NOT (trim(t) = upper(trim(t)) AND length(trim(t)) >= 2) AND (length(trim(t)) < 4 OR regexp_matches(lower(t), '(ing|tion|ment|ness)$')))), ',') AS tags FROM {values(fixtures.TAGS, 'id, tags')}")
+@query(f"SELECT id, array_to_string(list_filter(tags, lambda t: NOT (regexp_matches(trim(t), '^\\pL+$') AND NOT (trim(t) = upper(trim(t)) AND length(trim(t)) >= 2) AND (length(trim(t)) < 4 OR regexp_matches(lower(t), '(ing|tion|ment|ness)$')))), ',') AS tags FROM (SELECT CAST(id AS BIGINT) AS id, tags FROM {values(fixtures.TAGS, 'id, tags')} UNION ALL SELECT 1000 + doc_id, string_split(substr(text, 1, 60), ' ') FROM documents WHERE text IS NOT NULL)")
 def fix_tags(spark, sf):
-    return frame(spark, fixtures.TAGS, "id int, tags array<string>").select("id", F.array_join(formatting.fixed_tags(F.col("tags")), ",").alias("tags"))
+    more = table(spark, sf, "documents").where("text IS NOT NULL").select((F.col("doc_id") + 1000).alias("id"), F.split(F.substring(_text(), 1, 60), " ").alias("tags"))
+    return frame(spark, fixtures.TAGS, "id bigint, tags array<string>").unionByName(more).select("id", F.array_join(formatting.fixed_tags(F.col("tags")), ",").alias("tags"))
 
 
 @query("SELECT doc_id, md5(concat_ws('|', source, sha256('Source type: ' || source || chr(10) || chr(10) || 'Document:' || chr(10) || text), sha256(text))) AS key FROM documents")
