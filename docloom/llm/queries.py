@@ -20,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_ngram_join": ngram_join.OP1_SQL,
     "op2_suffix_dedup": suffix_dedup.OP2_SQL,
+    "op4_sharding": sharding.OP4_SQL,
     "op6_exact_topk": topk.OP6_SQL,
     "op7_warc_revisits": warc.OP7_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import work
-from docloom.llm.feistel import feistel
+from docloom.llm.feistel import PRIME, SEARCH, feistel
 from docloom.staging import spread
 
 SHARDS = 16
@@ -50,3 +50,40 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into shards 0 to 15 under the law ``rows``."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return shard_rows(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no")
+
+
+def _op4_sql() -> str:
+    """The same in SQL: CRC-32 by its table, the domain's factors, the network's rounds and the walk."""
+
+    def f(v: str, k: tuple[int, int, int]) -> str:
+        t = f"(({v} + {k[0]}) % {PRIME})"
+        t = f"({t} * {t} % {PRIME} * (({v} + {k[1]}) % {PRIME}) % {PRIME})"
+        t = f"(({t} * {t} + {k[2]}) % {PRIME})"
+        return f"({t} * (({t} + {k[0]}) % {PRIME}) % {PRIME})"
+
+    def once(source: str) -> str:
+        for i, k in enumerate(feistel(1, SEED).keys):
+            step = f"(l + {f('r', k)}) % a AS l" if i % 2 == 0 else f"(r + {f('l', k)}) % b AS r"
+            source = f"(SELECT * REPLACE ({step}) FROM {source})"
+        return f"SELECT row_no, n, a, b, l * b + r AS place FROM {source}"
+
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS x FROM texts),
+summed AS (SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), x), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS text_crc32 FROM bytes, crc),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row_no FROM summed),
+counted AS (SELECT count(*) AS n, greatest(CAST(floor(sqrt(count(*))) AS BIGINT), 1) AS root FROM documents),
+shape AS (SELECT n, arg_min(c, ((n + c - 1) // c * c - n) * 1000000000 + c) AS a FROM (SELECT n, unnest(range(root, least(root + {SEARCH}, n) + 1)) AS c FROM counted) GROUP BY n),
+domain AS (SELECT n, a, (n + a - 1) // a AS b FROM shape),
+walk AS (
+  {once("(SELECT row_no, n, a, b, row_no // b AS l, row_no % b AS r FROM numbered, domain)")}
+  UNION ALL
+  {once("(SELECT row_no, n, a, b, place // b AS l, place % b AS r FROM walk WHERE place >= n)")})
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place % {SHARDS} AS INTEGER) AS shard, place // {SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard, numbered.row_no
+FROM numbered JOIN walk ON walk.row_no = numbered.row_no AND place < n
+"""
+
+
+OP4_SQL = _op4_sql()
