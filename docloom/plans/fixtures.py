@@ -19,6 +19,18 @@ MARKDOWN = [
     ("m3", "## Only second\n\nBody.\n\n## References\n\n1. A paper."),
     ("m4", "# One\n## Two\n### Three\nBody under three.\n# Four\nBody under four."),
 ]
+#: The chunks of MARKDOWN: source_doc_id, chunk_index, text, section_path.
+MARKDOWN_CHUNKS = [
+    ("m1", 0, "# Guide\n\nIntro text.", "Guide"),
+    ("m1", 1, "## Setup\n\nInstall it.", "Setup"),
+    ("m1", 2, "### Linux\n\nUse apt.", "Setup/Linux"),
+    ("m1", 3, "## Use\n\nRun it.", "Use"),
+    ("m2", 0, "No heading at all.\nSecond line.", "General"),
+    ("m3", 0, "## Only second\n\nBody.", "Only second"),
+    ("m3", 1, "## References\n\n1. A paper.", "References"),
+    ("m4", 0, "### Three\nBody under three.", "Two/Three"),
+    ("m4", 1, "# Four\nBody under four.", "Four"),
+]
 TITLES = [
     (1, "References"),
     (2, "3. References"),

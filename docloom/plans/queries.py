@@ -208,19 +208,7 @@ def strip_references(spark, sf):
     return headed(spark, sf).where("md IS NOT NULL").select("doc_id", markdown.strip_references_column(page).alias("md"))
 
 
-# -- chunking
-
-
-@query()
-def chunk_documents(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), _text())
-    m = frame(spark, fixtures.MARKDOWN, "doc_id string, text string")
-    return chunking.chunk_documents(d.unionByName(m)).drop("metadata")
-
-
-@query()
-def paragraph_split(spark, sf):
-    return texts(spark, sf).select("doc_id", F.posexplode(chunking.split_paragraphs_column(_text(), F.lit(2000))).alias("pos", "part"))
+# -- lines
 
 
 @query("SELECT doc_id, CAST(i AS INTEGER) AS line, regexp_extract(coalesce(lag(l) OVER (PARTITION BY doc_id ORDER BY i), ''), '([^ \\t]{0,64})$', 1) || l AS text FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))")
@@ -313,22 +301,87 @@ def emphasis_repair(spark, sf):
 
 
 _ABBREVIATIONS = ", ".join(f"'{w}'" for w in sorted(chunking.ABBREVIATIONS))
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-@query(
-    rf"""
-WITH t AS (SELECT doc_id, text, length(text) - length(regexp_extract(text, '[^。！？]*$')) AS z FROM {TEXTS}),
-spots AS (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM t),
-stops AS (SELECT *, substr(text, i, 1) AS c, regexp_extract(substr(text, CAST(greatest(z + 1, i - 64) AS BIGINT), CAST(i - greatest(z + 1, i - 64) AS BIGINT)), '([A-Za-z]+(?:\.[A-Za-z]+)*)\s*$', 1) AS w FROM spots WHERE substr(text, i, 1) IN ('.', '。', '！', '？')),
-cuts AS (SELECT doc_id, text, i FROM stops WHERE c <> '.' OR (i > z AND NOT (regexp_matches(substr(text, i - 1, 1), '^[0-9]$') AND i > 1 AND regexp_matches(substr(text, i + 1, 1), '^[0-9]$')) AND lower(w) NOT IN ({_ABBREVIATIONS}) AND replace(lower(w), '.', '') NOT IN ({_ABBREVIATIONS}))
-  UNION ALL SELECT doc_id, text, length(text) FROM t),
-pieces AS (SELECT doc_id, i, trim(substr(text, CAST(coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), 0) + 1 AS BIGINT), CAST(i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), 0) AS BIGINT)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS sentence FROM cuts)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, sentence FROM pieces WHERE sentence <> ''"""
-)
+def sentences_sql(source: str) -> str:
+    """k, pos, sentence of texts (k, text)."""
+    return rf"""
+WITH t AS (SELECT k, text, length(text) - length(regexp_extract(text, '[^。！？]*$')) AS z FROM {source}),
+split AS (SELECT k, text, z, unnest(xs) AS x, unnest(range(len(xs))) AS n FROM (SELECT *, string_split_regex(text, '[.。！？]') AS xs FROM t)),
+spots AS (SELECT * FROM (SELECT k, text, z, CAST(sum(length(x) + 1) OVER (PARTITION BY k ORDER BY n) AS BIGINT) AS i FROM split) WHERE i <= length(text)),
+stops AS (SELECT *, substr(text, i, 1) AS c, regexp_extract(substr(text, CAST(greatest(z + 1, i - 64) AS BIGINT), CAST(i - greatest(z + 1, i - 64) AS BIGINT)), '([A-Za-z]+(?:\.[A-Za-z]+)*)\s*$', 1) AS w FROM spots),
+cuts AS (SELECT k, text, i FROM stops WHERE c <> '.' OR (i > z AND NOT (regexp_matches(substr(text, i - 1, 1), '^[0-9]$') AND i > 1 AND regexp_matches(substr(text, i + 1, 1), '^[0-9]$')) AND lower(w) NOT IN ({_ABBREVIATIONS}) AND replace(lower(w), '.', '') NOT IN ({_ABBREVIATIONS}))
+  UNION ALL SELECT k, text, length(text) FROM t),
+pieces AS (SELECT k, i, trim(substr(text, CAST(coalesce(lag(i) OVER (PARTITION BY k ORDER BY i), 0) + 1 AS BIGINT), CAST(i - coalesce(lag(i) OVER (PARTITION BY k ORDER BY i), 0) AS BIGINT)), {_WS}) AS sentence FROM cuts)
+SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS INTEGER) AS pos, sentence FROM pieces WHERE sentence <> ''"""
+
+
+@query(f"SELECT k AS doc_id, pos, sentence FROM ({sentences_sql(f'(SELECT doc_id AS k, text FROM {TEXTS})')})")
 def sentence_split(spark, sf):
     return texts(spark, sf).select("doc_id", F.posexplode(chunking.sentences_column(_text())).alias("pos", "sentence"))
 
 
+def pieces_sql(source: str, size: int, overlap: int) -> str:
+    """k, n, text: the pieces of texts (k, text) without headings, by recursion over paragraphs and over windows."""
+    return rf"""
+WITH RECURSIVE source AS (SELECT k, text FROM {source} WHERE trim(text, {_WS}) <> ''),
+split AS (SELECT k, list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p, {_WS}) <> '') AS ps FROM source WHERE length(text) > {size}),
+units AS (SELECT k, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM split),
+pack AS (
+  SELECT k, i, length(p) AS held, 1 AS g FROM units WHERE i = 1
+  UNION ALL
+  SELECT u.k, u.i, CASE WHEN held + 2 + length(p) <= {size} THEN held + 2 + length(p) ELSE length(p) END, CASE WHEN held + 2 + length(p) <= {size} THEN g ELSE g + 1 END FROM pack JOIN units u ON u.k = pack.k AND u.i = pack.i + 1),
+blocks AS (SELECT pack.k, g, string_agg(p, chr(10) || chr(10) ORDER BY pack.i) AS b FROM pack JOIN units ON units.k = pack.k AND units.i = pack.i GROUP BY pack.k, g),
+parts AS (
+  SELECT k, g, 0 AS pos, b AS s FROM blocks WHERE length(b) <= {size}
+  UNION ALL SELECT k.k, k.g, pos, sentence FROM ({sentences_sql(f"(SELECT {{'k': k, 'g': g}} AS k, b AS text FROM blocks WHERE length(b) > {size})")})),
+spans AS (
+  SELECT k, g, pos, s, 0 AS w, CAST(0 AS BIGINT) AS a, CAST(CASE WHEN strpos(reverse(substr(s, {size} - {chunking.REACH} + 1, {chunking.REACH})), ' ') > 0 THEN {size} - strpos(reverse(substr(s, {size} - {chunking.REACH} + 1, {chunking.REACH})), ' ') + 1 ELSE {size} END AS BIGINT) AS e
+  FROM parts WHERE length(s) > {size}
+  UNION ALL
+  SELECT k, g, pos, s, w, a, CAST(CASE WHEN a + {size} >= length(s) THEN length(s) WHEN space > 0 THEN a + {size} - space + 1 ELSE a + {size} END AS BIGINT) FROM (
+    SELECT k, g, pos, s, w + 1 AS w, a, strpos(reverse(substr(s, CAST(greatest(a + 1, a + {size} - {chunking.REACH}) + 1 AS BIGINT), CAST(a + {size} - greatest(a + 1, a + {size} - {chunking.REACH}) AS BIGINT))), ' ') AS space FROM (
+      SELECT k, g, pos, s, w, CASE WHEN back > 0 AND back <= {overlap} AND {overlap} < shown THEN greatest(e - back, a + 1) ELSE e END AS a FROM (
+        SELECT *, length(trim(substr(s, a + 1, e - a), {_WS})) AS shown, strpos(reverse(trim(substr(s, a + 1, e - a), {_WS})), ' ') AS back FROM spans WHERE e < length(s))))),
+cut AS (
+  SELECT k, g, pos, 0 AS w, s AS x FROM parts WHERE length(s) <= {size}
+  UNION ALL SELECT k, g, pos, w, trim(substr(s, a + 1, e - a), {_WS}) FROM spans
+  UNION ALL SELECT k, 0, 0, 0, text FROM source WHERE length(text) <= {size}),
+ordered AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY g, pos, w) - 1 AS n, x, lag(x) OVER (PARTITION BY k ORDER BY g, pos, w) AS before FROM cut WHERE x <> '')
+SELECT k, CAST(n AS INTEGER) AS n, CASE WHEN before IS NULL THEN x ELSE trim(right(regexp_extract(right(before, {overlap}), '[^\s]*$') || x, {size}), {_WS}) END AS text FROM ordered"""
+
+
+def paragraphs_sql(source: str, longest: int) -> str:
+    """k, pos, part: groups of whole paragraphs (k, text), of sentences where a paragraph is too long."""
+    return rf"""
+WITH RECURSIVE ps AS (SELECT k, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n\n+'), lambda p: trim(p, {_WS})), lambda p: p <> '') AS ps FROM {source}),
+para AS (SELECT k, unnest(ps) AS p, unnest(range(len(ps))) AS j FROM ps),
+units AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY j, o) AS i FROM (SELECT k, j, long, unnest(xs) AS x, unnest(range(len(xs))) AS o FROM (SELECT k, j, length(p) > {longest} AS long, CASE WHEN length(p) > {longest} THEN string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) ELSE [p] END AS xs FROM para))),
+packed AS (
+  SELECT k, i, j, long, CASE WHEN long THEN length(x) + 1 ELSE length(x) + 2 END AS held, 0 AS g FROM units WHERE i = 1
+  UNION ALL
+  SELECT k, i, j, long, CASE WHEN fits THEN held + more ELSE more END, CASE WHEN fits THEN g ELSE g + 1 END FROM (
+    SELECT u.k, u.i, u.j, u.long, held, g, length(x) + CASE WHEN u.long THEN 1 ELSE 2 END AS more, u.long = q.long AND (NOT u.long OR u.j = q.j) AND held + length(x) + CASE WHEN u.long THEN 1 ELSE 2 END <= {longest} AS fits
+    FROM packed q JOIN units u ON u.k = q.k AND u.i = q.i + 1))
+SELECT k, CAST(g AS INTEGER) AS pos, CASE WHEN one THEN array_to_string(xs, ' ') ELSE array_to_string(xs, chr(10) || chr(10)) END AS part FROM (SELECT q.k AS k, g, bool_or(q.long) AS one, list(x ORDER BY q.i) AS xs FROM packed q JOIN units ON units.k = q.k AND units.i = q.i GROUP BY q.k, g)"""
+
+
+_PLAIN = f"(SELECT CAST(doc_id AS VARCHAR) AS k, trim(text, {_WS}) AS text FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"SELECT k AS source_doc_id, n AS chunk_index, text, 'General' AS section_path FROM ({pieces_sql(_PLAIN, 1024, 64)}) UNION ALL SELECT * FROM {values(fixtures.MARKDOWN_CHUNKS, 'source_doc_id, chunk_index, text, section_path')}")
+def chunk_documents(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), _text())
+    m = frame(spark, fixtures.MARKDOWN, "doc_id string, text string")
+    return chunking.chunk_documents(d.unionByName(m)).drop("metadata").withColumn("section_path", F.array_join("section_path", "/"))
+
+
+@query(f"SELECT k AS doc_id, pos, part FROM ({paragraphs_sql(f'(SELECT doc_id AS k, text FROM {TEXTS})', 2000)})")
+def paragraph_split(spark, sf):
+    return texts(spark, sf).select("doc_id", F.posexplode(chunking.split_paragraphs_column(_text(), F.lit(2000))).alias("pos", "part"))
+
+
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '## ' || coalesce(source, '') ELSE '### ' || coalesce(lang, '') || chr(10) || chr(10) || '### ' || coalesce(source, '') END AS header FROM documents")
 def section_header(spark, sf):
     lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
@@ -811,7 +864,10 @@ def _as_files(spark, sf):
     return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"), _text())
 
 
-@query()
+_CLEAN = f"(SELECT 'doc' || doc_id || '.txt' AS k, text FROM ({CLEANED}) WHERE doc_id >= 0)"
+
+
+@query(f"SELECT text, k AS source FROM ({pieces_sql(_CLEAN, 512, 64)})")
 def traditional_chunks(spark, sf):
     return ingest.chunk_files(_as_files(spark, sf)).select("text", F.col("metadata")["source"].alias("source"))
 
