@@ -66,7 +66,7 @@ _PART_BYTES = 16 << 20
 #: Bytes a token takes there: its hash and its set's.
 _TOKEN = 16
 #: Sets whose ids are marked in a bit table (16 bits each); more are found by a join.
-MARKED = 1 << 24
+MARKED = 1 << 22
 #: Counts above this are not told apart; hot classes come after them.
 _MOST = 65535
 _S = np.uint64
