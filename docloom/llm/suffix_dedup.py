@@ -51,7 +51,9 @@ from docloom.staging import spread
 
 LENGTH = 200
 K = 48
-#: Bits of the number of marks (16 for each anchor of the input within these bounds).
+#: Bytes of text that are cut into segments together: a window takes about 80 bytes meanwhile.
+BLOCK = 1 << 19
+#: Bits of the number of marks (16 for each hash that is marked, within these bounds).
 MARKS = (20, 28)
 #: Bits of the number of parts in which anchors are counted: the least; more where a part would exceed PART_BYTES.
 PARTS, PART_BYTES = 10, 16 << 20
@@ -112,7 +114,7 @@ def segments(raw: list[bytes], length: int = LENGTH, k: int = K) -> tuple[bytes,
 
 def _raw_blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[bytes]]]:
     texts = batch.column(column).to_pylist()
-    for i, j in blocks(texts):
+    for i, j in blocks(texts, BLOCK):
         yield i, j, [(t or "").encode("utf-8", "surrogatepass") for t in texts[i:j]]
 
 
@@ -150,6 +152,12 @@ def shape(size: int, length: int, k: int) -> Marks:
     return Marks(bits, min(parts, bits - 3))
 
 
+def shape_for(entries: int) -> Marks:
+    """The shape of a table for so many hashes."""
+    bits = min(max((16 * entries).bit_length(), MARKS[0]), MARKS[1])
+    return Marks(bits, PARTS)
+
+
 def _pack(part: list, bits: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(bits, pa.binary())], names=["part", "bits"])
 
@@ -199,8 +207,9 @@ def mark_repeated(docs: DataFrame, marks: Marks, length: int, k: int) -> np.ndar
     return marks.brought(sent.mapInArrow(gather, "part int, bits binary"))
 
 
-def mark_hashes(hashes: DataFrame, marks: Marks) -> np.ndarray:
-    """The bits of all values (one BIGINT column)."""
+def mark_hashes(hashes: DataFrame) -> np.ndarray:
+    """The bits of all values (one BIGINT column), in a table of their number's size."""
+    marks = shape_for(hashes.count())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_S) for batch in batches]
@@ -492,8 +501,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     places = scan.where("place IS NOT NULL").select("row", "anchor", "d", "head", "place", "windows")
     digests = work.written(places.groupBy("anchor", "d").agg(F.count(F.lit(1)).alias("n"), F.min("windows").alias("w"), F.min("head").alias("head")), "digests")
     several = work.written(digests.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
-    wanted = digests.join(several.select("anchor"), "anchor").select(F.col("head").bitwiseXOR(F.col("d")).alias("h"))
-    tables = [spark.sparkContext.broadcast(mark_hashes(x, marks)) for x in (several.select("anchor"), wanted, several.where(F.col("n") > MANY).select("anchor"))]
+    wanted = work.written(digests.join(several.select("anchor"), "anchor").select(F.col("head").bitwiseXOR(F.col("d")).alias("h")), "wanted")
+    tables = [spark.sparkContext.broadcast(mark_hashes(x)) for x in (several.select("anchor"), wanted, several.where(F.col("n") > MANY).select("anchor"))]
     sent = work.written(scan_segments(slim, *tables, length, k), "segments")
     for table in tables:
         table.destroy()
@@ -525,7 +534,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "little", signed=True) for x in batch.column(0).to_pylist()], pa.int64())], names=["h"])
 
-    chosen = spark.sparkContext.broadcast(mark_hashes(judged.where(part).select("sha").mapInArrow(first_bytes, "h bigint"), marks))
+    chosen = spark.sparkContext.broadcast(mark_hashes(judged.where(part).select("sha").mapInArrow(first_bytes, "h bigint")))
     cut_rows = judged.where(part).join(scan_texts(slim, chosen), "sha").select("doc_id", "n_bytes", "n_removed", "n_spans", "text", F.transform("spans", lambda r: r["a"]).alias("a"), F.transform("spans", lambda r: r["b"]).alias("b"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
