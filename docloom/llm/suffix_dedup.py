@@ -59,9 +59,9 @@ MARKS = (20, 28)
 PARTS, PART_BYTES = 10, 16 << 20
 #: Anchors with more different segments have them cut into pieces of WIDTH offsets.
 MANY, WIDTH = 1000, 16
-_HELD = 2 << 20
+_HELD = 1 << 20
 #: Windows sorted together in a task.
-_SORT = 1 << 18
+_SORT = 1 << 17
 _S = np.uint64
 _BASE = _S(0xD1342543DE82EF95)
 _BYTE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=_S) * _S(2) + _S(1)
@@ -236,7 +236,7 @@ def _sha(raw: bytes) -> bytes:
 
 def _heads(shas: list[bytes]) -> np.ndarray:
     """The first 8 bytes of digests as numbers."""
-    return np.frombuffer(b"".join(x[:8] for x in shas), _S)
+    return np.frombuffer(b"".join(x[:8] for x in shas), ">u8").astype(_S)
 
 
 def scan_places(docs: DataFrame, bits: Broadcast, length: int, k: int) -> DataFrame:
@@ -530,11 +530,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     part = (F.col("n_removed") > 0) & (F.col("n_removed") < F.col("n_bytes"))
     whole = judged.where(~part).select("doc_id", "n_bytes", "n_removed", "n_spans", F.when(F.col("n_removed") == 0, F.lower(F.hex("sha"))).otherwise(F.sha2(F.lit(""), 256)).alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
 
-    def first_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "little", signed=True) for x in batch.column(0).to_pylist()], pa.int64())], names=["h"])
-
-    chosen = spark.sparkContext.broadcast(mark_hashes(judged.where(part).select("sha").mapInArrow(first_bytes, "h bigint")))
+    head = F.conv(F.hex(F.substring("sha", 1, 8)), 16, -10).cast("long")
+    chosen = spark.sparkContext.broadcast(mark_hashes(judged.where(part).select(head.alias("h"))))
     cut_rows = judged.where(part).join(scan_texts(slim, chosen), "sha").select("doc_id", "n_bytes", "n_removed", "n_spans", "text", F.transform("spans", lambda r: r["a"]).alias("a"), F.transform("spans", lambda r: r["b"]).alias("b"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
