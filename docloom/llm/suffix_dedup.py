@@ -52,9 +52,9 @@ from docloom.staging import spread
 LENGTH = 200
 K = 48
 #: Bytes of text that are cut into segments together: a window takes about 80 bytes meanwhile.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Bits of the number of marks (16 for each hash that is marked, within these bounds).
-MARKS = (20, 28)
+MARKS = (20, 27)
 #: Bits of the number of parts in which anchors are counted: the least; more where a part would exceed PART_BYTES.
 PARTS, PART_BYTES = 10, 16 << 20
 #: Anchors with more different segments have them cut into pieces of WIDTH offsets.
