@@ -132,7 +132,8 @@ def build_index(docs: DataFrame, config: Config | None = None, model: Callable[[
     rows = formatted(docs, config, model, rules, cache).where("body IS NOT NULL AND trim(body) <> ''")
     page = md.strip_references_column(md.render_column(F.col("title"), F.col("body")))
     pieces = rows.select(F.col("doc_id").cast("string").alias("source_doc_id"), "entities", F.explode(chunker(config.chunk_size, config.chunk_overlap, config.heading_levels)(page)).alias("c"))
-    chunks = pieces.select("source_doc_id", "c.chunk_index", "c.text", "c.section_path", matched_entities(F.col("c.text"), F.coalesce("entities", F.array().cast(f"array<{ENTITY.simpleString()}>"))).alias("entity_names"))
+    named = F.filter(F.coalesce("entities", F.array().cast(f"array<{ENTITY.simpleString()}>")), lambda e: e["name"] != "")
+    chunks = pieces.select("source_doc_id", "c.chunk_index", "c.text", "c.section_path", matched_entities(F.col("c.text"), named).alias("entity_names"))
     chunks = embed_column(chunks, "text", "embedding", config, embedder)
     totals = chunks.groupBy("source_doc_id").agg(F.count(F.lit(1)).cast("int").alias("total_chunks"))
     documents = rows.join(totals, F.col("doc_id").cast("string") == F.col("source_doc_id"), "left").select("title", "tags", tx.summary(F.col("title"), F.col("tags"), F.col("body")).alias("text_summary"), "source_file", F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"))
